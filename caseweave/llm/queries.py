@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import langid, media, quality, secret_scan, simhash, urlfilter
+from caseweave.llm import langid, media, mixing, quality, secret_scan, sharding, simhash, urlfilter
 from caseweave.llm.tables import table
 
 
@@ -32,6 +32,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -43,9 +51,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_media": op6_media,
     "op7_secrets": op7_secrets,
+    "op8_sharding": op8_sharding,
+    "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
     "op2_url_filter": urlfilter.oracle_sql(),
+    "op8_sharding": sharding.oracle_sql(),
+    "op9_mixing": mixing.oracle_sql(),
 }
