@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import decontam, langid, media, mixing, quality, secret_scan, sharding, simhash, urlfilter
+from caseweave.llm import chat, decontam, langid, media, mixing, quality, secret_scan, sharding, simhash, urlfilter
 from caseweave.llm.tables import table
 
 
@@ -23,6 +23,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.learn(docs, langid.usable(F.col("doc_id"))))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_url_filter": op2_url_filter,
     "op3_simhash": op3_simhash,
+    "op4_chat": op4_chat,
     "op5_language": op5_language,
     "op6_media": op6_media,
     "op7_secrets": op7_secrets,
