@@ -26,6 +26,7 @@ input are kept; the operator's own begin with ``mix_``.
 from __future__ import annotations
 
 from itertools import pairwise
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,31 +80,40 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return table.withColumn("mix_target", F.least("mix_limit", F.col("mix_weight") * F.lit(float(level)) if weight else F.col("mix_limit")))
 
 
-def inverse(schedule, done: Column) -> Column:
-    """The training time by which the share ``done`` of a source's demand has come."""
+SEGMENT = "array<struct<since double, until double, begin double, end double, height double, slope double>>"
+
+
+def segments(schedule) -> list[tuple[float, ...]]:
+    """For each piece of a schedule of area 1: the shares of demand and the times between which it runs, its first intensity and slope."""
     areas = [(b - a) * (x + y) / 2 for (a, x), (b, y) in pairwise(schedule)]
-    total, before = sum(areas), 0.0
-    out = F.lit(1.0)
-    pieces = []
+    total, before, out = sum(areas), 0.0, []
     for ((a, x), (b, y)), area in zip(pairwise(schedule), areas, strict=True):
-        pieces.append((before / total, area / total, a, b, x / total, (y - x) / (b - a) / total))
-        before += area
-    for start, area, a, b, height, slope in reversed(pieces):
         if area > 0:
-            q = F.greatest(done - F.lit(start), F.lit(0.0))
-            root = F.sqrt(F.greatest(F.lit(height * height) + F.lit(2 * slope) * q, F.lit(0.0)))
-            at = F.lit(a) + F.when(q <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * q / (F.lit(height) + root))
-            out = F.when(done <= start + area, F.least(at, F.lit(b))).otherwise(out)
+            out.append((before / total, before / total + area / total, a, b, x / total, (y - x) / (b - a) / total))
+        before += area
     return out
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, schedules=SCHEDULES) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_taken and the array mix_passes.
+def segments_column(schedules, kind: Column) -> Column:
+    """The segments of the schedule of a class, as an array of structs."""
+    names = ("since", "until", "begin", "end", "height", "slope")
+    each = [F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(names, piece, strict=True))) for piece in segments(s))).cast(SEGMENT) for s in schedules]
+    return F.element_at(F.array(*each), kind % len(schedules) + 1)
 
-    A pass is struct(words, position): how much of the document that pass of
-    the stream takes, and its training position; passes without words, unless
-    the document has none, are left out.
-    """
+
+def inverse(pieces: Column, done: Column) -> Column:
+    """The training time by which the share ``done`` of a source's demand has come: inverts the integral of its intensity."""
+
+    def at(p: Column) -> Column:
+        q = F.greatest(done - p["since"], F.lit(0.0))
+        root = F.sqrt(F.greatest(p["height"] * p["height"] + F.lit(2.0) * p["slope"] * q, F.lit(0.0)))
+        return F.least(p["begin"] + F.when(q <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * q / (p["height"] + root)), p["end"])
+
+    return F.coalesce(F.get(F.transform(F.filter(pieces, lambda p: done <= p["until"]), at), F.lit(0)), F.lit(1.0))
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``docs`` with mix_size, mix_source_size, mix_target, mix_goal (in whole words), mix_class, and mix_start: the word of its source's stream at which the document begins."""
     sized = docs.withColumns({"mix_size": words(F.col(text_col)), "mix_key": stream_key(F.col(id_col), F.col(text_col)), "mix_from": F.col(source_col).cast("string")})
     sources = sized.groupBy(F.col("mix_from").alias("mix_source")).agg(F.sum("mix_size").alias("mix_source_size"), F.count(F.lit(1)).alias("mix_rows"))
     table = cut(targets(sources, weights, share, most))
@@ -118,57 +128,59 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     inside = Window.partitionBy("mix_source", "mix_cell").orderBy("mix_key", id_col, "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = joined.withColumn("mix_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
     placed = placed.join(before, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_cell") == F.col("mix_c")))
-    goal = F.round("mix_target").cast("long")
+    return placed.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", (F.col("mix_before") + F.col("mix_inside")).alias("mix_start"), F.round("mix_target").cast("long").alias("mix_goal"), "mix_class")
+
+
+def words_of_pass(k: Column) -> Column:
+    """Words of the document that pass ``k`` of its source's stream takes."""
+    return F.greatest(F.lit(0), F.least(F.col("mix_goal") - F.col("mix_start") - k * F.col("mix_source_size"), F.col("mix_size"))).cast("long")
+
+
+def position_of_pass(k: Column, schedules=SCHEDULES) -> Column:
+    """Training time at which pass ``k`` of the stream comes to the document."""
+    done = F.when(F.col("mix_goal") > 0, (F.col("mix_start") + k * F.col("mix_source_size")) / F.col("mix_goal")).otherwise(F.lit(0.0))
+    return inverse(segments_column(schedules, F.col("mix_class")), done)
 
-    def of(k: int) -> Column:
-        start = F.col("mix_before") + F.col("mix_inside") + k * F.col("mix_source_size")
-        take = F.greatest(F.lit(0), F.least(goal - start, F.col("mix_size"))).cast("long")
-        done = F.when(goal > 0, start / goal).otherwise(F.lit(0.0))
-        at = F.lit(None).cast("double")
-        for i in range(len(weights)):
-            at = F.when(F.col("mix_class") == i, inverse(schedules[i % len(schedules)], done)).otherwise(at)
-        return F.struct(take.alias("words"), F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0)).alias("position"))
 
-    passes = F.array(*(of(k) for k in range(max(1, -int(-most // 1)))))
-    out = placed.withColumn("mix_passes", passes).withColumn("mix_taken", F.aggregate("mix_passes", F.lit(0).cast("long"), lambda a, p: a + p["words"]))
-    out = out.withColumn("mix_passes", F.filter("mix_passes", lambda p, k: (p["words"] > 0) | (F.col("mix_size") == 0) & (k == 0)))
-    return out.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_passes")
+def passes(most: float) -> int:
+    return max(1, ceil(most))
 
 
-def mix_report(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
+def mix_report(docs: DataFrame, id_col: str = "doc_id", most: float = MOST, schedules=SCHEDULES, **more) -> DataFrame:
     """One row for each document, in training order: sizes, target, words taken, and its first position."""
-    rows = assign(docs, id_col, **more).select(
+    rows = assign(docs, id_col, most=most, **more)
+    taken = sum((words_of_pass(F.lit(k)) for k in range(1, passes(most))), words_of_pass(F.lit(0)))
+    rows = rows.select(
         id_col,
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
         F.round("mix_target", 6).alias("target"),
-        F.col("mix_taken").alias("taken"),
-        F.round(F.when(F.col("mix_taken") > 0, F.get("mix_passes", F.lit(0))["position"]), 9).alias("position"),
+        taken.alias("taken"),
+        F.when(words_of_pass(F.lit(0)) > 0, F.round(position_of_pass(F.lit(0), schedules), 9)).alias("position"),
     )
     order = [F.col("position").asc_nulls_last(), F.col(id_col).asc_nulls_last()]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST, schedules=SCHEDULES, **more) -> DataFrame:
     """The training stream: ``docs`` repeated as often as they are taken, range-sorted by position."""
-    due = F.filter("mix_passes", lambda p: 2 * p["words"] >= F.col("mix_size"))
-    rows = assign(docs, id_col, text_col, source_col, **more).withColumn("mix_at", F.explode(F.transform(due, lambda p: p["position"])))
+    rows = assign(docs, id_col, text_col, source_col, most=most, **more)
+    # at least half of the document is due, or it is empty and comes once
+    due = F.filter(F.sequence(F.lit(0), F.lit(passes(most) - 1)), lambda k: F.when(F.col("mix_size") > 0, 2 * words_of_pass(k) >= F.col("mix_size")).otherwise(k == 0))
+    rows = rows.withColumn("mix_pass", F.explode(due)).withColumn("mix_at", position_of_pass(F.col("mix_pass"), schedules))
     order = [F.col("mix_at"), F.col(id_col).asc_nulls_last()]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def oracle_sql() -> str:
     """The report as SQL: one window over each source instead of cells, and the resharing in closed form."""
-    knots = [list(zip(s, s[1:], strict=False)) for s in SCHEDULES]
 
     def time_of(i: int) -> str:
-        areas = [(b - a) * (x + y) / 2 for (a, x), (b, y) in knots[i]]
-        total, start, cases = sum(areas), 0.0, []
-        for ((a, x), (b, y)), area in zip(knots[i], areas, strict=True):
-            h, slope, q = x / total, (y - x) / (b - a) / total, f"greatest(done - {start / total!r}, 0.0)"
-            at = f"{a!r} + CASE WHEN {q} <= 0 THEN 0.0 ELSE 2.0 * {q} / ({h!r} + sqrt(greatest({h * h!r} + {2 * slope!r} * {q}, 0.0))) END"
-            cases.append(f"WHEN done <= {(start / total + area / total)!r} THEN least({at}, {b!r})")
-            start += area
+        cases = []
+        for since, until, begin, end, height, slope in segments(SCHEDULES[i]):
+            q = f"greatest(done - {since!r}::DOUBLE, 0.0)"
+            at = f"{begin!r}::DOUBLE + CASE WHEN {q} <= 0 THEN 0.0 ELSE 2.0::DOUBLE * {q} / ({height!r}::DOUBLE + sqrt(greatest({height!r}::DOUBLE * {height!r}::DOUBLE + 2.0::DOUBLE * {slope!r}::DOUBLE * {q}, 0.0))) END"
+            cases.append(f"WHEN done <= {until!r}::DOUBLE THEN least({at}, {end!r}::DOUBLE)")
         return f"CASE {' '.join(cases)} ELSE 1.0 END"
 
     weight = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 " + " ".join(f"WHEN {i} THEN {w!r}::DOUBLE" for i, w in enumerate(WEIGHTS)) + " END"
@@ -195,5 +207,5 @@ p AS (
          CASE WHEN goal > 0 THEN start / goal ELSE 0.0 END AS done
   FROM r)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(taken AS BIGINT) AS taken,
-       CASE WHEN taken > 0 THEN round(least(greatest(CASE class {' '.join(f'WHEN {i} THEN {time_of(i)}' for i in range(3))} END, 0.0), 1.0), 9) END AS position
+       CASE WHEN start < goal AND size > 0 THEN round(CASE class {' '.join(f'WHEN {i} THEN {time_of(i)}' for i in range(3))} END, 9) END AS position
 FROM p"""

@@ -80,7 +80,7 @@ def test_stream_is_sorted_whole_and_repeated(spark):
 
 def test_schedules_invert(spark):
     for schedule in M.SCHEDULES:
-        rows = spark.range(101).select((F.col("id") / 100).alias("d")).select("d", M.inverse(schedule, F.col("d")).alias("t")).collect()
+        rows = spark.range(101).select((F.col("id") / 100).alias("d")).select("d", M.inverse(M.segments_column([schedule], F.lit(0)), F.col("d")).alias("t")).collect()
         total = sum((b - a) * (x + y) / 2 for (a, x), (b, y) in zip(schedule, schedule[1:], strict=False))
         for r in rows:
             area = 0.0
