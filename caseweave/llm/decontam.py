@@ -40,7 +40,7 @@ UNIT, PASSAGE, SHINGLE = 32, 64, 5
 #: Share of a unit's own score from which a passage is a candidate, and share of shingles that verifies it.
 THRESHOLD, OVERLAP = 0.6, 0.8
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
 #: Items are indexed and sent to executors in groups of at most so many bytes; a larger benchmark is run group by group.
 GROUP_BYTES = 16 << 20
 #: Words whose passages are bounded in one vectorised step.
