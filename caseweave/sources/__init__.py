@@ -1,0 +1 @@
+"""Files into documents: scanning, routing by name and by content, reading, expanding containers."""
