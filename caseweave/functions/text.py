@@ -53,14 +53,33 @@ def join_location(root: Column, path: Column) -> Column:
     return F.concat(F.when(joined.startswith("/"), "/").otherwise(""), F.array_join(steps, "/"))
 
 
+#: A token, and what can't stand beside one.
+TOKEN = r"[\p{L}\p{N}]+"
+_VARIANTS: dict[str, str] = {}
+for _c, _b in _FOLDED:
+    _VARIANTS[_b] = _VARIANTS.get(_b, "") + _c
+
+
 def fold(c: Column) -> Column:
-    """Lower case, Latin letters without their diacritics."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case, Latin letters without their diacritics. The engine translates slowly, so only where there is something to fold."""
+    low = F.lower(c)
+    return F.when(low.rlike("[\u00c0-\u024f]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
+
+
+def raw_tokens(c: Column) -> Column:
+    """Runs of letters and digits, as written; folding changes neither their number nor their ends."""
+    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits, folded; what the keyword leg counts."""
-    return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(raw_tokens(c), fold)
+
+
+def token_pattern(term: str) -> str:
+    """A pattern for the tokens of a lower-cased text that fold to ``term``."""
+    letters = "".join(f"[{c}{_VARIANTS[c]}]" if c in _VARIANTS else c for c in term)
+    return rf"(?<![\p{{L}}\p{{N}}]){letters}(?![\p{{L}}\p{{N}}])"
 
 
 def content_words(c: Column, stop: list[str]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions import chunking, identifiers
-from caseweave.functions.text import SPACE, join_location, lstrip, stable_id, strip, tokens
+from caseweave.functions.text import SPACE, fold, join_location, lstrip, raw_tokens, stable_id, strip
 
 SIZE, OVERLAP = 2000, 200
 EPOCH = "2024-01-01 00:00:00"
@@ -52,7 +52,9 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, keys: tupl
     Texts without a paragraph break or a heading have windows at a fixed
     stride, which the engine cuts itself; the others go through the kernel.
     """
-    plain = ~F.col("text").rlike(f"\n[{SPACE}]*\n|(^|[\n\r\x0b\x0c\x1c-\x1e\x85  ])[{SPACE}]*#{{1,6}}[{SPACE}]")
+    text = F.col("text")
+    headed = text.contains("#") & text.rlike(f"(^|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])[{SPACE}]*#{{1,6}}[{SPACE}]")
+    plain = ~(text.rlike(f"\n[{SPACE}]*\n") | headed)
     return _strided(docs.filter(plain), size, overlap, keys).unionByName(_kernel(docs.filter(~plain), size, overlap, keys)).withColumn("chunk_id", stable_id(F.col("document_id"), F.col("ordinal").cast("string"), F.col("text")))
 
 
@@ -80,8 +82,9 @@ def _kernel(docs: DataFrame, size: int, overlap: int, keys: tuple[str, ...]) ->
 
 def postings(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings(chunk_id, term, tf), lengths(chunk_id, dl)) of passages."""
-    words = passages.select("chunk_id", tokens(F.col("text")).alias("words"))
-    return words.select("chunk_id", F.explode("words").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")), words.select("chunk_id", F.size("words").alias("dl"))
+    words = passages.select("chunk_id", raw_tokens(F.col("text")).alias("words"))
+    terms = words.select("chunk_id", F.explode("words").alias("raw")).select("chunk_id", fold(F.col("raw")).alias("term"))
+    return terms.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")), words.select("chunk_id", F.size("words").alias("dl"))
 
 
 # --- identifiers ---------------------------------------------------------------------------------

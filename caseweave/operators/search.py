@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from caseweave.errors import ConfigError, RerankUnavailable, ValidationError
 from caseweave.functions import identifiers
 from caseweave.functions.embedding import Embedder, embed
-from caseweave.functions.text import tokens
+from caseweave.functions.text import ACCENTED, PLAIN, TOKEN, raw_tokens, token_pattern, tokens
 
 # Fixed values of the ranking: BM25, reciprocal ranks, and depths.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -26,6 +27,8 @@ RRF = 60
 QUERY_CHARS = 500
 LIMIT_MOST, DEPTH_TIMES, RERANK_DEPTH = 100, 5, 50
 UNRANKED = 1_000_000
+BATCH_QUERIES = 1000
+FOLDING = str.maketrans(ACCENTED, PLAIN)
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -64,27 +67,87 @@ def carries(kind: str, value: str, casefile: str | None = None) -> Column:
 
 
 def scored(passages: DataFrame, terms: list[str]) -> DataFrame:
-    """``passages`` with ``score``: BM25 of the terms, statistics over all passages.
+    """Those of ``passages`` that hold a term, with ``score``: BM25, statistics over all passages.
 
-    A few query terms need no postings: each passage counts its own terms, and
-    one aggregation to a row gives N, average length and document frequencies.
+    A few query terms need no postings. One pass aggregates N, the average
+    length and document frequencies to a row; a second scores the passages that
+    hold a term. Each counts the tokens that fold to a term by its pattern.
     """
     unique = list(dict.fromkeys(terms))
-    words = passages.withColumn("se_words", tokens(F.col("text")))
-    counted = words.withColumn("se_dl", F.size("se_words")).withColumn("se_tf", F.array(*(_count("se_words", t) for t in unique))).drop("se_words")
-    stats = counted.agg(F.count(F.lit(1)).alias("se_n"), F.avg("se_dl").alias("se_avg"), *(F.count_if(F.get("se_tf", F.lit(i)) > 0).alias(f"se_df{i}") for i in range(len(unique))))
+    low = F.lower("text")
+    length = F.regexp_count("text", F.lit(TOKEN))
+    # a cheap test spares most passages the pattern
+    folds = F.col("text").rlike("[\u00c0-\u024f]")
+    may = {t: low.contains(t) | folds if any(c in PLAIN for c in t) else low.contains(t) for t in unique}
+    stats = passages.agg(F.count(F.lit(1)).alias("se_n"), F.avg(length).alias("se_avg"), *(F.count_if(may[t] & low.rlike(token_pattern(t))).alias(f"se_df{i}") for i, t in enumerate(unique)))
+    some = F.lit(False)
+    for t in unique:
+        some = some | may[t] & low.rlike(token_pattern(t))
+    counted = passages.filter(some).withColumns({"se_dl": length, **{f"se_tf{i}": F.regexp_count(low, F.lit(token_pattern(t))) for i, t in enumerate(unique)}})
     total = F.lit(0.0)
     for t in terms:
         i = unique.index(t)
-        tf, df = F.get("se_tf", F.lit(i)), F.col(f"se_df{i}")
+        tf, df = F.col(f"se_tf{i}"), F.col(f"se_df{i}")
         idf = F.log((F.col("se_n") - df + 0.5) / (df + 0.5))
         total = total + F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("se_dl") / F.col("se_avg")))
-    out = counted.crossJoin(F.broadcast(stats)).withColumn("score", total).filter(F.exists("se_tf", lambda x: x > 0))
-    return out.select(*passages.columns, "score")
+    return counted.crossJoin(F.broadcast(stats)).withColumn("score", total).select(*passages.columns, "score")
 
 
-def _count(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+def batch_keyword(docs: DataFrame, queries: list[tuple[int, str]], depth: int, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, id, score, rank): the best ``depth`` documents for each query of a stated set, by BM25.
+
+    The set goes to every task (at most BATCH_QUERIES); documents are read once
+    for the statistics of its terms and once to score. A batch keeps its best
+    ``depth`` for each query, so what is shuffled does not grow with the pairs.
+    Scores are rounded to nine places before they rank; ties go by id.
+    """
+    if len(queries) > BATCH_QUERIES:
+        raise ValidationError(f"more than {BATCH_QUERIES} queries in a batch")
+    spark = docs.sparkSession
+    asked = {q: fold_text(t).split() for q, t in queries}
+    terms = sorted({t for ts in asked.values() for t in ts})
+    words = docs.select(F.size(raw_tokens(F.col("text"))).alias("dl"), F.array_distinct(tokens(F.col("text"))).alias("w"))
+    n, average = words.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    known = spark.createDataFrame([(t,) for t in terms], "term string")
+    df = {r.term: r["count"] for r in words.select(F.explode("w").alias("term")).join(F.broadcast(known), "term").groupBy("term").count().collect()}
+    at = {t: i for i, t in enumerate(terms)}
+    weight = np.zeros((len(terms), len(queries)))
+    for j, (q, _) in enumerate(queries):
+        for t in asked[q]:
+            idf = np.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))
+            weight[at[t], j] += idf if idf > 0 else LEAST_IDF
+    ids = np.array([q for q, _ in queries])
+    kind = dict(docs.dtypes)[id_col]
+
+    def score(batches):
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            best: list[pd.DataFrame] = []
+            for i in range(0, len(key), 256):
+                tf, dl = np.zeros((min(256, len(key) - i), len(terms))), np.zeros(min(256, len(key) - i))
+                for k, text in enumerate(batch.column(1)[i : i + 256].to_pylist()):
+                    found = fold_text(text or "").split()
+                    dl[k] = len(found)
+                    for w in found:
+                        if w in at:
+                            tf[k, at[w]] += 1
+                norm = K1 * (1 - B + B * dl / (average or 1))
+                s = np.round((tf * (K1 + 1) / (tf + norm[:, None])) @ weight, 9)
+                d, j = np.nonzero(s > 0)
+                best.append(pd.DataFrame({"query_id": ids[j], "id": key[i + d], "score": s[d, j]}))
+            rows = pd.concat(best).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(depth)
+            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
+
+    few = docs.select(id_col, "text").mapInArrow(score, f"query_id long, id {kind}, score double")
+    ranked_rows = few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= depth)
+    return ranked_rows.withColumnRenamed("id", id_col)
+
+
+def fold_text(text: str) -> str:
+    """Tokens of a text, folded, with single spaces; the same as :func:`tokens`."""
+    import regex
+
+    return " ".join(regex.findall(TOKEN, text.lower().translate(FOLDING)))
 
 
 def keyword_leg(passages: DataFrame, casefile: str, terms: list[str], depth: int, carriers: DataFrame | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ from caseweave.functions.embedding import HashEmbedder, embed
 from caseweave.functions.text import ACCENTED, PLAIN, one_line, read_as, short_id, slugify, stable_id, tokens
 from caseweave.operators import corpus, coverage, evaluate, facets, pages, records, search, tree, windows
 from caseweave.plans.running import running_total
+from caseweave.plans.scan import read_table as table
+from caseweave.plans.scan import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,12 +41,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,19 +466,26 @@ def citation_string(spark, sf_dir):
     return chunks.select("chunk_id", citation(F.col("found_at"), F.col("heading_path"), F.col("char_start"), F.col("char_end"), F.col("casefile_id"), F.col("document_id")).alias("citation"))
 
 
-@query("""WITH asked AS (SELECT b.item_id, d.doc_id, instr(d.text, b.text) > 0 AS relevant, d.lang, abs(len(d.text) - len(b.text)) AS gap FROM benchmark b, documents d),
-r AS (SELECT item_id, doc_id, relevant, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN relevant THEN 0 ELSE gap END, doc_id) AS rank FROM asked),
-best AS (SELECT item_id, min(rank) FILTER (relevant AND rank <= 10) AS best FROM r GROUP BY item_id)
-SELECT 'length' AS leg, count(*) AS queries, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5,
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all({FOLD}, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+st AS (SELECT count(*) AS n, avg(len(w)) AS av FROM w),
+post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+q AS (SELECT item_id, unnest(regexp_extract_all({FOLD}, '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 9) AS score
+  FROM q JOIN df USING (term) JOIN post USING (term), st GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10),
+best AS (SELECT b.item_id, min(rank) FILTER (contains(d.text, b.text)) AS best FROM benchmark b LEFT JOIN r USING (item_id) LEFT JOIN documents d USING (doc_id) GROUP BY b.item_id)
+SELECT 'keyword' AS leg, count(*) AS queries, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5,
        round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_10, round(avg(CASE WHEN best <= 10 THEN 1.0::DOUBLE / best ELSE 0.0 END), 6) AS mrr_at_10 FROM best""")
 def retrieval_metrics(spark, sf_dir):
-    items, docs = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "phrase"), table(spark, sf_dir, "documents")
-    relevant = F.col("text").contains(F.col("phrase"))
-    gap = F.abs(F.length("text") - F.length("phrase"))
-    # the judgements are a query set of fixed size, asked of all rows; ten answers of each are kept
-    asked = docs.select("doc_id", "text").join(F.broadcast(items), F.lit(True)).select("item_id", "doc_id", relevant.alias("relevant"), F.when(relevant, 0).otherwise(gap).alias("gap"))
-    ranked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("gap", "doc_id"))).filter("rank <= 10")
-    got = evaluate.metrics(ranked.select(F.col("item_id").alias("query_id"), F.lit("length").alias("leg"), "rank", "relevant"), items.select(F.col("item_id").alias("query_id")))
+    """Benchmark items as queries of the keyword leg over documents; an answer is relevant if it says the item."""
+    docs = rows_of(spark, sf_dir).select("doc_id", "text")
+    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(search.BATCH_QUERIES + 1).collect()]
+    phrases = spark.createDataFrame(items, "query_id long, phrase string")
+    answers = search.batch_keyword(docs, items, 10)
+    judged = answers.join(docs, "doc_id").join(F.broadcast(phrases), "query_id").select("query_id", F.lit("keyword").alias("leg"), "rank", F.col("text").contains(F.col("phrase")).alias("relevant"))
+    got = evaluate.metrics(judged, phrases.select("query_id"))
     return got.select("leg", "queries", *(F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr_at_10")))
 
 
@@ -649,8 +654,8 @@ def sniff_magic(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey FROM lineitem),
-r AS (SELECT l_orderkey, 'row ' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) || ': ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' | ' || l_linestatus AS line, l_linenumber, l_partkey FROM l)
-SELECT l_orderkey, '## sheet: order ' || l_orderkey || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey) AS text FROM r GROUP BY l_orderkey""")
+r AS (SELECT l_orderkey, 'row ' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) || ': ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' | ' || l_linestatus AS line, l_linenumber, l_partkey, l_returnflag, l_linestatus FROM l)
+SELECT l_orderkey, '## sheet: order ' || l_orderkey || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS text FROM r GROUP BY l_orderkey""")
 def render_delimited(spark, sf_dir):
     from caseweave.sources import readers
 
@@ -672,7 +677,7 @@ def html_extract(spark, sf_dir):
     def text_of(html: pd.Series) -> pd.Series:
         return html.map(lambda h: readers.html_text(h or ""))
 
-    return table(spark, sf_dir, "pages").select("page_id", text_of("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", text_of("html").alias("text"))
 
 
 @query(f"""WITH {CHUNKS}, w AS (SELECT chunk_id, unnest(regexp_extract_all({FOLD}, '[\\p{{L}}\\p{{N}}]+')) AS term FROM chunks)
