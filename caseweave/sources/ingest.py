@@ -99,15 +99,24 @@ def expand(files: DataFrame, depth_most: int = DEPTH_MOST, items_most: int = ITE
     return out, stopped
 
 
-def documents(found: DataFrame, casefile: str, root: str, at: str) -> DataFrame:
-    """Documents of ingested outcomes: identity by content, and for expanded ones by path too."""
+def identified(found: DataFrame, casefile: str) -> DataFrame:
+    """Ingested outcomes with their document's id: by content, and for expanded ones by path too."""
     identity = F.when(F.col("parent_path").isNull(), "").otherwise(F.col("path"))
     kept = found.filter("status = 'ingested'").withColumn("identity_path", identity)
-    kept = kept.withColumn("id", stable_id(F.lit(casefile), F.col("content_hash"), F.col("identity_path")))
-    one = kept.groupBy("id").agg(F.min_by(F.struct(*(c for c in kept.columns if c != "id")), "path").alias("r")).select("id", "r.*")
+    return kept.withColumn("id", stable_id(F.lit(casefile), F.col("content_hash"), F.col("identity_path")))
+
+
+def sightings(found: DataFrame, casefile: str, root: str) -> DataFrame:
+    """(document_id, location_path): every place at which a document was read, also those of its copies."""
+    return identified(found, casefile).select(F.col("id").alias("document_id"), join_location(F.lit(root), F.col("path")).alias("location_path")).distinct()
+
+
+def documents(found: DataFrame, casefile: str, at: str) -> DataFrame:
+    """Documents of ingested outcomes, copies of one folder being one: that of the first path."""
+    kept = identified(found, casefile)
+    first = kept.groupBy("id").agg(F.min("path").alias("path"))
     by_path = kept.select(F.col("path").alias("parent_path"), F.col("id").alias("parent_id"))
-    return one.join(by_path, "parent_path", "left").select(
+    return kept.join(first, ["id", "path"], "left_semi").join(by_path, "parent_path", "left").select(
         "id", F.lit(casefile).alias("casefile_id"), "content_hash", F.element_at(F.split("path", "/"), -1).alias("filename"), "media_type", "byte_size", F.col("text").alias("extracted_text"), "extractor", "text_source",
         F.lit("").alias("summary"), F.lit("").alias("summary_by"), F.lit(at).cast("timestamp").alias("created_at"), F.lit(at).cast("timestamp").alias("updated_at"), "parent_id", F.col("path").alias("containment_path"), "identity_path",
-        join_location(F.lit(root), F.col("path")).alias("location_path"),
     )

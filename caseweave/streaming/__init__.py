@@ -1,0 +1 @@
+"""A watched folder, ingested as its files arrive."""
