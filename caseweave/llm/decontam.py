@@ -44,7 +44,9 @@ BLOCK = 4
 #: Items are indexed and sent to executors in groups of at most so many bytes; a larger benchmark is run group by group.
 GROUP_BYTES = 16 << 20
 #: Words whose passages are bounded in one vectorised step.
-SLICE = 300_000
+SLICE = 200_000
+#: Bytes of a table of marks.
+DENSE = 48 << 20
 
 PUNCTUATION = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -187,6 +189,23 @@ def passages(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(count) - count, count
 
 
+def distinct(keys: np.ndarray, size: int) -> np.ndarray:
+    """Distinct keys below ``size`` in order; by marking them where that many fit into memory."""
+    if size > DENSE:
+        return np.unique(keys)
+    marks = np.zeros(size, np.bool_)
+    marks[keys] = True
+    return np.flatnonzero(marks)
+
+
+def above(keys: np.ndarray, values: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Keys whose values sum to at least ``least``."""
+    if size <= DENSE // 8:
+        return np.flatnonzero(np.bincount(keys, weights=values, minlength=size) >= least)
+    keys, where = np.unique(keys, return_inverse=True)
+    return keys[np.bincount(where, weights=values) >= least]
+
+
 def find(index: Index, texts: list[list[bytes]], threshold: float = THRESHOLD) -> list[set[tuple[int, int]]]:
     """For each text, the (passage, item) pairs that WAND retrieves."""
     found: list[set[tuple[int, int]]] = [set() for _ in texts]
@@ -202,16 +221,16 @@ def find(index: Index, texts: list[list[bytes]], threshold: float = THRESHOLD) -
         top = count[i] - 1
         windows += [first[i] + np.minimum(block, top), first[i] + np.clip(block - 1, 0, top)]
         ids += [t[at], t[at]]
-    n_terms = len(index.terms) + 1
-    pairs = np.unique(np.concatenate(windows) * n_terms + np.concatenate(ids)) if windows else np.zeros(0, np.int64)
+    n_terms, n_windows = len(index.terms) + 1, int(count.sum())
+    pairs = distinct(np.concatenate(windows) * n_terms + np.concatenate(ids), n_windows * n_terms) if windows else np.zeros(0, np.int64)
     window, term = pairs // n_terms, pairs % n_terms
     # block maxima of every passage and block at once
     many = index.starts[term + 1] - index.starts[term]
-    entry = np.repeat(index.starts[term], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    cell, where = np.unique(np.repeat(window, many) * index.n_blocks + index.blocks[entry], return_inverse=True)
-    bound = np.bincount(where, weights=index.bounds[entry], minlength=len(cell))
+    entry = np.repeat(index.starts[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    cell = np.repeat(window * index.n_blocks, many) + index.blocks[entry]
+    hopeful = above(cell, index.bounds[entry], n_windows * index.n_blocks, threshold - 1e-9)
     owner = np.repeat(np.arange(len(texts)), count)
-    for w in np.unique(cell[bound >= threshold - 1e-9] // index.n_blocks):
+    for w in np.unique(hopeful // index.n_blocks):
         a, b = np.searchsorted(window, [w, w + 1])
         i = int(owner[w])
         found[i] |= {(int(w - first[i]), index.unit_item[u]) for u, _ in wand(index, term[a:b].tolist(), threshold)}

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseweave.llm import decontam as D
@@ -43,7 +44,9 @@ def brute_found(index, words, threshold):
     return out
 
 
-def test_bounds_lose_no_passage():
+@pytest.mark.parametrize("dense", [D.DENSE, 10])
+def test_bounds_lose_no_passage(monkeypatch, dense):
+    monkeypatch.setattr(D, "DENSE", dense)
     rng, text, items = world(9)
     index = D.build(items)
     texts = [D.words_of(" ".join([text(rng.randint(0, 300)), rng.choice(items)[1] if rng.random() < 0.5 else "", text(rng.randint(0, 90))])) for _ in range(60)] + [[]]
