@@ -23,12 +23,13 @@ id has a null component id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,10 +76,11 @@ def fingerprint_column(text: F.Column, words: int = SHINGLE_WORDS) -> F.Column:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """(64, ceil(n / 64)) words: bit j of word w in plane k is bit k of fingerprint 64 w + j."""
+    """Planes of words: bit j of word w in plane k is bit k of fingerprint 64 w + j. A fingerprint has one word or a row of them."""
     n = len(fps)
-    bits = np.zeros((ceil(n / 64) * 64, 64), np.uint8)
-    bits[:n] = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    own = fps.reshape(n, -1)
+    bits = np.zeros((ceil(n / 64) * 64, 64 * own.shape[1]), np.uint8)
+    bits[:n] = np.unpackbits(own.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
@@ -86,26 +88,27 @@ def within_radius(fps: np.ndarray, planes: np.ndarray, pivot: np.ndarray, word:
     """Of the work items (pivot, word), those with lanes of ``lanes`` within ``radius``, and which.
 
     Counters are bit-sliced: c[i] holds bit i of 64 distances. Planes come in
-    pairs through a full adder; the top counter sticks once a distance has
-    overflowed, and items without a lane left are dropped every eight planes.
+    pairs through a full adder; the top counter sticks once a distance has overflowed.
+    Items without a lane left are dropped every eighth of the radius.
     """
-    width = max(1, radius.bit_length())
-    ones, zero = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
-    alive, fp = lanes, fps[pivot]
+    width, own = max(1, radius.bit_length()), fps.reshape(len(fps), -1)
+    ones, zero, one = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
+    alive, every = lanes, max(8, radius // 8 * 2)
     c = [np.zeros(len(pivot), np.uint64) for _ in range(width + 1)]
-    for k in range(0, 64, 2):
-        x, y = (planes[i][word] ^ np.where((fp >> np.uint64(i)) & np.uint64(1), ones, zero) for i in (k, k + 1))
+    for k in range(0, len(planes), 2):
+        fp = own[pivot, k // 64]
+        x, y = (planes[i][word] ^ np.where((fp >> np.uint64(i % 64)) & one, ones, zero) for i in (k, k + 1))
         half = c[0] ^ x
         carry = (c[0] & x) | (half & y)
         c[0] = half ^ y
         for i in range(1, width):
             c[i], carry = c[i] ^ carry, c[i] & carry
         c[width] = c[width] | carry
-        if k % 8 == 6:
+        if (k + 2) % every == 0 or k + 2 >= len(planes):
             alive = alive & ~exceeds(c, radius, width)
             keep = np.flatnonzero(alive)
             if len(keep) < len(alive):
-                alive, pivot, word, fp, c = alive[keep], pivot[keep], word[keep], fp[keep], [x[keep] for x in c]
+                alive, pivot, word, c = alive[keep], pivot[keep], word[keep], [x[keep] for x in c]
             if not len(keep):
                 break
     return pivot, word, alive
@@ -278,14 +281,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, found: tuple[DataFrame, DataFrame], key_of: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class: that of the smallest id.
 
-    Where several rows bear that id, one of them stays. A class whose rows all
-    lack an id keeps one row; rows without an id go if their class has one.
+    ``found`` are the rows and classes of ``docs``, ``key_of`` the key (fp) of a
+    text. Where several rows bear that id, one of them stays. A class whose rows
+    all lack an id keeps one row; rows without an id go if their class has one.
     """
-    rows, classes = simhash_classes(docs, id_col, text_col, radius, words)
-    classes = cut(classes)
+    rows, classes = found[0], cut(found[1])
     kept = cut(rows.join(classes.select(F.col("component_id").alias("id")).distinct(), "id").groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
     key = F.col(id_col) == F.col("kept_id")
     once, more = (docs.join(kept.filter(c).select(F.col("id").alias("kept_id")), key, "left_semi") for c in ("rows = 1", "rows > 1"))
@@ -294,6 +297,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         out = out.unionByName(more.dropDuplicates([id_col]))
     if not rows.filter("id is null").isEmpty():
         orphan = classes.filter("component_id is null").select(F.col("fp").alias("orphan_fp"), F.col("root").alias("orphan_root"))
-        no_id = docs.filter(F.col(id_col).isNull()).withColumn("orphan_key", fingerprint_column(F.col(text_col), words))
+        no_id = docs.filter(F.col(id_col).isNull()).withColumn("orphan_key", key_of(F.col(text_col)))
         out = out.unionByName(no_id.join(orphan, F.col("orphan_key") == F.col("orphan_fp")).dropDuplicates(["orphan_root"]).select(*docs.columns))
     return out

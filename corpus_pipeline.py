@@ -4,7 +4,8 @@ Each stage takes all that the one before kept and gives the columns of
 ``documents`` again, but for the last, which adds the shard. Its decisions:
 
 1. language ID: documents of no language go (no letter, or noise);
-2. SimHash near-dedup: one document of each class stays, that of the smallest id;
+2. SimHash near-dedup: of documents whose five-word shingles have a similarity
+   of 0.8 or more, directly or through others, that of the smallest id stays;
 3. decontamination: documents that hold a benchmark item go;
 4. mixing: documents come as often as their source's target takes them, in
    training order (at most twice; some of a source above its target not at all);
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import decontam, langid, mixing, sharding, simhash
+from caseweave.llm import decontam, langid, mixing, sharding, simgroup
 from caseweave.llm.tables import table
 from caseweave.plans.durable import discard, store
 
@@ -29,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simgroup.keep_one_of_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from caseweave.llm import decontam, langid, mixing, sharding
 from tests.llm.fixtures import SF, documents
 from tests.llm.test_sharding import brute as brute_shards
-from tests.llm.test_simhash import brute as brute_classes
+from tests.llm.test_simgroup import jaccard, roots, shingles
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -19,8 +19,9 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert docs.columns == columns or name == "sharding"
         assert docs.count() > 0
         if name == "simhash_near_dedup":
-            rows = [(r.doc_id, r.text) for r in before.collect()]
-            assert sorted(r.doc_id for r in docs.collect()) == sorted({c for _, _, c in brute_classes(rows)})
+            ids, sets = zip(*sorted((r.doc_id, shingles(r.text)) for r in before.collect()), strict=True)
+            near = [(i, j) for i in range(len(ids)) for j in range(i) if len(sets[i]) * 0.8 <= len(sets[j]) <= len(sets[i]) * 1.25 and jaccard(sets[i], sets[j]) >= 0.8]
+            assert sorted(r.doc_id for r in docs.collect()) == [ids[i] for i, r in enumerate(roots(len(ids), near)) if i == r]
         if name == "benchmark_decontamination":
             items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert not any(t in r.text for r in docs.collect() for t in items)

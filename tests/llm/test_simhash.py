@@ -70,7 +70,7 @@ def test_keep_one(spark):
     for d, f, c in brute(rows):
         want[f if c is None else c] = 1
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("orphan_key", F.lit(0))
-    kept = simhash.keep_one(df)
+    kept = simhash.keep_one(df, simhash.simhash_classes(df), simhash.fingerprint_column)
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(x for x in ids if x is not None) == sorted({c for _, _, c in brute(rows) if c is not None})
