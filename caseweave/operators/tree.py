@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.plans.durable import cut
+
 DEPTH_MOST = 64
 
 
@@ -25,13 +27,24 @@ def ancestors(nodes: DataFrame, node: str) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, node: str) -> DataFrame:
-    """(id, parent_id, depth) below ``node``."""
-    return _recursive(nodes.select("id", "parent_id"), f"""
-        WITH RECURSIVE down(id, parent_id, depth) AS (
-          SELECT id, parent_id, 1 FROM {{tree}} WHERE parent_id = '{node.replace("'", "''")}'
-          UNION ALL
-          SELECT c.id, c.parent_id, d.depth + 1 FROM down d JOIN {{tree}} c ON c.parent_id = d.id WHERE d.depth < {DEPTH_MOST})
-        SELECT id, parent_id, depth FROM down""")
+    """(id, parent_id, depth) below ``node``, level by level: each level is a join with the one above, cut to the shared folder.
+
+    A recursive query would do, but the engine bounds its rows, and a subtree
+    may be most of the corpus.
+    """
+    level = nodes.filter(F.col("parent_id") == node).select("id", "parent_id", F.lit(1).alias("depth"))
+    found: list[DataFrame] = []
+    for depth in range(2, DEPTH_MOST + 2):
+        level = cut(level)
+        if found and level.isEmpty():
+            break
+        found.append(level)
+        above = level.select(F.col("id").alias("parent_id"))
+        level = nodes.select("id", "parent_id").join(above, "parent_id").select("id", "parent_id", F.lit(depth).alias("depth"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def cascade_delete(nodes: DataFrame, node: str, *dependants: DataFrame) -> tuple[DataFrame, ...]:

@@ -18,6 +18,7 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is often a single row group, which a single task would read
     and then compute on alone.
     """
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= SMALL_BYTES:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= SMALL_BYTES or df.rdd.getNumPartitions() >= 2 * cores:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores)
