@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 #: Bounds of the learning sample. For each language: texts of fitting length in order of a hash,
 #: whole, until there are SAMPLE_SYMBOLS; at most SAMPLE_TEXTS of them. Further languages than
 #: MOST_LANGUAGES (by labelled rows) are not learned, nor letters beyond MOST_LETTERS (by count).
-SAMPLE_SYMBOLS, SAMPLE_TEXTS, TEXT_LEAST, TEXT_MOST = 30_000, 64, 200, 20_000
-MOST_LANGUAGES, MOST_LETTERS = 100, 250
+SAMPLE_SYMBOLS, SAMPLE_TEXTS, TEXT_LEAST, TEXT_MOST = 30_000, 64, 200, 8_000
+MOST_LANGUAGES, MOST_LETTERS = 60, 250
+#: Bytes of the transition table that is sent to executors; with many languages and letters samples get smaller.
+TABLE_BYTES = 128 << 20
 #: A phrase ends at the latest after so many symbols of a clause, which bounds a batch's steps.
 CLAUSE = 2048
 #: Characters that one vectorised parse takes at once.
@@ -132,8 +134,13 @@ def build(samples: dict[str, list[str]]) -> Model:
     letters = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:MOST_LETTERS])
     table, width = symbol_table(letters), len(letters) + 3
     parts, roots, sizes, base = [], [], [], 0
+    # an automaton has at most two states a symbol
+    most = TABLE_BYTES // (8 * width * max(1, len(samples)))
     for lang in sorted(samples):
-        sym, _ = symbols_of(samples[lang], table)
+        sym = np.zeros(0, np.uint8)
+        for text in samples[lang]:
+            if not len(sym) or len(sym) + len(text) <= most:
+                sym = np.r_[sym, symbols_of([text], table)[0]]
         states = suffix_automaton(sym)
         root = states[0]
         # where a state has no step: the phrase ends, and the symbol begins the next one at the root

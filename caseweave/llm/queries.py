@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import chat, decontam, langid, media, mixing, quality, secret_scan, sharding, simhash, urlfilter
-from caseweave.llm.tables import table
+from caseweave.llm.tables import documents, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,28 +28,28 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.learn(docs, langid.usable(F.col("doc_id"))))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media_digest(table(spark, sf_dir, "documents"))
+    return media.text_media_digest(documents(spark, sf_dir))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan_secrets(documents(spark, sf_dir)))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_table(table(spark, sf_dir, "documents"))
+    return sharding.shard_table(documents(spark, sf_dir))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_report(table(spark, sf_dir, "documents"))
+    return mixing.mix_report(documents(spark, sf_dir))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 

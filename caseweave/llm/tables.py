@@ -1,9 +1,15 @@
-"""Reading the driver's tables, and the queries over them."""
+"""Reading the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caseweave.plans.scan import read_table as table
+from caseweave.plans.scan import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["documents", "table"]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; those of a small file dealt over all cores."""
+    return spread(table(spark, sf_dir, "documents"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import decontam, langid, mixing, sharding, simgroup
-from caseweave.llm.tables import table
+from caseweave.llm.tables import documents, table
 from caseweave.plans.durable import discard, store
 
 
@@ -60,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what each keeps is a table in the shared folder until the next is written."""
-    docs, last = table(spark, sf_dir, "documents"), None
+    docs, last = documents(spark, sf_dir), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
