@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseweave.errors import ValidationError
 from caseweave.functions.text import SPACE, strip
 
 KS, MRR_AT = (1, 5, 10), 10
@@ -43,3 +44,17 @@ def regressions(measured: DataFrame, baseline: DataFrame, key: str = "leg", tole
 def comparable(measured: dict, baseline: dict) -> list[str]:
     """The conditions in which two measurements differ; none, if they may be compared."""
     return sorted(k for k in measured.keys() | baseline.keys() if measured.get(k) != baseline.get(k))
+
+
+def load_judgements(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, query, language, filename, phrase) from a JSON list; an ``also`` entry is another row of its query.
+
+    A judgement with an empty field is an error.
+    """
+    schema = "query string, language string, filename string, phrase string, also array<struct<filename: string, phrase: string>>"
+    given = spark.read.schema(schema).option("multiLine", "true").json(path)
+    blank = [F.coalesce(F.trim(F.col(c)), F.lit("")) == "" for c in ("query", "language", "filename", "phrase")]
+    if not given.filter(blank[0] | blank[1] | blank[2] | blank[3]).isEmpty():
+        raise ValidationError(f"{path} has a judgement with an empty field")
+    answers = F.concat(F.array(F.struct("filename", "phrase")), F.coalesce("also", F.array().cast("array<struct<filename: string, phrase: string>>")))
+    return given.select(F.xxhash64("query", "language").alias("query_id"), "query", "language", F.explode(answers).alias("a")).select("query_id", "query", "language", "a.filename", "a.phrase")
