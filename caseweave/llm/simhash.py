@@ -254,9 +254,10 @@ def components(edges: DataFrame) -> DataFrame:
     last = sign(e)
     while last[0]:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are cut so that the join has exchanges of its own, whose hot nodes may be split
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.filter("m < u")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(e.groupBy("u").agg(F.min("v").alias("m")))
         e = cut(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low).distinct())
         now = sign(e)
         if now == last:
