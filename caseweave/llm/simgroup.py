@@ -43,18 +43,30 @@ BITS, BANDS, ROWS = 1024, 12, 4
 SLACK = 0.08
 #: Work items (one fingerprint against 64) in one vectorised step.
 STEP = 1 << 13
-MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+#: Odd multipliers of the further hashes: multiples of the golden ratio's fraction.
+GOLDEN = 0x9E3779B97F4A7C15
 
 SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("elements", T.BinaryType())])
 
 
-def scramble(h: np.ndarray, i: int) -> np.ndarray:
-    """The i-th further hash of 64-bit hashes."""
-    with np.errstate(over="ignore"):
-        h = h + np.uint64((MIX[0] * (i + 1)) & (2**64 - 1))
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX[1])
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(MIX[2])
-        return h ^ (h >> np.uint64(31))
+def multipliers(n: int, at: int = 1) -> np.ndarray:
+    return np.array([(GOLDEN * (2 * i + at) & (2**64 - 1)) | 1 for i in range(n)], np.uint64)
+
+
+def products(h: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """(n, k) products modulo 2**64: their order is that of k further hashes, by their high bits."""
+    return h[:, None] * by[None, :]
+
+
+def mixed(h: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """(n, k) further hashes, good in all bits."""
+    x = products(h, by)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(GOLDEN)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(GOLDEN)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def column_sums(words: np.ndarray) -> np.ndarray:
@@ -92,11 +104,13 @@ def sketch_of(text: bytes | None, n: int = WORDS, bits: int = BITS) -> tuple[int
         return 0, 0, bytes(bits // 8), [], b""
     grams = zip(*(tokens[i:] for i in range(n)), strict=False) if len(tokens) >= n else [tokens]
     h = np.unique(np.fromiter((digest(join(g)) for g in grams), np.uint64))
-    total = np.zeros(bits, np.int64)
+    total, low = np.zeros(bits, np.int64), np.empty(0, np.uint64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
-        total += column_sums(np.stack([scramble(part, i) for i in range(bits // 64)], axis=1))
-    low = np.array([scramble(h, 100 + i).min() for i in range(BANDS * ROWS)], np.uint64).reshape(BANDS, ROWS)
+        total += column_sums(mixed(part, multipliers(bits // 64)))
+        part = products(part, multipliers(BANDS * ROWS, 1001)).min(axis=0)
+        low = part if at == 0 else np.minimum(low, part)
+    low = low.reshape(BANDS, ROWS)
     bands = [digest(row.tobytes(), b) for b, row in enumerate(low)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return signed(digest(h.tobytes())), len(h), np.packbits(2 * total > len(h), bitorder="little").tobytes(), [signed(b) for b in bands], (h >> np.uint64(32)).astype(np.uint32).tobytes()
@@ -233,10 +247,15 @@ def jaccard(u: Column, v: Column) -> Column:
     return run(u, v)
 
 
-def verified(pairs: DataFrame, drawn: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose sets are that similar; only sets of nodes in pairs are moved."""
-    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    sets = store(drawn.select("node", "elements").join(asked, "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements")))
+def verified(pairs: DataFrame, drawn: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose sets are that similar.
+
+    Only sets of nodes in pairs are moved, and of a node that of its first
+    document alone: copies stay where they are, however many.
+    """
+    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(firsts, "fp").select(F.col("fp").alias("of"), "first_id"))
+    one = drawn.select("node", "id", "elements").join(asked, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    sets = store(one.groupBy("node").agg(F.first("elements").alias("elements")))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"of_{c}"))
     out = cut(pairs.join(side("u"), "u").join(side("v"), "v").filter(jaccard(F.col("of_u"), F.col("of_v")) >= least).select("u", "v"))
     discard(sets)
@@ -251,7 +270,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows of a node agree in all else; a hot one combines before its shuffle
     nodes = cut(drawn.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
     pairs = cut(candidates(nodes, least - SLACK))
-    holds = verified(pairs, drawn, least)
+    holds = verified(pairs, drawn, firsts, least)
     discard(drawn)
     comp = components(holds).withColumnRenamed("node", "fp")
     rooted = cut(firsts.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
