@@ -38,7 +38,7 @@ TABLE_BYTES = 128 << 20
 #: A phrase ends at the latest after so many symbols of a clause, which bounds a batch's steps.
 CLAUSE = 2048
 #: Characters that one vectorised parse takes at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Symbols from which posterior scores get no sharper.
 SHARP = 60
 #: A text of at least NOISE_LEAST symbols that its best language explains no better than this is noise.
