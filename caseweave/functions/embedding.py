@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
+
 WORD = re.compile(r"\w+")
 
 
@@ -61,7 +63,7 @@ class HashEmbedder:
 def embed(text: Column, embedder: Embedder) -> Column:
     """An array<float> column of document vectors."""
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    @text_udf(T.ArrayType(T.FloatType()))
     def run(texts: pa.Array) -> pa.Array:
         v = embedder.documents([x.as_py() or "" for x in texts]).astype(np.float32)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, max(1, v.shape[1]), dtype=np.int32)[: len(v) + 1]), pa.array(v.ravel()))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
 from caseweave.functions import chunking, identifiers
 from caseweave.functions.text import SPACE, fold, join_location, lstrip, raw_tokens, stable_id, strip
 
@@ -72,7 +73,7 @@ def _strided(docs: DataFrame, size: int, overlap: int, keys: tuple[str, ...]) ->
 def _kernel(docs: DataFrame, size: int, overlap: int, keys: tuple[str, ...]) -> DataFrame:
     piece = "array<struct<ordinal int, text string, char_start int, char_end int, heading_path string>>"
 
-    @F.arrow_udf(piece)
+    @text_udf(piece)
     def cut(texts: pa.Array) -> pa.Array:
         rows = [[dict(zip(("ordinal", "text", "char_start", "char_end", "heading_path"), p, strict=True)) for p in chunking.passages(t.as_py() or "", size, overlap)] for t in texts]
         return pa.array(rows, pa.list_(pa.struct([("ordinal", pa.int32()), ("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("heading_path", pa.string())])))
@@ -139,7 +140,7 @@ def mentions(passages: DataFrame, kinds: tuple[str, ...] = identifiers.KINDS) ->
 def _finder(kind: str):
     find = identifiers.FINDERS[kind]
 
-    @F.arrow_udf(MENTION)
+    @text_udf(MENTION)
     def run(texts: pa.Array) -> pa.Array:
         names = ("value", "normalised", "char_start", "char_end")
         return pa.array([[dict(zip(names, f, strict=True)) for f in find(t.as_py() or "")] for t in texts], pa.list_(pa.struct([("value", pa.string()), ("normalised", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())])))
