@@ -40,8 +40,8 @@ SHARE, MOST = 1.5, 2.0
 #: Intensity over training time 0 to 1, as knots (time, intensity), for each base weight in turn:
 #: the heavy sources fade, the middle ones stay, the light ones rise.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.5)))
-#: Rows of a source in one hash cell, about.
-CELL_ROWS = 4096
+#: Rows of a source in one hash cell, about; and the most bits that name a cell.
+CELL_ROWS, CELL_BITS = 4096, 16
 HASH_BITS = 60
 
 
@@ -115,13 +115,16 @@ def inverse(pieces: Column, done: Column) -> Column:
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, mix_goal (in whole words), mix_class, and mix_start: the word of its source's stream at which the document begins."""
     sized = docs.withColumns({"mix_size": words(F.col(text_col)), "mix_key": stream_key(F.col(id_col), F.col(text_col)), "mix_from": F.col(source_col).cast("string")})
-    sources = sized.groupBy(F.col("mix_from").alias("mix_source")).agg(F.sum("mix_size").alias("mix_source_size"), F.count(F.lit(1)).alias("mix_rows"))
+    # one pass over the texts sums the finest cells; sources and coarser cells follow from those
+    fine = cut(sized.groupBy("mix_from", F.shiftright(hash60(F.col("mix_key")), HASH_BITS - CELL_BITS).alias("mix_fine")).agg(F.sum("mix_size").alias("mix_cell_size"), F.count(F.lit(1)).alias("mix_cell_rows")))
+    sources = fine.groupBy(F.col("mix_from").alias("mix_source")).agg(F.sum("mix_cell_size").alias("mix_source_size"), F.sum("mix_cell_rows").alias("mix_rows"))
     table = cut(targets(sources, weights, share, most))
-    bits = F.least(F.lit(40), F.greatest(F.lit(0), F.ceil(F.log2(F.col("mix_rows") / CELL_ROWS)))).cast("int")
-    table = table.withColumn("mix_shift", HASH_BITS - bits)
+    bits = F.least(F.lit(CELL_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("mix_rows") / CELL_ROWS)))).cast("int")
+    table = table.withColumn("mix_bits", bits)
     small = broadcast_if_small(table, table.count())
-    joined = sized.join(small, F.col("mix_from").eqNullSafe(F.col("mix_source"))).withColumn("mix_cell", F.expr("shiftright(conv(substring(mix_key, 1, 15), 16, 10) :: bigint, mix_shift)"))
-    cells = cut(joined.groupBy("mix_source", "mix_cell").agg(F.sum("mix_size").alias("mix_cell_size"), F.count(F.lit(1)).alias("mix_cell_rows")))
+    of_source = F.col("mix_from").eqNullSafe(F.col("mix_source"))
+    cells = cut(fine.join(small, of_source).groupBy("mix_source", F.expr(f"shiftright(mix_fine, {CELL_BITS} - mix_bits)").alias("mix_cell")).agg(F.sum("mix_cell_size").alias("mix_cell_size")))
+    joined = sized.join(small, of_source).withColumn("mix_cell", F.expr(f"shiftright(conv(substring(mix_key, 1, 15), 16, 10) :: bigint, {HASH_BITS} - mix_bits)"))
     up_to = Window.partitionBy("mix_source").orderBy("mix_cell").rowsBetween(Window.unboundedPreceding, -1)
     before = cells.select(F.col("mix_source").alias("mix_s"), F.col("mix_cell").alias("mix_c"), F.coalesce(F.sum("mix_cell_size").over(up_to), F.lit(0)).alias("mix_before"))
     before = broadcast_if_small(before, cells.count())
