@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
+
 UNIT, PASSAGE, SHINGLE = 32, 64, 5
 #: Share of a unit's own score from which a passage is a candidate, and share of shingles that verifies it.
 THRESHOLD, OVERLAP = 0.6, 0.8
@@ -293,7 +295,7 @@ def leak_column(text: Column, index: Index, id_type: T.DataType) -> Column:
     names = ["item_id", "overlap", "question_overlap", "answer_overlap"]
     leak = T.StructType([T.StructField(n, T.DoubleType() if i else id_type) for i, n in enumerate(names)])
 
-    @F.arrow_udf(T.ArrayType(leak))
+    @text_udf(T.ArrayType(leak))
     def run(texts: pa.Array) -> pa.Array:
         index = sent.value
         rows = leaks(index, [None if (b := v.as_py()) is None else b.decode("utf-8", "replace") for v in texts.cast(pa.binary())])

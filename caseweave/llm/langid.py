@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
+
 #: Bounds of the learning sample. For each language: texts of fitting length in order of a hash,
 #: whole, until there are SAMPLE_SYMBOLS; at most SAMPLE_TEXTS of them. Further languages than
 #: MOST_LANGUAGES (by labelled rows) are not learned, nor letters beyond MOST_LETTERS (by count).
@@ -221,7 +223,7 @@ def language_of(text: Column, model: Model) -> Column:
 
     sent = SparkSession.active().sparkContext.broadcast(model)
 
-    @F.arrow_udf(PREDICTED)
+    @text_udf(PREDICTED)
     def run(texts: pa.Array) -> pa.Array:
         model = sent.value
         if not hasattr(model, "table"):

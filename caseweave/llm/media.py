@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
+
 # Magic bytes of the formats, and end marks.
 MAGIC = {
     b"\x89PNG\r\n\x1a\n": "image/png",
@@ -234,7 +236,7 @@ def sniff_media(value: Column, declared: Column) -> Column:
     that it is known and differs from what was declared.
     """
 
-    @F.arrow_udf(SNIFFED)
+    @text_udf(SNIFFED)
     def run(values: pa.Array, names: pa.Array) -> pa.Array:
         machine = automaton()
         offsets, kinds, starts, lengths, types, corrected = [0], [], [], [], [], []
@@ -307,7 +309,7 @@ def text_media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found, and embedded media are looked for in them.
     """
 
-    @F.arrow_udf(DIGEST)
+    @text_udf(DIGEST)
     def run(texts: pa.Array) -> pa.Array:
         machine, rows = automaton(), []
         for value in texts.cast(pa.binary()):

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
+
 #: At most so many labelled rows are fitted, those that come first by a hash of their id.
 SAMPLE_ROWS = 12_000
 TREES, DEPTH, BINS, RATE, LEAF = 40, 3, 48, 0.3, 20
@@ -78,7 +80,7 @@ def statistics_of(text: bytes) -> tuple[float, ...]:
 def statistics(text: Column) -> Column:
     """A struct of the statistics of a text column."""
 
-    @F.arrow_udf(STATS)
+    @text_udf(STATS)
     def run(texts: pa.Array) -> pa.Array:
         rows = np.array([statistics_of(v.as_py() or b"") for v in texts.cast(pa.binary())], np.float64).reshape(-1, len(STATISTICS))
         return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], names=list(STATISTICS))

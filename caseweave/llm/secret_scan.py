@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
+
 # The base patterns, with the letters of keywords in either case.
 ASSIGN = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -101,7 +103,7 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 def secret_spans(text: Column) -> Column:
     """array<struct<kind, start, end>> of a text column, by start and then kind."""
 
-    @F.arrow_udf(T.ArrayType(SPAN))
+    @text_udf(T.ArrayType(SPAN))
     def spans(texts: pa.Array) -> pa.Array:
         scan = scanner()
         offsets, kind, start, end = [0], [], [], []
@@ -125,7 +127,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; null texts stay null."""
 
-    @F.arrow_udf(T.StringType())
+    @text_udf(T.StringType())
     def clean(texts: pa.Array) -> pa.Array:
         scan, out = scanner(), []
         for value in texts:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
 from caseweave.llm.simhash import BUCKET_ROWS, below, bit_planes, components, keep_one, within_radius
 from caseweave.plans.durable import cut, discard, store
 
@@ -117,7 +118,7 @@ def sketch_of(text: bytes | None, n: int = WORDS, bits: int = BITS) -> tuple[int
 
 
 def sketch(text: Column) -> Column:
-    @F.arrow_udf(SKETCH)
+    @text_udf(SKETCH)
     def run(texts: pa.Array) -> pa.Array:
         rows = [sketch_of(v.as_py()) for v in texts.cast(pa.binary())]
         node, size, bits, bands, elements = zip(*rows, strict=True) if rows else ((),) * 5
@@ -235,7 +236,7 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
 def jaccard(u: Column, v: Column) -> Column:
     """Similarity of two sets of sorted 32-bit hashes."""
 
-    @F.arrow_udf(T.DoubleType())
+    @text_udf(T.DoubleType())
     def run(us: pa.Array, vs: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(us.to_pylist(), vs.to_pylist(), strict=True):

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
 from caseweave.plans.durable import cut
 
 RADIUS = 4
@@ -64,7 +65,7 @@ def fingerprint_of(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = S
 def fingerprint_column(text: F.Column, words: int = SHINGLE_WORDS) -> F.Column:
     """A long column: the 64 fingerprint bits of ``text``."""
 
-    @F.arrow_udf(T.LongType())
+    @text_udf(T.LongType())
     def simhash(texts: pa.Array) -> pa.Array:
         out = np.fromiter((fingerprint_of(x.as_py(), words) for x in texts.cast(pa.binary())), np.uint64, len(texts))
         return pa.array(out.view(np.int64))

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseweave.functions.arrow import text_udf
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER_SCHEME = "://([^/?#]*)([^?#]*)"
 
@@ -74,7 +76,7 @@ def vocabulary_hits(url: Column, strict=STRICT, soft=SOFT) -> Column:
     """struct(strict int, soft int): distinct strict terms, and the weight of distinct soft terms."""
     terms = {t: -1 for t in strict} | {t: w for t, w in soft.items() if t not in strict}
 
-    @F.arrow_udf(T.StructType([T.StructField("strict", T.IntegerType()), T.StructField("soft", T.IntegerType())]))
+    @text_udf(T.StructType([T.StructField("strict", T.IntegerType()), T.StructField("soft", T.IntegerType())]))
     def hits(urls: pa.Array) -> pa.Array:
         import ahocorasick
 
