@@ -9,7 +9,7 @@ no radius tells them apart.)
 
 Equal sets are one node from the start, so exact copies cost nothing. Other
 candidates share a band, the minima of ROWS hash functions over the set: pairs
-at 0.8 share one of BANDS bands with probability 0.998, closer ones almost
+at 0.8 share one of BANDS bands with probability 0.9998, closer ones more
 surely. Bands held by one node are dropped before fingerprints move. Buckets
 are compared as in :mod:`caseweave.llm.simhash`: vertical bit planes, carry-save
 counters, words abandoned once all their lanes exceed the radius; large buckets
@@ -39,19 +39,20 @@ from caseweave.llm.simhash import BUCKET_ROWS, below, bit_planes, components, ke
 from caseweave.plans.durable import cut, discard, store
 
 WORDS, SIMILARITY = 5, 0.8
-BITS, BANDS, ROWS = 1024, 12, 4
+BITS, BANDS, ROWS = 1024, 16, 4
 #: How far below the similarity a fingerprint may put a pair that is then verified: about three sigma.
 SLACK = 0.08
 #: Work items (one fingerprint against 64) in one vectorised step.
 STEP = 1 << 13
-#: Odd multipliers of the further hashes: multiples of the golden ratio's fraction.
+#: The golden ratio's fraction, as an odd 64-bit number.
 GOLDEN = 0x9E3779B97F4A7C15
 
 SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("elements", T.BinaryType())])
 
 
-def multipliers(n: int, at: int = 1) -> np.ndarray:
-    return np.array([(GOLDEN * (2 * i + at) & (2**64 - 1)) | 1 for i in range(n)], np.uint64)
+def multipliers(n: int, seed: int = 1) -> np.ndarray:
+    """Odd numbers without a pattern: multiples of each other would give hashes that agree too often."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def products(h: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def sketch_of(text: bytes | None, n: int = WORDS, bits: int = BITS) -> tuple[int
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
         total += column_sums(mixed(part, multipliers(bits // 64)))
-        part = products(part, multipliers(BANDS * ROWS, 1001)).min(axis=0)
+        part = products(part, multipliers(BANDS * ROWS, 2)).min(axis=0)
         low = part if at == 0 else np.minimum(low, part)
     low = low.reshape(BANDS, ROWS)
     bands = [digest(row.tobytes(), b) for b, row in enumerate(low)]
