@@ -14,10 +14,14 @@ surely. Bands held by one node are dropped before fingerprints move. Buckets
 are compared as in :mod:`caseweave.llm.simhash`: vertical bit planes, carry-save
 counters, words abandoned once all their lanes exceed the radius; large buckets
 are dealt as pairs of sub-blocks. The radius leaves SLACK below the similarity.
-A bucket does not give all of its pairs but a spanning forest of the most
-similar ones, in which every row keeps its nearest other; these pairs are then
-verified on the sets themselves (32 bits of each shingle's hash), and classes
-are the components of what holds.
+A bucket does not give all of its pairs at once but a spanning forest of the
+most similar ones, in which every row keeps its nearest other; these pairs are
+then verified on the sets themselves (32 bits of each shingle's hash). Where a
+pair fails, the buckets that gave it are asked again: what holds is contracted,
+what failed is left out, and every component gives its most similar pairs to
+others (four times as many in each round), until no bucket has an unverified
+pair between two components. Classes are the components of what holds, so they
+are those of all candidates, verified or not.
 
 Defined cases: null and empty texts have the empty set, and are one class;
 texts of fewer words than a shingle have all their words as one; repeated rows
@@ -140,11 +144,14 @@ def similarity_of(distance: np.ndarray, m: np.ndarray, n: np.ndarray, bits: int
     return shared / np.maximum(m + n - shared, 1e-9)
 
 
-def link_groups(group: np.ndarray, prints: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def link_groups(group: np.ndarray, prints: np.ndarray, size: np.ndarray, least: float, root: np.ndarray | None = None, tried: np.ndarray | None = None, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows in contiguous groups: a spanning forest of those that fingerprints put at ``least``, by falling similarity.
 
     prints has the words of a row in a row. Pairs found in a step are reduced
     to a forest together with the forest so far, so their number stays bounded.
+    With ``root``, the component of each row, pairs inside a component and those
+    ``tried`` (codes row * rows + later row, sorted) are left out, and what is
+    given are the ``most`` most similar ones of every component of a group.
     """
     n = len(prints)
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -155,7 +162,7 @@ def link_groups(group: np.ndarray, prints: np.ndarray, size: np.ndarray, least:
     counts = ((end[pivots] - 1) >> 6) - first + 1
     bounds = np.r_[0, np.cumsum(counts)]
     a, b, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    at = 0
+    at, bound = 0, 1 << 20
     while at < len(pivots):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + STEP, "right")) - 1)
         c = counts[at:to]
@@ -168,9 +175,34 @@ def link_groups(group: np.ndarray, prints: np.ndarray, size: np.ndarray, least:
             item, lane = np.nonzero(np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             x, y = p[item], 64 * w[item] + lane
             s = similarity_of(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64), size[x], size[y])
-            a, b, near = forest(n, np.r_[a, x[s >= least]], np.r_[b, y[s >= least]], np.r_[near, s[s >= least]])
+            good = s >= least
+            if root is not None:
+                good &= (root[x] != root[y]) & ~contains(tried, x * n + y)
+            a, b, near = np.r_[a, x[good]], np.r_[b, y[good]], np.r_[near, s[good]]
+            if root is None:
+                a, b, near = forest(n, a, b, near)
+            elif len(a) > bound:
+                a, b, near = nearest(root, a, b, near, most)
+                bound = max(bound, 2 * len(a))
         at = to
-    return a, b
+    return (a, b) if root is None else nearest(root, a, b, near, most)[:2]
+
+
+def contains(codes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted ``codes``."""
+    if not len(codes):
+        return np.zeros(len(x), bool)
+    return codes[np.minimum(np.searchsorted(codes, x), len(codes) - 1)] == x
+
+
+def nearest(root: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of weighted pairs, those that are among the ``most`` greatest of a component at either end."""
+    side, pair = np.r_[root[a], root[b]], np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((b[pair], a[pair], -near[pair], side))
+    sorted_side = side[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_side, sorted_side, "left")
+    keep = np.unique(pair[order[rank < most]])
+    return a[keep], b[keep], near[keep]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,8 +225,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.n
     return a[kept], b[kept], near[kept]
 
 
-def bucket_edges(least: float):
-    """For mapInArrow over rows (b1, b2, node, size, bits) sorted by bucket: edges between nodes."""
+def bucket_edges(least: float, most: int = 0):
+    """For mapInArrow over rows (b1, b2, node, size, bits, root) sorted by bucket: pairs of nodes by bucket.
+
+    With ``most``, a row without bits is a pair (node, root) that was tried
+    before, and ``root`` of any other row is its component.
+    """
 
     def run(batches):
         kept = None
@@ -210,28 +246,80 @@ def bucket_edges(least: float):
 
     def edges(part):
         b1, b2, node, size = (part.column(i).to_numpy() for i in range(4))
-        u = v = np.empty(0, np.int64)
+        u = v = c1 = np.empty(0, np.int64)
+        c2 = np.empty(0, np.int32)
         if len(node) > 1:
-            prints = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(node), -1)
             group = np.cumsum(np.r_[True, (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])
-            a, b = link_groups(group, prints, size.astype(np.float64), least)
-            u, v = node[a], node[b]
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            root = tried = None
+            if most:
+                to, row = part.column(5).to_numpy(), part.column(4).is_valid().to_numpy(zero_copy_only=False)
+                old = group[~row], node[~row], to[~row]
+                part, group, node, size, b1, b2, to = part.filter(pa.array(row)), group[row], node[row], size[row], b1[row], b2[row], to[row]
+                names, number = np.unique(node, return_inverse=True)
+                place = group * len(names) + number  # rising: rows are sorted by bucket and node
+                x, y = (np.searchsorted(place, old[0] * len(names) + np.searchsorted(names, end)) for end in old[1:])
+                tried = np.unique(np.minimum(x, y) * len(node) + np.maximum(x, y))
+                roots, own = np.unique(to, return_inverse=True)
+                root = np.unique(group * len(roots) + own, return_inverse=True)[1]
+            prints = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(node), -1)
+            a, b = link_groups(group, prints, size.astype(np.float64), least, root, tried, most)
+            u, v, c1, c2 = np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), b1[a], b2[a]
+        return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int32()), pa.array(u), pa.array(v)], names=["b1", "b2", "u", "v"])
 
     return run
 
 
-def candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) between ``nodes(node, size, bits, bands)`` that fingerprints put at ``least``: a forest of each bucket."""
+def members(nodes: DataFrame) -> DataFrame:
+    """(b1, b2, node): the buckets of ``nodes(node, bands)`` that hold two or more; large ones are dealt as pairs of sub-blocks."""
     keyed = nodes.select("node", F.posexplode("bands").alias("t", "key"))
     held = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     buckets = cut(held.select("t", "key", F.when(F.col("rows") > BUCKET_ROWS, F.ceil(F.col("rows") / (BUCKET_ROWS // 2))).otherwise(1).cast("int").alias("g")))
     member = keyed.join(buckets, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(o, F.col("own")) * F.col("g") + F.greatest(o, F.col("own")))
     dealt = member.select("node", F.xxhash64("t", "key").alias("b0"), F.explode(pairs).alias("b2")).select("node", F.xxhash64("b0", "b2").alias("b1"), "b2")
-    full = dealt.join(nodes.select("node", "size", "bits"), "node").select("b1", "b2", "node", "size", "bits")
+    return dealt.select("b1", "b2", "node").distinct()
+
+
+def candidates(inside: DataFrame, nodes: DataFrame, least: float, tried: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """Pairs (b1, b2, u, v) of ``inside(b1, b2, node, root)`` that fingerprints put at ``least``, u < v.
+
+    Of each bucket a forest, or with ``most`` so many of each component, none of them among ``tried(b1, b2, u, v)``.
+    """
+    full = inside.join(nodes.select("node", "size", "bits"), "node").select("b1", "b2", "node", "size", "bits", "root")
+    if tried is not None:
+        full = full.unionByName(tried.select("b1", "b2", F.col("u").alias("node"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("bits"), F.col("v").alias("root")))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(parts, "b1").sortWithinPartitions("b1", "b2").mapInArrow(bucket_edges(least), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return full.repartition(parts, "b1").sortWithinPartitions("b1", "b2", "node").mapInArrow(bucket_edges(least, most), "b1 long, b2 int, u long, v long")
+
+
+def links(nodes: DataFrame, drawn: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """Verified pairs (u, v) whose components are those of all candidates that hold."""
+    inside, bucket, pair = members(nodes), ["b1", "b2"], ["u", "v"]
+    given = cut(candidates(inside.withColumn("root", F.col("node")), nodes, least - SLACK))
+    asked = cut(given.select(*pair).distinct())
+    holds = verified(asked, drawn, firsts, least)
+    failed = cut(asked.join(holds, pair, "left_anti"))
+    # a bucket all of whose forest holds has no pair left between components
+    tried = cut(given.join(failed, pair, "left_semi"))
+    inside = cut(inside.join(tried.select(*bucket).distinct(), bucket, "left_semi"))
+    most = 1
+    while not tried.isEmpty():
+        most *= 4
+        comp = components(holds)
+        rooted = cut(inside.select(*bucket, "node").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        split = cut(rooted.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*bucket))
+        inside, tried = rooted.join(split, bucket, "left_semi"), cut(tried.join(split, bucket, "left_semi"))
+        given = cut(candidates(inside, nodes, least - SLACK, tried, most))
+        if given.isEmpty():
+            break
+        # other buckets may have had the pair verified
+        asked = cut(given.select(*pair).distinct().join(failed, pair, "left_anti"))
+        more = verified(asked, drawn, firsts, least)
+        holds, failed = cut(holds.union(more)), cut(failed.union(asked.join(more, pair, "left_anti")))
+        tried = cut(tried.union(given.join(more, pair, "left_anti").select(*bucket, *pair)))
+        inside = cut(inside.join(given.select(*bucket).distinct(), bucket, "left_semi"))
+        tried = cut(tried.join(given.select(*bucket).distinct(), bucket, "left_semi"))
+    return holds
 
 
 def jaccard(u: Column, v: Column) -> Column:
@@ -271,8 +359,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     # rows of a node agree in all else; a hot one combines before its shuffle
     nodes = cut(drawn.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
-    pairs = cut(candidates(nodes, least - SLACK))
-    holds = verified(pairs, drawn, firsts, least)
+    holds = links(nodes, drawn, firsts, least)
     discard(drawn)
     comp = components(holds).withColumnRenamed("node", "fp")
     rooted = cut(firsts.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))

@@ -102,3 +102,35 @@ def test_long_text(spark):
     long = " ".join(f"t{i}" for i in range(60000))
     df = spark.createDataFrame([(1, long), (2, long + " more"), (3, long[: len(long) // 2])], "doc_id long, text string")
     assert sorted(r.doc_id for r in G.keep_one_of_similar(df).collect()) == [1, 3]
+
+
+def test_rejected_pairs_are_replaced(spark):
+    """Of each family the last text holds with the first alone, at 0.81; 30 others at 0.77 may look nearer."""
+    rng, texts, each = random.Random(11), [], 32
+    for f in range(40):
+        base = [f"f{f}w{i}" for i in range(200)]
+        spots = rng.sample(range(1, 39), 34)  # five words apart, so that every change spoils five shingles
+        for changed in [[], *([x] for x in spots[:30]), spots[30:]]:
+            copy = list(base)
+            for at in changed:
+                copy[5 * at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    sets = list(map(shingles, texts))
+    last = range(each - 1, len(texts), each)
+    assert all(jaccard(sets[i], sets[i - each + 1]) > 0.81 and max(jaccard(sets[i], sets[j]) for j in range(i - each + 2, i)) < 0.78 for i in last)
+    found, classes = G.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.id: r.component_id for r in found.join(classes, "fp").collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % each for i in range(len(texts))]
+
+
+def test_rounds_leave_out_what_was_tried():
+    rng = np.random.default_rng(5)
+    prints = np.repeat(rng.integers(0, 2**63, (1, 16)).astype(np.uint64), 7, axis=0)
+    group, size, root = np.array([1, 1, 1, 1, 2, 2, 2]), np.full(7, 100.0), np.array([0, 0, 1, 2, 3, 4, 4])
+    tried, seen = np.array([0 * 7 + 2]), set()
+    while len((pairs := G.link_groups(group, prints, size, 0.8, root, tried, 1))[0]):
+        new = {(int(a), int(b)) for a, b in zip(*pairs, strict=True)}
+        assert not new & seen
+        seen |= new
+        tried = np.unique(np.r_[tried, pairs[0] * 7 + pairs[1]])
+    assert seen == {(0, 3), (1, 2), (1, 3), (2, 3), (4, 5), (4, 6)}
