@@ -5,12 +5,16 @@ labelled with it. A text is cross-parsed by each automaton: from where a phrase
 begins it follows the automaton as long as it can (the longest match with the
 sample), and the next phrase begins where it gets stuck. A language that
 explains a text well needs few phrases. Counts are normalised to bits a symbol,
-``phrases * log2(sample length) / symbols``, and the lowest wins.
+``phrases * log2(sample length) / symbols``, and the lowest wins. A letter that
+others have and a language's sample lacks has to be named: it costs
+log2(letters) more, or else small samples would win whatever none of them fits.
 
 Texts are lower-cased letters and single spaces; any other character ends a
 phrase. Parsing runs in lockstep over all such clauses of a batch and all
-languages at once: the automata are one transition table, so a step of every
-clause is a gather.
+languages at once: the automata of small alphabets are one transition table, so
+a step of every clause is a gather; those of large alphabets (Chinese, Japanese,
+Korean) are one hash table of the steps that exist. All letters of the samples
+are symbols.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 letters outside the learned alphabet are phrases of their own; ties go to the
@@ -32,18 +36,22 @@ from caseweave.functions.arrow import text_udf
 
 #: Bounds of the learning sample. For each language: texts of fitting length in order of a hash,
 #: whole, until there are SAMPLE_SYMBOLS; at most SAMPLE_TEXTS of them. Further languages than
-#: MOST_LANGUAGES (by labelled rows) are not learned, nor letters beyond MOST_LETTERS (by count).
+#: MOST_LANGUAGES (by labelled rows) are not learned.
 SAMPLE_SYMBOLS, SAMPLE_TEXTS, TEXT_LEAST, TEXT_MOST = 30_000, 64, 200, 8_000
-MOST_LANGUAGES, MOST_LETTERS = 60, 250
-#: Bytes of the transition table that is sent to executors; with many languages and letters samples get smaller.
+MOST_LANGUAGES = 60
+#: Bytes of the transition table that is sent to executors; with many languages samples get smaller.
 TABLE_BYTES = 128 << 20
+#: Letters of the transition table; a language that brings more goes to the hash table of steps.
+DENSE_LETTERS = 250
+#: The golden ratio's fraction, as an odd 64-bit number, and what no key of a step is.
+GOLDEN, NO_KEY = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: A phrase ends at the latest after so many symbols of a clause, which bounds a batch's steps.
 CLAUSE = 2048
 #: Characters that one vectorised parse takes at once.
 SLICE = 1_000_000
 #: Symbols from which posterior scores get no sharper.
 SHARP = 60
-#: A text of at least NOISE_LEAST symbols that its best language explains no better than this is noise.
+#: A text of at least NOISE_LEAST symbols that its best language explains no better than this is noise; unlearned letters are no evidence of it.
 NOISE_BITS, NOISE_LEAST = 11.5, 60
 
 BREAK, SPACE, OTHER = 0, 1, 2
@@ -53,7 +61,7 @@ STATE = (1 << PHRASES) - 1
 
 def symbol_table(letters: list[str]) -> np.ndarray:
     """Symbol of every code point: 0 break, 1 space, 2 a letter that is not learned, then the letters."""
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.uint8 if len(letters) + 3 <= 256 else np.int32)
     number = {c: i + 3 for i, c in enumerate(letters)}
     for cp in range(0x110000):
         c = chr(cp)
@@ -70,10 +78,11 @@ def symbols_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
     raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
     sym = table[raw]
     owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    before = np.r_[np.uint8(BREAK), sym[:-1]]
+    edge = np.zeros(1, sym.dtype)
+    before = np.r_[edge, sym[:-1]]
     keep = (sym != SPACE) | (before > SPACE)
     sym, owner = sym[keep], owner[keep]
-    after = np.r_[sym[1:], np.uint8(BREAK)]
+    after = np.r_[sym[1:], edge]
     keep = (sym != SPACE) | (after != BREAK)
     return sym[keep], owner[keep]
 
@@ -109,10 +118,14 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 @dataclass
 class Model:
-    """The automata of all languages as one table.
-
-    ``steps[state * symbols + symbol]`` is the next state, with the number of
-    phrases that end before it in the bits from PHRASES on.
+    """The automata of all languages.
+
+    Those of ``dense`` are one table over the letters that they use:
+    ``steps[state * width + symbol]`` is the next state, with the number of
+    phrases that end before it in the bits from PHRASES on; ``narrow`` gives
+    those symbols for the symbols of all letters. The steps of the others are
+    in ``sparse``. ``foreign`` says by language and symbol which learned letters
+    its sample lacks.
     """
 
     languages: list[str]
@@ -120,52 +133,126 @@ class Model:
     steps: np.ndarray
     roots: np.ndarray
     sizes: np.ndarray
+    dense: np.ndarray
+    narrow: np.ndarray
+    sparse: Sparse | None
+    foreign: np.ndarray
 
     @property
     def symbols(self) -> int:
         return len(self.letters) + 3
 
+    @property
+    def width(self) -> int:
+        return int(self.narrow.max()) + 1
+
+
+class Sparse:
+    """Steps (state, symbol) -> state by open addressing, and what begins a phrase at each root."""
+
+    def __init__(self, width: int, roots: list[int], state: np.ndarray, symbol: np.ndarray, to: np.ndarray):
+        self.width, self.roots = width, np.array(roots, np.int64)
+        self.shift = np.uint64(64 - max(4, (4 * len(state)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys = np.full(self.mask + 1, NO_KEY, np.uint64)
+        self.to = np.zeros(self.mask + 1, np.uint32)
+        key, to = (state * width + symbol).astype(np.uint64), to.astype(np.uint32)
+        at = self.slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[at] == NO_KEY)
+            slots, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[slots], self.to[slots] = key[put], to[put]
+            rest = np.ones(len(key), bool)
+            rest[put] = False
+            key, to, at = key[rest], to[rest], (at[rest] + 1) & self.mask
+        # where a state has no step: the phrase ends, and the symbol begins the next one at the root
+        begin = np.repeat(self.roots[:, None] | 2 << PHRASES, width, axis=1)
+        for i, root in enumerate(self.roots):
+            own = state == root
+            begin[i, symbol[own]] = self.to_of(state[own], symbol[own]).astype(np.int64) | 1 << PHRASES
+        self.begin = begin.astype(np.uint32)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(GOLDEN)) >> self.shift).astype(np.int64)
+
+    def to_of(self, state: np.ndarray, symbol: np.ndarray, missing: np.ndarray | None = None) -> np.ndarray:
+        """The next states; ``missing`` (or 0) where there is no such step."""
+        key = (state.astype(np.int64) * self.width + symbol).astype(np.uint64)
+        out = np.zeros(len(key), np.uint32) if missing is None else missing.copy()
+        at, open_ = self.slot(key), np.arange(len(key))
+        while len(open_):
+            got = self.keys[at]
+            hit = got == key[open_]
+            out[open_[hit]] = self.to[at[hit]]
+            on = ~hit & (got != NO_KEY)
+            open_, at = open_[on], (at[on] + 1) & self.mask
+        return out
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """(languages, m) next states with phrases, of (languages, m) states and m symbols."""
+        missing = np.where(state == self.roots[:, None], self.roots[:, None] | 1 << PHRASES, self.begin[:, symbol]).astype(np.uint32)
+        return self.to_of(state.ravel(), np.tile(symbol, len(state)), missing.ravel()).reshape(state.shape)
+
 
 def build(samples: dict[str, list[str]]) -> Model:
     """The model of whole sample texts by language."""
-    counts: dict[str, int] = {}
-    for texts in samples.values():
-        for c in "".join(texts).lower():
-            if c.isalpha():
-                counts[c] = counts.get(c, 0) + 1
-    letters = sorted(sorted(counts, key=lambda c: (-counts[c], c))[:MOST_LETTERS])
+    own_letters = {lang: {c for c in "".join(samples[lang]).lower() if c.isalpha()} for lang in samples}
+    letters = sorted(set().union(*own_letters.values()))
     table, width = symbol_table(letters), len(letters) + 3
+    # languages of few letters first, as long as the table's letters suffice
+    few: set[str] = set()
+    dense = []
+    for lang in sorted(samples, key=lambda x: (len(own_letters[x]), x)):
+        if len(few | own_letters[lang]) <= DENSE_LETTERS:
+            few |= own_letters[lang]
+            dense.append(lang)
+    number = {c: i + 3 for i, c in enumerate(sorted(few))}
+    narrow = np.array([BREAK, SPACE, OTHER, *(number.get(c, OTHER) for c in letters)], np.uint8)
+    thin = len(few) + 3
     parts, roots, sizes, base = [], [], [], 0
+    far, far_roots, far_base = [], [], 0
+    foreign = np.ones((len(samples), width), bool)
+    foreign[:, : OTHER + 1] = False
     # an automaton has at most two states a symbol
-    most = TABLE_BYTES // (8 * width * max(1, len(samples)))
+    most = TABLE_BYTES // (8 * thin * max(1, len(dense)))
     for lang in sorted(samples):
-        sym = np.zeros(0, np.uint8)
+        sym = np.zeros(0, table.dtype)
         for text in samples[lang]:
-            if not len(sym) or len(sym) + len(text) <= most:
+            if lang not in dense or not len(sym) or len(sym) + len(text) <= most:
                 sym = np.r_[sym, symbols_of([text], table)[0]]
-        states = suffix_automaton(sym)
+        foreign[len(sizes), sym] = False
+        sizes.append(max(2, len(sym)))
+        if lang not in dense:
+            states = suffix_automaton(sym)
+            roots.append(far_base)
+            far_roots.append(far_base)
+            far.append(np.array([(far_base + s, c, far_base + to) for s, step in enumerate(states) for c, to in step.items() if c not in (BREAK, OTHER)], np.int64).reshape(-1, 3))
+            far_base += len(states)
+            continue
+        states = suffix_automaton(narrow[sym])
         root = states[0]
         # where a state has no step: the phrase ends, and the symbol begins the next one at the root
         known = {c: base + to for c, to in root.items() if c not in (BREAK, OTHER)}
-        stuck = np.array([known[c] | 1 << PHRASES if c in known else base | 2 << PHRASES for c in range(width)], np.int64)
+        stuck = np.array([known[c] | 1 << PHRASES if c in known else base | 2 << PHRASES for c in range(thin)], np.int64)
         own = np.tile(stuck, (len(states), 1))
-        own[0] = [known.get(c, base | 1 << PHRASES) for c in range(width)]
+        own[0] = [known.get(c, base | 1 << PHRASES) for c in range(thin)]
         for s, step in enumerate(states):
             for c, to in step.items():
                 if c not in (BREAK, OTHER):
                     own[s, c] = base + to
         parts.append(own.astype(np.uint32).ravel())
         roots.append(base)
-        sizes.append(max(2, len(sym)))
         base += len(states)
-    if base > STATE:
+    if max(base, far_base) > STATE:
         raise ValueError("the samples are too large for the state numbers")
-    return Model(sorted(samples), letters, np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array(roots, np.int64), np.array(sizes, np.float64))
+    sparse = Sparse(width, far_roots, *np.concatenate(far).T) if far else None
+    return Model(sorted(samples), letters, np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array(roots, np.int64), np.array(sizes, np.float64), np.array([x in dense for x in sorted(samples)], bool), narrow, sparse, foreign)
 
 
 def parse(model: Model, sym: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(phrases, by language and text; symbols, by text) of cross-parsing every clause."""
-    k, width = len(model.languages), model.symbols
+    k, width = len(model.languages), model.width
     inside = sym != BREAK
     edge = np.diff(np.r_[False, inside, False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -175,23 +262,28 @@ def parse(model: Model, sym: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.
     length = end - start
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
-    phrases = np.zeros((k, len(start)), np.uint32)
-    state = np.repeat(model.roots.astype(np.uint32)[:, None], len(start), axis=1)
     # how many clauses are longer than t, for every t
     active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
-    for t, m in enumerate(active.tolist()):
-        got = model.steps[state[:, :m].astype(np.int64) * width + sym[start[:m] + t]]
-        phrases[:, :m] += got >> np.uint32(PHRASES)
-        state[:, :m] = got & np.uint32(STATE)
-    phrases += state != model.roots.astype(np.uint32)[:, None]
+    phrases = np.zeros((k, len(start)), np.uint32)
+    thin = model.narrow[sym] if model.dense.any() else sym
+    for side, at, step in ((model.dense, thin, lambda state, c: model.steps[state.astype(np.int64) * width + c]), (~model.dense, sym, model.sparse)):
+        if not side.any():
+            continue
+        roots = model.roots[side].astype(np.uint32)[:, None]
+        state, made = np.repeat(roots, len(start), axis=1), np.zeros((int(side.sum()), len(start)), np.uint32)
+        for t, m in enumerate(active.tolist()):
+            got = step(state[:, :m], at[start[:m] + t])
+            made[:, :m] += got >> np.uint32(PHRASES)
+            state[:, :m] = got & np.uint32(STATE)
+        phrases[side] = made + (state != roots)
     texts = owner[start]
     by_text = np.stack([np.bincount(texts, weights=phrases[i], minlength=n) for i in range(k)]) if k else np.zeros((0, n))
     return by_text, np.bincount(texts, weights=length, minlength=n)
 
 
-def identify(model: Model, texts: list[str | None], table: np.ndarray) -> list[tuple[str, float, float]]:
-    """(language, score, bits a symbol) of every text."""
-    out: list[tuple[str, float, float]] = []
+def identify(model: Model, texts: list[str | None], table: np.ndarray) -> list[tuple[str, float, float, float]]:
+    """(language, score, bits a symbol, bits a symbol without unlearned letters and what they cut short) of every text."""
+    out: list[tuple[str, float, float, float]] = []
     at = 0
     while at < len(texts):
         to, total = at, 0
@@ -202,23 +294,30 @@ def identify(model: Model, texts: list[str | None], table: np.ndarray) -> list[t
         sym, owner = symbols_of(part, table)
         letters = np.bincount(owner, weights=sym > SPACE, minlength=len(part))
         phrases, symbols = parse(model, sym, owner, len(part))
-        bits = phrases * np.log2(model.sizes)[:, None] / np.maximum(symbols, 1)
+        told = np.flatnonzero(model.foreign.any(axis=0)[sym])
+        named = np.stack([np.bincount(owner[told], weights=f[sym[told]], minlength=len(part)) for f in model.foreign]) if model.languages else phrases
+        bits = (phrases * np.log2(model.sizes)[:, None] + named * log2(model.symbols)) / np.maximum(symbols, 1)
+        unlearned = sym == OTHER
+        cut_short = unlearned & (np.r_[BREAK, sym[:-1]] != BREAK) & ~np.r_[False, unlearned[:-1]]
+        others, cuts = (np.bincount(owner, weights=x, minlength=len(part)) for x in (unlearned, cut_short))
         for i in range(len(part)):
             if not letters[i] or not model.languages:
-                out.append(("und", 0.0, 0.0))
+                out.append(("und", 0.0, 0.0, 0.0))
                 continue
             best = int(np.argmin(bits[:, i]))
             odds = np.exp2(-(bits[:, i] - bits[best, i]) * min(symbols[i], SHARP))
-            out.append((model.languages[best], float(1 / odds.sum()), float(bits[best, i])))
+            learned = symbols[i] - others[i]
+            noise = 0.0 if others[i] and learned < NOISE_LEAST else max(0.0, phrases[best, i] - others[i] - cuts[i]) * log2(model.sizes[best]) / max(1, learned)
+            out.append((model.languages[best], float(1 / odds.sum()), float(bits[best, i]), float(noise)))
         at = to
     return out
 
 
-PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())])
+PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("noise", T.DoubleType())])
 
 
 def language_of(text: Column, model: Model) -> Column:
-    """struct(lang, score, bits) of a text column; the model goes to executors as a broadcast of bounded size."""
+    """struct(lang, score, bits, noise) of a text column; the model goes to executors as a broadcast of bounded size."""
     from pyspark.sql import SparkSession
 
     sent = SparkSession.active().sparkContext.broadcast(model)
@@ -229,8 +328,8 @@ def language_of(text: Column, model: Model) -> Column:
         if not hasattr(model, "table"):
             model.table = symbol_table(model.letters)
         rows = identify(model, [None if (b := v.as_py()) is None else b.decode("utf-8", "replace") for v in texts.cast(pa.binary())], model.table)
-        lang, score, bits = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=["lang", "score", "bits"])
+        lang, *numbers = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], names=PREDICTED.names)
 
     return run(text)
 
@@ -281,5 +380,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without those of no language: ``und``, or long noise that no language explains."""
     judged = docs.withColumn("langid_p", language_of(F.col(text_col), model))
-    noise = (F.col("langid_p.bits") > NOISE_BITS) & (F.length(text_col) >= NOISE_LEAST)
+    noise = (F.col("langid_p.noise") > NOISE_BITS) & (F.length(text_col) >= NOISE_LEAST)
     return judged.filter((F.col("langid_p.lang") != "und") & ~noise).drop("langid_p")

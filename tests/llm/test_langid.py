@@ -69,3 +69,40 @@ def test_learning_ignores_order_and_other_columns(spark):
     a = L.learn(docs, L.usable(F.col("doc_id")))
     b = L.learn(docs.orderBy(F.desc("doc_id")).withColumn("li_lang", F.lit("clash")), L.usable(F.col("doc_id")))
     assert a.letters == b.letters and (a.steps == b.steps).all()
+
+
+def large_alphabets():
+    """Texts by language over 900 signs each, half of them shared, in words of two signs; ``small`` has the smallest sample."""
+    rng, out = random.Random(8), {"small": ["the cat sat on the mat and then the cat ran " * 3]}
+    for lang, first in (("ja", 0x4E00), ("zh", 0x4E00 + 450)):
+        words = [chr(first + rng.randrange(900)) + chr(first + rng.randrange(900)) for _ in range(1500)]
+        out[lang] = ["".join(rng.choice(words) for _ in range(150)) for _ in range(80)]
+    return out
+
+
+def test_large_alphabets(spark):
+    texts = large_alphabets()
+    model = L.build({k: v[:60] for k, v in texts.items()})
+    assert len(model.letters) > 1000
+    rows = [(lang, t) for lang in ("ja", "zh") for t in texts[lang][60:]] + [("small", "the cat sat on the mat")]
+    # of unlearned letters, and half of it learned
+    kept = [*rows, ("?", "".join(chr(0xAC00 + i * 7) for i in range(200))), ("?", " the cat ran ".join(chr(0xAC00 + i * 7) * 5 for i in range(20)))]
+    df = spark.createDataFrame(kept, "lang string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    got = L.predict(df, model).join(df, "doc_id").filter("lang <> '?'").collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+    assert L.keep_identified(df, model).count() == len(kept)
+
+
+def test_phrases_of_large_alphabets_match_brute_force():
+    texts = large_alphabets()
+    model = L.build({"zh": texts["zh"][:5]})
+    table, train = L.symbol_table(model.letters), "\0".join(texts["zh"][:5])
+    phrases, _ = L.parse(model, *L.symbols_of(texts["zh"][5:9] + texts["ja"][:2], table), 6)
+    for i, t in enumerate(texts["zh"][5:9] + texts["ja"][:2]):
+        n = at = 0
+        while at < len(t):
+            to = at + 1
+            while to < len(t) and t[at : to + 1] in train:
+                to += 1
+            n, at = n + 1, to
+        assert phrases[0, i] == n
