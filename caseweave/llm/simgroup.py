@@ -13,7 +13,9 @@ at 0.8 share one of BANDS bands with probability 0.9998, closer ones more
 surely. Bands held by one node are dropped before fingerprints move. Buckets
 are compared as in :mod:`caseweave.llm.simhash`: vertical bit planes, carry-save
 counters, words abandoned once all their lanes exceed the radius; large buckets
-are dealt as pairs of sub-blocks. The radius leaves SLACK below the similarity.
+are dealt as pairs of sub-blocks. The radius leaves SLACK below the similarity;
+pairs with a set below SMALL elements are candidates whatever their fingerprints
+say, if their sizes alone allow the similarity.
 A bucket does not give all of its pairs at once but a spanning forest of the
 most similar ones, in which every row keeps its nearest other; these pairs are
 then verified on the sets themselves (32 bits of each shingle's hash). Where a
@@ -44,8 +46,10 @@ from caseweave.plans.durable import cut, discard, store
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, BANDS, ROWS = 1024, 16, 4
-#: How far below the similarity a fingerprint may put a pair that is then verified: about three sigma.
-SLACK = 0.08
+#: How far below the similarity a fingerprint may put a pair that is then verified: over four sigma.
+SLACK = 0.12
+#: Bits of majority say little of sets of fewer elements: of their pairs in a bucket, fingerprints drop none.
+SMALL = 64
 #: Work items (one fingerprint against 64) in one vectorised step.
 STEP = 1 << 13
 #: The golden ratio's fraction, as an odd 64-bit number.
@@ -144,7 +148,7 @@ def similarity_of(distance: np.ndarray, m: np.ndarray, n: np.ndarray, bits: int
     return shared / np.maximum(m + n - shared, 1e-9)
 
 
-def link_groups(group: np.ndarray, prints: np.ndarray, size: np.ndarray, least: float, root: np.ndarray | None = None, tried: np.ndarray | None = None, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def link_groups(group: np.ndarray, prints: np.ndarray, size: np.ndarray, least: float, root: np.ndarray | None = None, tried: np.ndarray | None = None, most: int = 1, alike: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows in contiguous groups: a spanning forest of those that fingerprints put at ``least``, by falling similarity.
 
     prints has the words of a row in a row. Pairs found in a step are reduced
@@ -152,40 +156,61 @@ def link_groups(group: np.ndarray, prints: np.ndarray, size: np.ndarray, least:
     With ``root``, the component of each row, pairs inside a component and those
     ``tried`` (codes row * rows + later row, sorted) are left out, and what is
     given are the ``most`` most similar ones of every component of a group.
+    With ``alike``, pairs with a set below SMALL are held to that ratio of sizes alone.
     """
     n = len(prints)
+    a, b, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    bound = 1 << 20
+    for x, y, tiny in near_rows(group, prints, size, radius_for(least), alike):
+        s = similarity_of(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64), size[x], size[y])
+        low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        good = (low < SMALL) & (low >= alike * high - 1e-9) if tiny else s >= least
+        if alike is not None and not tiny:
+            good &= low >= SMALL
+        if root is not None:
+            good &= (root[x] != root[y]) & ~contains(tried, x * n + y)
+        a, b, near = np.r_[a, x[good]], np.r_[b, y[good]], np.r_[near, s[good]]
+        if root is None:
+            a, b, near = forest(n, a, b, near)
+        elif len(a) > bound:
+            a, b, near = nearest(root, a, b, near, most)
+            bound = max(bound, 2 * len(a))
+    return (a, b) if root is None else nearest(root, a, b, near, most)[:2]
+
+
+def near_rows(group: np.ndarray, prints: np.ndarray, size: np.ndarray, radius: int, alike: float | None):
+    """Pairs of rows (x, y, tiny), x before y, in steps: those within the radius, and all that may have a set below SMALL."""
+    yield from ((x, y, False) for x, y in pairs_within(group, prints, radius))
+    if alike is not None:
+        few = np.flatnonzero(size * alike < SMALL)
+        yield from ((few[x], few[y], True) for x, y in pairs_within(group[few], prints[few], None))
+
+
+def pairs_within(group: np.ndarray, prints: np.ndarray, radius: int | None):
+    """Pairs of rows in contiguous groups within the radius, or all of them, in steps."""
+    n = len(prints)
+    if not n:
+        return
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     end = np.repeat(np.r_[start[1:], n], np.diff(np.r_[start, n]))
-    rows, planes, radius = np.arange(n), bit_planes(prints), radius_for(least)
+    rows, planes = np.arange(n), bit_planes(prints) if radius is not None else None
     pivots = np.flatnonzero(rows + 1 < end)
     first = (pivots + 1) >> 6
     counts = ((end[pivots] - 1) >> 6) - first + 1
     bounds = np.r_[0, np.cumsum(counts)]
-    a, b, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    at, bound = 0, 1 << 20
+    at = 0
     while at < len(pivots):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + STEP, "right")) - 1)
         c = counts[at:to]
         pivot = np.repeat(pivots[at:to], c)
         word = np.arange(len(pivot)) - np.repeat(bounds[at:to] - bounds[at], c) + np.repeat(first[at:to], c)
         lanes = below(np.clip(end[pivot] - 64 * word, 0, 64).astype(np.uint64)) & ~below(np.clip(pivot + 1 - 64 * word, 0, 64).astype(np.uint64))
-        found = within_radius(prints, planes, pivot, word, lanes, radius)
+        found = (pivot, word, lanes) if radius is None else within_radius(prints, planes, pivot, word, lanes, radius)
         for i in range(0, len(found[0]), 1 << 10):
             p, w, m = (x[i : i + (1 << 10)] for x in found)
             item, lane = np.nonzero(np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            x, y = p[item], 64 * w[item] + lane
-            s = similarity_of(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64), size[x], size[y])
-            good = s >= least
-            if root is not None:
-                good &= (root[x] != root[y]) & ~contains(tried, x * n + y)
-            a, b, near = np.r_[a, x[good]], np.r_[b, y[good]], np.r_[near, s[good]]
-            if root is None:
-                a, b, near = forest(n, a, b, near)
-            elif len(a) > bound:
-                a, b, near = nearest(root, a, b, near, most)
-                bound = max(bound, 2 * len(a))
+            yield p[item], 64 * w[item] + lane
         at = to
-    return (a, b) if root is None else nearest(root, a, b, near, most)[:2]
 
 
 def contains(codes: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -262,7 +287,7 @@ def bucket_edges(least: float, most: int = 0):
                 roots, own = np.unique(to, return_inverse=True)
                 root = np.unique(group * len(roots) + own, return_inverse=True)[1]
             prints = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(node), -1)
-            a, b = link_groups(group, prints, size.astype(np.float64), least, root, tried, most)
+            a, b = link_groups(group, prints, size.astype(np.float64), least - SLACK, root, tried, most, least)
             u, v, c1, c2 = np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), b1[a], b2[a]
         return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int32()), pa.array(u), pa.array(v)], names=["b1", "b2", "u", "v"])
 
@@ -281,7 +306,7 @@ def members(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(inside: DataFrame, nodes: DataFrame, least: float, tried: DataFrame | None = None, most: int = 0) -> DataFrame:
-    """Pairs (b1, b2, u, v) of ``inside(b1, b2, node, root)`` that fingerprints put at ``least``, u < v.
+    """Pairs (b1, b2, u, v) of ``inside(b1, b2, node, root)`` that fingerprints put near ``least``, u < v.
 
     Of each bucket a forest, or with ``most`` so many of each component, none of them among ``tried(b1, b2, u, v)``.
     """
@@ -295,7 +320,7 @@ def candidates(inside: DataFrame, nodes: DataFrame, least: float, tried: DataFra
 def links(nodes: DataFrame, drawn: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
     """Verified pairs (u, v) whose components are those of all candidates that hold."""
     inside, bucket, pair = members(nodes), ["b1", "b2"], ["u", "v"]
-    given = cut(candidates(inside.withColumn("root", F.col("node")), nodes, least - SLACK))
+    given = cut(candidates(inside.withColumn("root", F.col("node")), nodes, least))
     asked = cut(given.select(*pair).distinct())
     holds = verified(asked, drawn, firsts, least)
     failed = cut(asked.join(holds, pair, "left_anti"))
@@ -309,7 +334,7 @@ def links(nodes: DataFrame, drawn: DataFrame, firsts: DataFrame, least: float) -
         rooted = cut(inside.select(*bucket, "node").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")))
         split = cut(rooted.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*bucket))
         inside, tried = rooted.join(split, bucket, "left_semi"), cut(tried.join(split, bucket, "left_semi"))
-        given = cut(candidates(inside, nodes, least - SLACK, tried, most))
+        given = cut(candidates(inside, nodes, least, tried, most))
         if given.isEmpty():
             break
         # other buckets may have had the pair verified

@@ -134,3 +134,11 @@ def test_rounds_leave_out_what_was_tried():
         seen |= new
         tried = np.unique(np.r_[tried, pairs[0] * 7 + pairs[1]])
     assert seen == {(0, 3), (1, 2), (1, 3), (2, 3), (4, 5), (4, 6)}
+
+
+def test_short_texts_link(spark):
+    """Eight words and the same with one more: four shingles of five, a similarity of exactly 0.8."""
+    texts = [" ".join(f"d{d}w{i}" for i in range(n)) for d in range(60) for n in (8, 9)]
+    found, classes = G.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.id: r.component_id for r in found.join(classes, "fp").collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
