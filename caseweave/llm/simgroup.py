@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.arrow import text_udf
-from caseweave.llm.simhash import BUCKET_ROWS, below, bit_planes, components, keep_one, within_radius
+from caseweave.llm.simhash import BUCKET_ROWS, below, bit_planes, components, keep_one_a_class, within_radius
 from caseweave.plans.durable import cut, discard, store
 
 WORDS, SIMILARITY = 5, 0.8
@@ -394,4 +394,4 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class of near duplicates, that of the smallest id."""
-    return keep_one(docs, similar_classes(docs, id_col, text_col, least), lambda text: sketch(text)["node"], id_col, text_col)
+    return keep_one_a_class(docs, similar_classes(docs, id_col, text_col, least), lambda text: sketch(text)["node"], id_col, text_col)

@@ -302,3 +302,30 @@ def keep_one(docs: DataFrame, found: tuple[DataFrame, DataFrame], key_of: Callab
         no_id = docs.filter(F.col(id_col).isNull()).withColumn("orphan_key", key_of(F.col(text_col)))
         out = out.unionByName(no_id.join(orphan, F.col("orphan_key") == F.col("orphan_fp")).dropDuplicates(["orphan_root"]).select(*docs.columns))
     return out
+
+
+def keep_one_a_class(docs: DataFrame, found: tuple[DataFrame, DataFrame], key_of: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each class: that of the smallest id.
+
+    ``found`` are the rows and classes of ``docs``, ``key_of`` the key (fp) of a
+    text. Where several rows of a class bear that id, the first by key and hash
+    stays; rows of other classes with that id do not count. A class whose rows
+    all lack an id keeps one row; rows without an id go if their class has one.
+    """
+    rows, classes = found[0], cut(found[1])
+    kept = cut(rows.join(classes.select(F.col("component_id").alias("id")).distinct(), "id").groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
+    key = F.col(id_col) == F.col("kept_id")
+    once, more = (docs.join(kept.filter(c).select(F.col("id").alias("kept_id")), key, "left_semi") for c in ("rows = 1", "rows > 1"))
+    named = classes.select(F.col("fp").alias("kept_fp"), F.col("root").alias("kept_root"), F.col("component_id").alias("kept_of"))
+    order = F.struct("kept_key", F.xxhash64(F.col(text_col)), F.xxhash64(*docs.columns))
+
+    def one_a_root(of: DataFrame) -> DataFrame:
+        keyed = of.withColumn("kept_key", key_of(F.col(text_col))).join(named, (F.col("kept_key") == F.col("kept_fp")) & F.col("kept_of").eqNullSafe(F.col(id_col)))
+        return keyed.groupBy("kept_root").agg(F.min_by(F.struct(*docs.columns), order).alias("kept_row")).select("kept_row.*")
+
+    out = once
+    if not kept.filter("rows > 1").isEmpty():
+        out = out.unionByName(one_a_root(more))
+    if not rows.filter("id is null").isEmpty():
+        out = out.unionByName(one_a_root(docs.filter(F.col(id_col).isNull())))
+    return out

@@ -142,3 +142,10 @@ def test_short_texts_link(spark):
     found, classes = G.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = {r.id: r.component_id for r in found.join(classes, "fp").collect()}
     assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
+
+
+def test_keeps_one_of_each_class_of_an_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    df = spark.createDataFrame([(5, a), (9, a), (5, b), (7, b), (5, c), (3, c), (3, c + " more"), (None, a)], "doc_id long, text string")
+    kept = [{tuple(r) for r in G.keep_one_of_similar(df.repartition(n)).collect()} for n in (1, 7)]
+    assert kept[0] == kept[1] and kept[0] in [{(5, a), (5, b), (3, x)} for x in (c, c + " more")]
