@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.arrow import text_udf
+from caseweave.plans.durable import cut
 
 #: Bounds of the learning sample. For each language: texts of fitting length in order of a hash,
-#: whole, until there are SAMPLE_SYMBOLS; at most SAMPLE_TEXTS of them. Further languages than
-#: MOST_LANGUAGES (by labelled rows) are not learned.
+#: whole, until there are SAMPLE_SYMBOLS; at most SAMPLE_TEXTS of them. A language without such
+#: texts is learned from its others, of which the first TEXT_MOST characters.
 SAMPLE_SYMBOLS, SAMPLE_TEXTS, TEXT_LEAST, TEXT_MOST = 30_000, 64, 200, 8_000
-MOST_LANGUAGES = 60
-#: Bytes of the transition table that is sent to executors; with many languages samples get smaller.
+#: Bytes of the transition table that is sent to executors; further languages go to the hash table of steps.
 TABLE_BYTES = 128 << 20
 #: Letters of the transition table; a language that brings more goes to the hash table of steps.
 DENSE_LETTERS = 250
@@ -53,6 +53,8 @@ SLICE = 1_000_000
 SHARP = 60
 #: A text of at least NOISE_LEAST symbols that its best language explains no better than this is noise; unlearned letters are no evidence of it.
 NOISE_BITS, NOISE_LEAST = 11.5, 60
+#: NOISE_BITS are those of a whole sample; for one of n symbols they are this times log2(n).
+NOISE_SHARE = NOISE_BITS / log2(SAMPLE_SYMBOLS)
 
 BREAK, SPACE, OTHER = 0, 1, 2
 PHRASES = 29
@@ -201,11 +203,13 @@ def build(samples: dict[str, list[str]]) -> Model:
     letters = sorted(set().union(*own_letters.values()))
     table, width = symbol_table(letters), len(letters) + 3
     # languages of few letters first, as long as the table's letters suffice
-    few: set[str] = set()
+    few, total = set(), 0
     dense = []
     for lang in sorted(samples, key=lambda x: (len(own_letters[x]), x)):
-        if len(few | own_letters[lang]) <= DENSE_LETTERS:
-            few |= own_letters[lang]
+        both, long = few | own_letters[lang], total + sum(map(len, samples[lang]))
+        # an automaton has at most two states a symbol
+        if len(both) <= DENSE_LETTERS and 8 * (len(both) + 3) * long <= TABLE_BYTES:
+            few, total = both, long
             dense.append(lang)
     number = {c: i + 3 for i, c in enumerate(sorted(few))}
     narrow = np.array([BREAK, SPACE, OTHER, *(number.get(c, OTHER) for c in letters)], np.uint8)
@@ -214,13 +218,10 @@ def build(samples: dict[str, list[str]]) -> Model:
     far, far_roots, far_base = [], [], 0
     foreign = np.ones((len(samples), width), bool)
     foreign[:, : OTHER + 1] = False
-    # an automaton has at most two states a symbol
-    most = TABLE_BYTES // (8 * thin * max(1, len(dense)))
     for lang in sorted(samples):
         sym = np.zeros(0, table.dtype)
         for text in samples[lang]:
-            if lang not in dense or not len(sym) or len(sym) + len(text) <= most:
-                sym = np.r_[sym, symbols_of([text], table)[0]]
+            sym = np.r_[sym, symbols_of([text], table)[0]]
         foreign[len(sizes), sym] = False
         sizes.append(max(2, len(sym)))
         if lang not in dense:
@@ -282,7 +283,7 @@ def parse(model: Model, sym: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.
 
 
 def identify(model: Model, texts: list[str | None], table: np.ndarray) -> list[tuple[str, float, float, float]]:
-    """(language, score, bits a symbol, bits a symbol without unlearned letters and what they cut short) of every text."""
+    """(language, score, bits a symbol, phrases a symbol without unlearned letters and what they cut short) of every text."""
     out: list[tuple[str, float, float, float]] = []
     at = 0
     while at < len(texts):
@@ -307,7 +308,7 @@ def identify(model: Model, texts: list[str | None], table: np.ndarray) -> list[t
             best = int(np.argmin(bits[:, i]))
             odds = np.exp2(-(bits[:, i] - bits[best, i]) * min(symbols[i], SHARP))
             learned = symbols[i] - others[i]
-            noise = 0.0 if others[i] and learned < NOISE_LEAST else max(0.0, phrases[best, i] - others[i] - cuts[i]) * log2(model.sizes[best]) / max(1, learned)
+            noise = 0.0 if others[i] and learned < NOISE_LEAST else max(0.0, phrases[best, i] - others[i] - cuts[i]) / max(1, learned)
             out.append((model.languages[best], float(1 / odds.sum()), float(bits[best, i]), float(noise)))
         at = to
     return out
@@ -339,23 +340,22 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
 
     The sample is the same for the same rows in any order: for each language the
     texts of TEXT_LEAST to TEXT_MOST characters that come first by a hash of
-    their id. Only those (at most SAMPLE_TEXTS for each of MOST_LANGUAGES) reach
-    the driver.
+    their id, or if it has none, its others. Only those (at most SAMPLE_TEXTS
+    for each language, and none after SAMPLE_SYMBOLS) reach the driver.
     """
     from pyspark.sql import Window
 
     rows = docs.filter(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("li_lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("li_hash"), F.col(text_col).alias("li_text"))
-    rows = rows.filter(F.length("li_text").between(TEXT_LEAST, TEXT_MOST))
-    by_rank = Window.partitionBy("li_lang").orderBy("li_hash")
-    first = rows.select("li_lang", "li_hash").withColumn("n", F.row_number().over(by_rank)).filter(F.col("n") <= SAMPLE_TEXTS)
-    top = first.groupBy("li_lang").agg(F.max("li_hash").alias("top")).orderBy("li_lang").limit(MOST_LANGUAGES).collect()
-    chosen = F.lit(False)
-    for r in top:
-        chosen = chosen | (F.col("li_lang") == r.li_lang) & (F.col("li_hash") <= r.top)
+    rows = rows.withColumn("li_length", F.length("li_text")).filter("li_length > 0").withColumn("li_fits", F.col("li_length").between(TEXT_LEAST, TEXT_MOST)).withColumn("li_text", F.substring("li_text", 1, TEXT_MOST))
+    by_rank = Window.partitionBy("li_lang", "li_fits").orderBy("li_hash")
+    first = rows.select("li_lang", "li_fits", "li_hash", F.least("li_length", F.lit(TEXT_MOST)).alias("li_length")).withColumn("n", F.row_number().over(by_rank)).filter(F.col("n") <= SAMPLE_TEXTS)
+    first = first.withColumn("before", F.sum("li_length").over(by_rank.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("before", F.lit(0)) < SAMPLE_SYMBOLS)
+    top = first.groupBy("li_lang", "li_fits").agg(F.max("li_hash").alias("top")).groupBy("li_lang").agg(F.max(F.struct("li_fits", "top")).alias("t"))
+    top = cut(top.select("li_lang", F.col("t.li_fits").alias("li_fits"), F.col("t.top").alias("top")))
     found: dict[str, list[str]] = {}
     size: dict[str, int] = {}
-    sample = rows.filter(chosen).groupBy("li_lang", "li_hash").agg(F.min("li_text").alias("li_text")).collect()
-    for r in sorted(sample, key=lambda r: (r.li_lang, r.li_hash)):
+    sample = rows.join(F.broadcast(top), ["li_lang", "li_fits"]).filter("li_hash <= top").groupBy("li_lang", "li_hash").agg(F.min("li_text").alias("li_text"))
+    for r in sorted(sample.collect(), key=lambda r: (r.li_lang, r.li_hash)):
         if size.get(r.li_lang, 0) < SAMPLE_SYMBOLS:
             found.setdefault(r.li_lang, []).append(r.li_text)
             size[r.li_lang] = size.get(r.li_lang, 0) + len(r.li_text)
@@ -380,5 +380,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without those of no language: ``und``, or long noise that no language explains."""
     judged = docs.withColumn("langid_p", language_of(F.col(text_col), model))
-    noise = (F.col("langid_p.noise") > NOISE_BITS) & (F.length(text_col) >= NOISE_LEAST)
+    noise = (F.col("langid_p.noise") > NOISE_SHARE) & (F.length(text_col) >= NOISE_LEAST)
     return judged.filter((F.col("langid_p.lang") != "und") & ~noise).drop("langid_p")

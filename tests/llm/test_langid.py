@@ -106,3 +106,30 @@ def test_phrases_of_large_alphabets_match_brute_force():
                 to += 1
             n, at = n + 1, to
         assert phrases[0, i] == n
+
+
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    rng = random.Random(4)
+    rows, want = [], []
+    for i in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)]
+        # the first only has short texts, the second only long ones
+        n = {0: 10, 1: 1500}.get(i, 60)
+        want.append(f"l{i:02d}")
+        rows += [(100 * i + j, want[-1], " ".join(rng.choice(words) for _ in range(n))) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = L.learn(df, F.lit(True))
+    assert model.languages == want
+    assert all(r.lang == r.lang_pred for r in L.predict(df, model).join(df, "doc_id").collect())
+    monkeypatch.setattr(L, "TABLE_BYTES", 1 << 16)
+    small = L.learn(df, F.lit(True))
+    assert (small.sizes == model.sizes).all() and not small.dense.all() and model.dense.any()
+    assert sorted(L.predict(df, small).collect()) == sorted(L.predict(df, model).collect())
+
+
+def test_noise_is_found_by_small_samples(spark):
+    letters = [chr(0x400 + i) for i in range(0x50)]
+    model = L.build({"aa": ["the cat sat on the mat and then the cat ran " * 8 + " ".join(letters)]})
+    rng = random.Random(1)
+    df = spark.createDataFrame([("".join(rng.choice(letters[0x30:]) for _ in range(300)),), ("the cat sat on the mat " * 9,)], "text string")
+    assert [r.text[:3] for r in L.keep_identified(df, model).collect()] == ["the"]
