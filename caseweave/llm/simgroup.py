@@ -319,32 +319,39 @@ def candidates(inside: DataFrame, nodes: DataFrame, least: float, tried: DataFra
 
 def links(nodes: DataFrame, drawn: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
     """Verified pairs (u, v) whose components are those of all candidates that hold."""
-    inside, bucket, pair = members(nodes), ["b1", "b2"], ["u", "v"]
+    bucket, pair = ["b1", "b2"], ["u", "v"]
+    # merged: every broadcast with a key of two columns takes 16 MB of the driver, and rounds add up
+    among = lambda x, y, key, how="left_semi": x.join(y.select(*key).distinct().hint("merge"), key, how)
+    inside = cut(members(nodes))
     given = cut(candidates(inside.withColumn("root", F.col("node")), nodes, least))
     asked = cut(given.select(*pair).distinct())
     holds = verified(asked, drawn, firsts, least)
-    failed = cut(asked.join(holds, pair, "left_anti"))
+    failed = cut(among(asked, holds, pair, "left_anti"))
     # a bucket all of whose forest holds has no pair left between components
-    tried = cut(given.join(failed, pair, "left_semi"))
-    inside = cut(inside.join(tried.select(*bucket).distinct(), bucket, "left_semi"))
+    tried = cut(among(given, failed, pair))
+    if tried.isEmpty():
+        return holds
+    inside = among(inside, tried, bucket).join(components(holds), "node", "left").withColumn("root", F.coalesce("root", "node"))
     most = 1
-    while not tried.isEmpty():
+    while True:
         most *= 4
-        comp = components(holds)
-        rooted = cut(inside.select(*bucket, "node").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        split = cut(rooted.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*bucket))
-        inside, tried = rooted.join(split, bucket, "left_semi"), cut(tried.join(split, bucket, "left_semi"))
+        inside = cut(inside.select(*bucket, "node", "root"))
+        split = cut(inside.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*bucket))
+        inside, tried = cut(among(inside, split, bucket)), cut(among(tried, split, bucket))
         given = cut(candidates(inside, nodes, least, tried, most))
         if given.isEmpty():
-            break
+            return holds
         # other buckets may have had the pair verified
-        asked = cut(given.select(*pair).distinct().join(failed, pair, "left_anti"))
+        asked = cut(among(given, failed, pair, "left_anti").select(*pair).distinct())
         more = verified(asked, drawn, firsts, least)
-        holds, failed = cut(holds.union(more)), cut(failed.union(asked.join(more, pair, "left_anti")))
-        tried = cut(tried.union(given.join(more, pair, "left_anti").select(*bucket, *pair)))
-        inside = cut(inside.join(given.select(*bucket).distinct(), bucket, "left_semi"))
-        tried = cut(tried.join(given.select(*bucket).distinct(), bucket, "left_semi"))
-    return holds
+        holds, failed = cut(holds.union(more)), cut(failed.union(among(asked, more, pair, "left_anti")))
+        tried = cut(among(tried.union(among(given, more, pair, "left_anti").select(*bucket, *pair)), given, bucket))
+        inside = cut(among(inside, given, bucket))
+        if not more.isEmpty():
+            own = cut(inside.select("node", "root").distinct())
+            side = lambda c: own.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            joined = components(more.join(side("u"), "u").join(side("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+            inside = inside.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root"))
 
 
 def jaccard(u: Column, v: Column) -> Column:
