@@ -7,23 +7,21 @@ similarity, with an error of about 0.03 (one sigma) for 1024 bits. (With 64
 bits, near copies at 0.8 differ in 5 to 13 bits, as do many pairs at 0.65, so
 no radius tells them apart.)
 
-Equal sets are one node from the start, so exact copies cost nothing. Other
-candidates share a band, the minima of ROWS hash functions over the set: pairs
-at 0.8 share one of BANDS bands with probability 0.9998, closer ones more
-surely. Bands held by one node are dropped before fingerprints move. Buckets
-are compared as in :mod:`caseweave.llm.simhash`: vertical bit planes, carry-save
-counters, words abandoned once all their lanes exceed the radius; large buckets
-are dealt as pairs of sub-blocks. The radius leaves SLACK below the similarity;
-pairs with a set below SMALL elements are candidates whatever their fingerprints
-say, if their sizes alone allow the similarity.
-A bucket does not give all of its pairs at once but a spanning forest of the
-most similar ones, in which every row keeps its nearest other; these pairs are
-then verified on the sets themselves (32 bits of each shingle's hash). Where a
-pair fails, the buckets that gave it are asked again: what holds is contracted,
-what failed is left out, and every component gives its most similar pairs to
-others (four times as many in each round), until no bucket has an unverified
-pair between two components. Classes are the components of what holds, so they
-are those of all candidates, verified or not.
+Equal sets (by a 64-bit hash) are one node from the start, so exact copies cost
+nothing. Other candidates share a band, the minima of ROWS hash functions over
+the set: pairs at 0.8 share one of BANDS bands with probability 0.9998, closer
+ones more surely. What a band does is choose buckets; the comparison in them is
+that of :mod:`caseweave.llm.buckets`: vertical bit planes, carry-save counters,
+words abandoned once all their lanes exceed the radius, hot buckets dealt in
+blocks. The radius leaves SLACK below the similarity; pairs with a set below
+SMALL elements are candidates whatever their fingerprints say, if their sizes
+alone allow the similarity.
+
+A task has the sets themselves too (32 bits of each shingle's hash), and checks
+its candidates on them, the nearest first, until every candidate is checked or
+hangs together already by links that hold. So classes are the components of all
+candidates that hold, and a pair that fails costs no other pair its check. A
+pair that shares several bands is checked in the first alone.
 
 Defined cases: null and empty texts have the empty set, and are one class;
 texts of fewer words than a shingle have all their words as one; repeated rows
@@ -32,6 +30,7 @@ share a class; a class of rows without an id has a null component id.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import acos, ceil, pi
 
 import numpy as np
@@ -41,8 +40,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.arrow import text_udf
-from caseweave.llm.simhash import BUCKET_ROWS, below, bit_planes, components, keep_one_a_class, within_radius
-from caseweave.plans.durable import cut, discard, store
+from caseweave.llm.buckets import bucket_links, by_task, components, near_pairs, task_numbers, union
+from caseweave.llm.simhash import keep_one_a_class, with_smallest
+from caseweave.llm.tables import named
+from caseweave.plans.durable import cut, scratch, store
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, BANDS, ROWS = 1024, 16, 4
@@ -52,6 +53,8 @@ SLACK = 0.12
 SMALL = 64
 #: Work items (one fingerprint against 64) in one vectorised step.
 STEP = 1 << 13
+#: Elements of sets that are compared in one vectorised step.
+ELEMENTS = 1 << 20
 #: The golden ratio's fraction, as an odd 64-bit number.
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -123,7 +126,7 @@ def sketch_of(text: bytes | None, n: int = WORDS, bits: int = BITS) -> tuple[int
     low = low.reshape(BANDS, ROWS)
     bands = [digest(row.tobytes(), b) for b, row in enumerate(low)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(digest(h.tobytes())), len(h), np.packbits(2 * total > len(h), bitorder="little").tobytes(), [signed(b) for b in bands], (h >> np.uint64(32)).astype(np.uint32).tobytes()
+    return signed(digest(h.tobytes())), len(h), np.packbits(2 * total > len(h), bitorder="little").tobytes(), [signed(b) for b in bands], np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()
 
 
 def sketch(text: Column) -> Column:
@@ -148,257 +151,136 @@ def similarity_of(distance: np.ndarray, m: np.ndarray, n: np.ndarray, bits: int
     return shared / np.maximum(m + n - shared, 1e-9)
 
 
-def link_groups(group: np.ndarray, prints: np.ndarray, size: np.ndarray, least: float, root: np.ndarray | None = None, tried: np.ndarray | None = None, most: int = 1, alike: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows in contiguous groups: a spanning forest of those that fingerprints put at ``least``, by falling similarity.
-
-    prints has the words of a row in a row. Pairs found in a step are reduced
-    to a forest together with the forest so far, so their number stays bounded.
-    With ``root``, the component of each row, pairs inside a component and those
-    ``tried`` (codes row * rows + later row, sorted) are left out, and what is
-    given are the ``most`` most similar ones of every component of a group.
-    With ``alike``, pairs with a set below SMALL are held to that ratio of sizes alone.
-    """
-    n = len(prints)
-    a, b, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    bound = 1 << 20
-    for x, y, tiny in near_rows(group, prints, size, radius_for(least), alike):
+class Sets:
+    """Sets of 32-bit elements, one after another, each sorted."""
+
+    def __init__(self, values: pa.Array) -> None:
+        values = values.cast(pa.large_binary())
+        bounds = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+        data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]] if len(values) else np.empty(0, np.uint8)
+        self.elements = np.ascontiguousarray(data).view(np.uint32).astype(np.uint64)
+        self.start, self.size = (bounds[:-1] - bounds[0]) // 4, np.diff(bounds) // 4
+
+    def keys(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(elements of the rows, each below the number of its row, in order; those numbers)."""
+        many = self.size[rows]
+        number = np.repeat(np.arange(len(rows)), many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start[rows], many)
+        return number.astype(np.uint64) << np.uint64(32) | self.elements[at], number
+
+    def similarity(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of the sets of rows x[i] and y[i]; two empty sets have 0."""
+        out = np.zeros(len(x))
+        work = np.cumsum(self.size[x] + self.size[y])
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + ELEMENTS, "right")))
+            a, b = x[at:to], y[at:to]
+            (mine, _), (theirs, number) = self.keys(a), self.keys(b)
+            if len(mine):
+                found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                both = np.bincount(number[found], minlength=len(a))
+                out[at:to] = both / np.maximum(1, self.size[a] + self.size[b] - both)
+            at = to
+        return out
+
+
+def candidates(group: np.ndarray, own: np.ndarray, prints: np.ndarray, size: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (x, y, similarity by fingerprints) of rows that are compared in a task and may have a similarity of ``least``, in steps."""
+    for x, y in near_pairs(group, own, prints, radius_for(least - SLACK), STEP):
         s = similarity_of(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64), size[x], size[y])
+        good = (s >= least - SLACK) & (np.minimum(size[x], size[y]) >= SMALL)
+        yield x[good], y[good], s[good]
+    # all pairs that may have a set below SMALL, as far as their sizes allow
+    few = np.flatnonzero(size * least < SMALL)
+    for i, j in near_pairs(group[few], own[few], prints[few], None, STEP):
+        x, y = few[i], few[j]
         low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-        good = (low < SMALL) & (low >= alike * high - 1e-9) if tiny else s >= least
-        if alike is not None and not tiny:
-            good &= low >= SMALL
-        if root is not None:
-            good &= (root[x] != root[y]) & ~contains(tried, x * n + y)
-        a, b, near = np.r_[a, x[good]], np.r_[b, y[good]], np.r_[near, s[good]]
-        if root is None:
-            a, b, near = forest(n, a, b, near)
-        elif len(a) > bound:
-            a, b, near = nearest(root, a, b, near, most)
-            bound = max(bound, 2 * len(a))
-    return (a, b) if root is None else nearest(root, a, b, near, most)[:2]
-
-
-def near_rows(group: np.ndarray, prints: np.ndarray, size: np.ndarray, radius: int, alike: float | None):
-    """Pairs of rows (x, y, tiny), x before y, in steps: those within the radius, and all that may have a set below SMALL."""
-    yield from ((x, y, False) for x, y in pairs_within(group, prints, radius))
-    if alike is not None:
-        few = np.flatnonzero(size * alike < SMALL)
-        yield from ((few[x], few[y], True) for x, y in pairs_within(group[few], prints[few], None))
-
-
-def pairs_within(group: np.ndarray, prints: np.ndarray, radius: int | None):
-    """Pairs of rows in contiguous groups within the radius, or all of them, in steps."""
-    n = len(prints)
-    if not n:
-        return
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    end = np.repeat(np.r_[start[1:], n], np.diff(np.r_[start, n]))
-    rows, planes = np.arange(n), bit_planes(prints) if radius is not None else None
-    pivots = np.flatnonzero(rows + 1 < end)
-    first = (pivots + 1) >> 6
-    counts = ((end[pivots] - 1) >> 6) - first + 1
-    bounds = np.r_[0, np.cumsum(counts)]
-    at = 0
-    while at < len(pivots):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + STEP, "right")) - 1)
-        c = counts[at:to]
-        pivot = np.repeat(pivots[at:to], c)
-        word = np.arange(len(pivot)) - np.repeat(bounds[at:to] - bounds[at], c) + np.repeat(first[at:to], c)
-        lanes = below(np.clip(end[pivot] - 64 * word, 0, 64).astype(np.uint64)) & ~below(np.clip(pivot + 1 - 64 * word, 0, 64).astype(np.uint64))
-        found = (pivot, word, lanes) if radius is None else within_radius(prints, planes, pivot, word, lanes, radius)
-        for i in range(0, len(found[0]), 1 << 10):
-            p, w, m = (x[i : i + (1 << 10)] for x in found)
-            item, lane = np.nonzero(np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            yield p[item], 64 * w[item] + lane
-        at = to
-
-
-def contains(codes: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which of ``x`` are among the sorted ``codes``."""
-    if not len(codes):
-        return np.zeros(len(x), bool)
-    return codes[np.minimum(np.searchsorted(codes, x), len(codes) - 1)] == x
-
-
-def nearest(root: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of weighted pairs, those that are among the ``most`` greatest of a component at either end."""
-    side, pair = np.r_[root[a], root[b]], np.tile(np.arange(len(a)), 2)
-    order = np.lexsort((b[pair], a[pair], -near[pair], side))
-    sorted_side = side[order]
-    rank = np.arange(len(order)) - np.searchsorted(sorted_side, sorted_side, "left")
-    keep = np.unique(pair[order[rank < most]])
-    return a[keep], b[keep], near[keep]
-
-
-def forest(n: int, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of weighted pairs, a spanning forest of greatest weight."""
-    order = np.lexsort((b, a, -near))
-    a, b, near = a[order], b[order], near[order]
-    root, kept = np.arange(n), []
-    for at in range(0, len(a), 4096):
-        for k in (at + np.flatnonzero(root[a[at : at + 4096]] != root[b[at : at + 4096]])).tolist():
-            x, y = a[k], b[k]
-            while root[x] != x:
-                x = root[x]
-            while root[y] != y:
-                y = root[y]
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                kept.append(k)
-        while not np.array_equal(up := root[root], root):
-            root = up
-    return a[kept], b[kept], near[kept]
-
-
-def bucket_edges(least: float, most: int = 0):
-    """For mapInArrow over rows (b1, b2, node, size, bits, root) sorted by bucket: pairs of nodes by bucket.
-
-    With ``most``, a row without bits is a pair (node, root) that was tried
-    before, and ``root`` of any other row is its component.
+        good = (low < SMALL) & (low >= least * high - 1e-9)
+        x, y = x[good], y[good]
+        yield x, y, similarity_of(np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64), size[x], size[y])
+
+
+def verified(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], sets: Sets, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows, links that hold on the sets and whose components are those of all that do."""
+    root, out = np.arange(len(sets.size)), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for x, y, s in pairs:
+        order = np.argsort(-s, kind="stable")
+        x, y, at, step = x[order], y[order], 0, 64
+        while at < len(x):
+            a, b = x[at : at + step], y[at : at + step]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            holds = sets.similarity(a, b) >= least
+            if holds.any():
+                out.append((a[holds], b[holds]))
+                union(root, *out[-1])
+            at, step = at + step, min(2 * step, 4096)
+    return tuple(np.concatenate(side) for side in zip(*out, strict=True))
+
+
+def task_edges(least: float, whole: bool) -> Callable:
+    """For mapInArrow over tasks (b1, b2, own, node, t, size, bits, bands, elements) in order: links (u, v) that hold.
+
+    With ``whole``, a pair that shares a band before this one is left to the bucket of that band.
     """
 
-    def run(batches):
-        kept = None
-        for batch in batches:
-            part = batch if kept is None else pa.concat_batches([kept, batch])
-            b1, b2 = part.column(0).to_numpy(), part.column(1).to_numpy()
-            other = np.flatnonzero((b1 != b1[-1]) | (b2 != b2[-1])) if len(b1) else []
-            tail = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on in the next batch
-            kept = part.slice(tail)
-            yield edges(part.slice(0, tail))
-        if kept is not None:
-            yield edges(kept)
-
     def edges(part):
-        b1, b2, node, size = (part.column(i).to_numpy() for i in range(4))
-        u = v = c1 = np.empty(0, np.int64)
-        c2 = np.empty(0, np.int32)
+        b1, b2, own, node, t, size = (part.column(i).to_numpy() for i in range(6))
+        u = v = np.empty(0, np.int64)
         if len(node) > 1:
-            group = np.cumsum(np.r_[True, (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])
-            root = tried = None
-            if most:
-                to, row = part.column(5).to_numpy(), part.column(4).is_valid().to_numpy(zero_copy_only=False)
-                old = group[~row], node[~row], to[~row]
-                part, group, node, size, b1, b2, to = part.filter(pa.array(row)), group[row], node[row], size[row], b1[row], b2[row], to[row]
-                names, number = np.unique(node, return_inverse=True)
-                place = group * len(names) + number  # rising: rows are sorted by bucket and node
-                x, y = (np.searchsorted(place, old[0] * len(names) + np.searchsorted(names, end)) for end in old[1:])
-                tried = np.unique(np.minimum(x, y) * len(node) + np.maximum(x, y))
-                roots, own = np.unique(to, return_inverse=True)
-                root = np.unique(group * len(roots) + own, return_inverse=True)[1]
-            prints = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(len(node), -1)
-            a, b = link_groups(group, prints, size.astype(np.float64), least - SLACK, root, tried, most, least)
-            u, v, c1, c2 = np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), b1[a], b2[a]
-        return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int32()), pa.array(u), pa.array(v)], names=["b1", "b2", "u", "v"])
-
-    return run
-
-
-def members(nodes: DataFrame) -> DataFrame:
-    """(b1, b2, node): the buckets of ``nodes(node, bands)`` that hold two or more; large ones are dealt as pairs of sub-blocks."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("t", "key"))
-    held = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    buckets = cut(held.select("t", "key", F.when(F.col("rows") > BUCKET_ROWS, F.ceil(F.col("rows") / (BUCKET_ROWS // 2))).otherwise(1).cast("int").alias("g")))
-    member = keyed.join(buckets, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(o, F.col("own")) * F.col("g") + F.greatest(o, F.col("own")))
-    dealt = member.select("node", F.xxhash64("t", "key").alias("b0"), F.explode(pairs).alias("b2")).select("node", F.xxhash64("b0", "b2").alias("b1"), "b2")
-    return dealt.select("b1", "b2", "node").distinct()
-
-
-def candidates(inside: DataFrame, nodes: DataFrame, least: float, tried: DataFrame | None = None, most: int = 0) -> DataFrame:
-    """Pairs (b1, b2, u, v) of ``inside(b1, b2, node, root)`` that fingerprints put near ``least``, u < v.
-
-    Of each bucket a forest, or with ``most`` so many of each component, none of them among ``tried(b1, b2, u, v)``.
-    """
-    full = inside.join(nodes.select("node", "size", "bits"), "node").select("b1", "b2", "node", "size", "bits", "root")
-    if tried is not None:
-        full = full.unionByName(tried.select("b1", "b2", F.col("u").alias("node"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("bits"), F.col("v").alias("root")))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(parts, "b1").sortWithinPartitions("b1", "b2", "node").mapInArrow(bucket_edges(least, most), "b1 long, b2 int, u long, v long")
-
-
-def links(nodes: DataFrame, drawn: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
-    """Verified pairs (u, v) whose components are those of all candidates that hold."""
-    bucket, pair = ["b1", "b2"], ["u", "v"]
-    # merged: every broadcast with a key of two columns takes 16 MB of the driver, and rounds add up
-    among = lambda x, y, key, how="left_semi": x.join(y.select(*key).distinct().hint("merge"), key, how)
-    inside = cut(members(nodes))
-    given = cut(candidates(inside.withColumn("root", F.col("node")), nodes, least))
-    asked = cut(given.select(*pair).distinct())
-    holds = verified(asked, drawn, firsts, least)
-    failed = cut(among(asked, holds, pair, "left_anti"))
-    # a bucket all of whose forest holds has no pair left between components
-    tried = cut(among(given, failed, pair))
-    if tried.isEmpty():
-        return holds
-    inside = among(inside, tried, bucket).join(components(holds), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    most = 1
-    while True:
-        most *= 4
-        inside = cut(inside.select(*bucket, "node", "root"))
-        split = cut(inside.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*bucket))
-        inside, tried = cut(among(inside, split, bucket)), cut(among(tried, split, bucket))
-        given = cut(candidates(inside, nodes, least, tried, most))
-        if given.isEmpty():
-            return holds
-        # other buckets may have had the pair verified
-        asked = cut(among(given, failed, pair, "left_anti").select(*pair).distinct())
-        more = verified(asked, drawn, firsts, least)
-        holds, failed = cut(holds.union(more)), cut(failed.union(among(asked, more, pair, "left_anti")))
-        tried = cut(among(tried.union(among(given, more, pair, "left_anti").select(*bucket, *pair)), given, bucket))
-        inside = cut(among(inside, given, bucket))
-        if not more.isEmpty():
-            own = cut(inside.select("node", "root").distinct())
-            side = lambda c: own.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            joined = components(more.join(side("u"), "u").join(side("v"), "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
-            inside = inside.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root"))
-
-
-def jaccard(u: Column, v: Column) -> Column:
-    """Similarity of two sets of sorted 32-bit hashes."""
-
-    @text_udf(T.DoubleType())
-    def run(us: pa.Array, vs: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(us.to_pylist(), vs.to_pylist(), strict=True):
-            m, n = (np.unique(np.frombuffer(z, np.uint32)) for z in (x, y))
-            both = len(np.intersect1d(m, n, assume_unique=True))
-            out.append(both / max(1, len(m) + len(n) - both))
-        return pa.array(out, pa.float64())
-
-    return run(u, v)
-
-
-def verified(pairs: DataFrame, drawn: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose sets are that similar.
-
-    Only sets of nodes in pairs are moved, and of a node that of its first
-    document alone: copies stay where they are, however many.
-    """
-    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(firsts, "fp").select(F.col("fp").alias("of"), "first_id"))
-    one = drawn.select("node", "id", "elements").join(asked, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = store(one.groupBy("node").agg(F.first("elements").alias("elements")))
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"of_{c}"))
-    out = cut(pairs.join(side("u"), "u").join(side("v"), "v").filter(jaccard(F.col("of_u"), F.col("of_v")) >= least).select("u", "v"))
-    discard(sets)
-    return out
+            prints = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(len(node), -1)
+            bands = part.column(7).flatten().to_numpy().reshape(len(node), -1)
+
+            def unseen(x, y, s):
+                new = node[x] != node[y]
+                if whole:
+                    new &= ~((bands[x] == bands[y]) & (np.arange(bands.shape[1]) < t[x][:, None])).any(axis=1)
+                return x[new], y[new], s[new]
+
+            found = candidates(task_numbers(b1, b2), own, prints, size.astype(np.float64), least)
+            a, b = verified((unseen(*f) for f in found), Sets(part.column(8)), least)
+            u, v = node[a], node[b]
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return by_task(edges)
+
+
+def links(nodes: DataFrame, drawn: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) over ``nodes(node, row, size, bands)`` whose components are those of all candidates that hold."""
+    with scratch() as own:
+        keyed = nodes.select("node", (4 * F.col("size") + BITS // 8 + 8 * BANDS).alias("size"), F.posexplode("bands").alias("t", "key"))
+        sets: list[DataFrame] = []
+
+        def fetch(needed: DataFrame) -> None:
+            # only sets that share a bucket move, and of copies that of one row
+            rows = nodes.join(needed, "node", "left_semi").select("row")
+            sets.append(store(drawn.join(rows, "row", "left_semi").select("node", "size", "bits", "bands", "elements")))
+
+        def compare(tasks: DataFrame, parts: int, whole: bool) -> DataFrame:
+            full = tasks.join(sets[0], "node").select("b1", "b2", "own", "node", "t", "size", "bits", "bands", "elements")
+            return full.repartition(parts, "b1").sortWithinPartitions("b1", "b2", "own", "node").mapInArrow(task_edges(least, whole), "u long, v long")
+
+        return own.keep(bucket_links(keyed, compare, fetch))
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (id, fp) of every document, fp being its node; classes (fp, component_id, root) of every node."""
-    drawn = store(docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*"))
-    rows = cut(drawn.select("id", F.col("node").alias("fp")))
-    firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
-    # rows of a node agree in all else; a hot one combines before its shuffle
-    nodes = cut(drawn.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
-    holds = links(nodes, drawn, firsts, least)
-    discard(drawn)
-    comp = components(holds).withColumnRenamed("node", "fp")
-    rooted = cut(firsts.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows, rooted.join(smallest, "root").select("fp", "component_id", "root")
+    with scratch() as own:
+        drawn = store(docs.select(named(id_col).alias("id"), sketch(named(text_col)).alias("s")).select("id", F.monotonically_increasing_id().alias("row"), "s.*"))
+        rows = own.keep(cut(drawn.select("id", F.col("node").alias("fp"))))
+        # rows of a node agree in all else; a hot one combines before its shuffle
+        nodes = cut(drawn.groupBy("node").agg(F.min("id").alias("first_id"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+        comp = components(links(nodes, drawn, least))
+        rooted = nodes.join(comp, "node", "left").select(F.col("node").alias("fp"), "first_id", F.coalesce("root", "node").alias("root"))
+        rooted = own.keep(cut(rooted))
+    return rows, with_smallest(rooted)
 
 
 def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class of near duplicates, that of the smallest id."""
+    """``docs`` with one document of each class of near duplicates, that of the smallest id.
+
+    Repeated ids, rows without an id and columns with clashing names: see
+    :func:`caseweave.llm.simhash.keep_one_a_class`.
+    """
     return keep_one_a_class(docs, similar_classes(docs, id_col, text_col, least), lambda text: sketch(text)["node"], id_col, text_col)

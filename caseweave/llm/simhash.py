@@ -12,8 +12,8 @@ Inside a bucket, bit planes are stored vertically (64 rows to a machine word),
 distances of one fingerprint to 64 others are counted at once by carry-save
 adders, and words in which all 64 exceed the radius are abandoned early.
 
-Buckets above ``BUCKET_ROWS`` are dealt as pairs of sub-blocks, which keeps
-them whole and bounded. Each bucket gives a star of edges rather than all of
+Hot buckets are dealt as :mod:`caseweave.llm.buckets` says, which keeps tasks
+bounded and loses no link. Each task gives a star of edges rather than all of
 its pairs, and connected components run distributed over those edges.
 
 Defined cases: null or empty text and text without words have fingerprint zero,
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import combinations
-from math import ceil, log2
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.arrow import text_udf
-from caseweave.plans.durable import cut
+from caseweave.llm.buckets import bucket_links, by_task, components, near_pairs, task_numbers, union
+from caseweave.llm.tables import fresh, named
+from caseweave.plans.durable import cut, scratch
 
 RADIUS = 4
 SHINGLE_WORDS = 4
 SEED = 42
-#: Rows of a bucket that one task compares at once; larger buckets are split in pairs.
-BUCKET_ROWS = 2048
 #: Work items (one fingerprint against 64) in one vectorised step.
 STEP = 1 << 15
 
@@ -73,140 +73,32 @@ def fingerprint_column(text: F.Column, words: int = SHINGLE_WORDS) -> F.Column:
     return simhash(text)
 
 
-# --- comparison inside buckets ---------------------------------------------------------------
+# --- links ---------------------------------------------------------------------------------------
 
 
-def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """Planes of words: bit j of word w in plane k is bit k of fingerprint 64 w + j. A fingerprint has one word or a row of them."""
-    n = len(fps)
-    own = fps.reshape(n, -1)
-    bits = np.zeros((ceil(n / 64) * 64, 64 * own.shape[1]), np.uint8)
-    bits[:n] = np.unpackbits(own.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
-
-
-def within_radius(fps: np.ndarray, planes: np.ndarray, pivot: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the work items (pivot, word), those with lanes of ``lanes`` within ``radius``, and which.
-
-    Counters are bit-sliced: c[i] holds bit i of 64 distances. Planes come in
-    pairs through a full adder; the top counter sticks once a distance has overflowed.
-    Items without a lane left are dropped every eighth of the radius.
-    """
-    width, own = max(1, radius.bit_length()), fps.reshape(len(fps), -1)
-    ones, zero, one = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
-    alive, every = lanes, max(8, radius // 8 * 2)
-    c = [np.zeros(len(pivot), np.uint64) for _ in range(width + 1)]
-    for k in range(0, len(planes), 2):
-        fp = own[pivot, k // 64]
-        x, y = (planes[i][word] ^ np.where((fp >> np.uint64(i % 64)) & one, ones, zero) for i in (k, k + 1))
-        half = c[0] ^ x
-        carry = (c[0] & x) | (half & y)
-        c[0] = half ^ y
-        for i in range(1, width):
-            c[i], carry = c[i] ^ carry, c[i] & carry
-        c[width] = c[width] | carry
-        if (k + 2) % every == 0 or k + 2 >= len(planes):
-            alive = alive & ~exceeds(c, radius, width)
-            keep = np.flatnonzero(alive)
-            if len(keep) < len(alive):
-                alive, pivot, word, c = alive[keep], pivot[keep], word[keep], [x[keep] for x in c]
-            if not len(keep):
-                break
-    return pivot, word, alive
-
-
-def exceeds(c: list[np.ndarray], radius: int, width: int) -> np.ndarray:
-    """Lanes whose counter is above ``radius``, by comparing bit-sliced from the top."""
-    over, equal = c[width].copy(), ~c[width]
-    for i in range(width - 1, -1, -1):
-        if radius >> i & 1:
-            equal &= c[i]
-        else:
-            over |= equal & c[i]
-            equal &= ~c[i]
-    return over
-
-
-def link_groups(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (row, row of its root) of the rows linked within their (contiguous) groups."""
-    n = len(fps)
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    end = np.repeat(np.r_[start[1:], n], np.diff(np.r_[start, n]))
-    rows = np.arange(n)
-    planes, root = bit_planes(fps), rows.copy()
-    pivots = np.flatnonzero(rows + 1 < end)
-    first, last = (pivots + 1) >> 6, (end[pivots] - 1) >> 6
-    counts = last - first + 1
-    bounds = np.r_[0, np.cumsum(counts)]
-    at = 0
-    while at < len(pivots):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + STEP, "right")) - 1)
-        c = counts[at:to]
-        pivot = np.repeat(pivots[at:to], c)
-        word = np.arange(len(pivot)) - np.repeat(bounds[at:to] - bounds[at], c) + np.repeat(first[at:to], c)
-        low = np.clip(pivot + 1 - 64 * word, 0, 64).astype(np.uint64)
-        high = np.clip(end[pivot] - 64 * word, 0, 64).astype(np.uint64)
-        lanes = below(high) & ~below(low)
-        found = within_radius(fps, planes, pivot, word, lanes, radius)
-        for i in range(0, len(found[0]), 1 << 12):
-            p, w, m = (x[i : i + (1 << 12)] for x in found)
-            item, lane = np.nonzero(np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            union(root, p[item], 64 * w[item] + lane)
-        at = to
+def link_tasks(group: np.ndarray, own: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (row, row of its root) of the rows linked within their tasks (contiguous, side by side)."""
+    rows = np.arange(len(fps))
+    root = rows.copy()
+    for x, y in near_pairs(group, own, fps, radius, STEP):
+        union(root, x, y)
     linked = np.flatnonzero(root != rows)
     return linked, root[linked]
 
 
-def below(n: np.ndarray) -> np.ndarray:
-    """Words with the lowest n bits set, 0 <= n <= 64."""
-    one = np.uint64(1)
-    return np.where(n >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (one << np.minimum(n, np.uint64(63))) - one)
-
-
-def union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the classes of rows a[i] and b[i]; root[] then names the smallest row of each class."""
-    while True:
-        x, y = root[a], root[b]
-        differ = x != y
-        if not differ.any():
-            return
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        low = np.minimum(x, y)
-        np.minimum.at(root, np.maximum(x, y), low)
-        while not np.array_equal(up := root[root], root):
-            root[:] = up
-
-
-def bucket_edges(radius: int):
-    """For mapInArrow over rows sorted by bucket (b1, b2): edges (u, v) between fingerprints."""
-
-    def run(batches):
-        kept = None
-        for batch in batches:
-            table = pa.table(batch) if isinstance(batch, pa.RecordBatch) else batch
-            b1, b2, fp = (table.column(c).to_numpy() for c in ("b1", "b2", "fp"))
-            if kept is not None:
-                b1, b2, fp = (np.concatenate(x) for x in zip(kept, (b1, b2, fp), strict=True))
-            # the last bucket may go on in the next batch
-            tail = int(np.flatnonzero((b1 != b1[-1]) | (b2 != b2[-1]))[-1] + 1) if len(b1) and ((b1 != b1[-1]) | (b2 != b2[-1])).any() else 0
-            kept = tuple(x[tail:] for x in (b1, b2, fp))
-            yield edges(b1[:tail], b2[:tail], fp[:tail])
-        if kept is not None:
-            yield edges(*kept)
-
-    def edges(b1, b2, fp):
+def task_edges(radius: int) -> Callable:
+    """For mapInArrow over tasks (b1, b2, own, node) in order: edges (u, v) between fingerprints."""
+
+    def edges(part):
+        b1, b2, own, fp = (part.column(i).to_numpy() for i in range(4))
         u = v = np.empty(0, np.int64)
         if len(fp) > 1:
-            new = np.r_[True, (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])]
-            group = np.cumsum(new)
-            many = np.bincount(group)[group] > 1
-            if many.any():
-                f = np.ascontiguousarray(fp[many])
-                a, b = link_groups(group[many], f.view(np.uint64), radius)
-                u, v = f[a], f[b]
+            f = np.ascontiguousarray(fp)
+            a, b = link_tasks(task_numbers(b1, b2), own, f.view(np.uint64), radius)
+            u, v = f[a], f[b]
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return run
+    return by_task(edges)
 
 
 def blocks_for(n: int, radius: int = RADIUS) -> int:
@@ -228,53 +120,29 @@ def key_masks(k: int, radius: int) -> list[int]:
 def links(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) over distinct fingerprints ``nodes(fp)`` whose components are those of all links."""
     masks = key_masks(blocks_for(n, radius), radius)
-    keyed = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))).alias("b")).select("fp", "b.t", "b.key")
-    hot = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > BUCKET_ROWS).select("t", "key", F.ceil(F.col("rows") / (BUCKET_ROWS // 2)).cast("int").alias("g")))
-    if hot.isEmpty():
-        dealt = keyed.select("fp", F.xxhash64("t", "key").alias("b1"), F.lit(0).alias("b2"))
-    else:  # every pair of sub-blocks meets in one task
-        sub = keyed.join(hot, ["t", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
-        pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(o, F.col("own")) * F.col("g") + F.greatest(o, F.col("own")))
-        dealt = sub.select("fp", "t", "key", F.explode(pairs).alias("b2")).select("fp", F.xxhash64("t", "key", "b2").alias("b1"), "b2")
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(n * len(masks) / 2_000_000))
-    return dealt.repartition(parts, "b1").sortWithinPartitions("b1", "b2").mapInArrow(bucket_edges(radius), "u long, v long").distinct()
-
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
+    keyed = nodes.select(F.col("fp").alias("node"), keys.alias("b")).select("node", F.lit(32).cast("long").alias("size"), "b.t", "b.key")
 
-# --- components ------------------------------------------------------------------------------
+    def compare(tasks: DataFrame, parts: int, whole: bool) -> DataFrame:
+        return tasks.select("b1", "b2", "own", "node").repartition(parts, "b1").sortWithinPartitions("b1", "b2", "own", "node").mapInArrow(task_edges(radius), "u long, v long")
 
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node that has an edge.
-
-    Rounds of large-star and small-star; each is an aggregation of minima, which
-    combines before its shuffle, and a join that may split hot nodes. A round's
-    edges are cut to the shared folder. It ends when a round changes nothing.
-    """
-    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = sign(e)
-    while last[0]:
-        both = e.union(e.select("v", "u"))
-        # the minima are cut so that the join has exchanges of its own, whose hot nodes may be split
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.filter("m < u")).distinct()
-        low = cut(e.groupBy("u").agg(F.min("v").alias("m")))
-        e = cut(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low).distinct())
-        now = sign(e)
-        if now == last:
-            break
-        last = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+    return bucket_links(keyed, compare)
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (id, fp) of every document; classes (fp, component_id, root) of every fingerprint."""
-    rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
-    comp = components(links(nodes.select("fp"), nodes.count(), radius)).withColumnRenamed("node", "fp")
-    rooted = cut(nodes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    with scratch() as own:
+        rows = own.keep(cut(docs.select(named(id_col).alias("id"), fingerprint_column(named(text_col), words).alias("fp"))))
+        nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
+        comp = components(links(nodes.select("fp"), nodes.count(), radius)).withColumnRenamed("node", "fp")
+        rooted = own.keep(cut(nodes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))))
+    return rows, with_smallest(rooted)
+
+
+def with_smallest(rooted: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of ``rooted(fp, first_id, root)``: the smallest id of each class, null if none of its rows has one."""
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows, rooted.join(smallest, "root").select("fp", "component_id", "root")
+    return rooted.join(smallest, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -283,27 +151,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, found: tuple[DataFrame, DataFrame], key_of: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: that of the smallest id.
-
-    ``found`` are the rows and classes of ``docs``, ``key_of`` the key (fp) of a
-    text. Where several rows bear that id, one of them stays. A class whose rows
-    all lack an id keeps one row; rows without an id go if their class has one.
-    """
-    rows, classes = found[0], cut(found[1])
-    kept = cut(rows.join(classes.select(F.col("component_id").alias("id")).distinct(), "id").groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
-    key = F.col(id_col) == F.col("kept_id")
-    once, more = (docs.join(kept.filter(c).select(F.col("id").alias("kept_id")), key, "left_semi") for c in ("rows = 1", "rows > 1"))
-    out = once
-    if not kept.filter("rows > 1").isEmpty():
-        out = out.unionByName(more.dropDuplicates([id_col]))
-    if not rows.filter("id is null").isEmpty():
-        orphan = classes.filter("component_id is null").select(F.col("fp").alias("orphan_fp"), F.col("root").alias("orphan_root"))
-        no_id = docs.filter(F.col(id_col).isNull()).withColumn("orphan_key", key_of(F.col(text_col)))
-        out = out.unionByName(no_id.join(orphan, F.col("orphan_key") == F.col("orphan_fp")).dropDuplicates(["orphan_root"]).select(*docs.columns))
-    return out
-
-
 def keep_one_a_class(docs: DataFrame, found: tuple[DataFrame, DataFrame], key_of: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class: that of the smallest id.
 
@@ -311,21 +158,25 @@ def keep_one_a_class(docs: DataFrame, found: tuple[DataFrame, DataFrame], key_of
     text. Where several rows of a class bear that id, the first by key and hash
     stays; rows of other classes with that id do not count. A class whose rows
     all lack an id keeps one row; rows without an id go if their class has one.
+    Columns of the input may have any names: those of the operator are made to
+    differ from them.
     """
     rows, classes = found[0], cut(found[1])
-    kept = cut(rows.join(classes.select(F.col("component_id").alias("id")).distinct(), "id").groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
-    key = F.col(id_col) == F.col("kept_id")
-    once, more = (docs.join(kept.filter(c).select(F.col("id").alias("kept_id")), key, "left_semi") for c in ("rows = 1", "rows > 1"))
-    named = classes.select(F.col("fp").alias("kept_fp"), F.col("root").alias("kept_root"), F.col("component_id").alias("kept_of"))
-    order = F.struct("kept_key", F.xxhash64(F.col(text_col)), F.xxhash64(*docs.columns))
+    ids = rows.join(classes.select(F.col("component_id").alias("id")).distinct(), "id")
+    kept = cut(ids.groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
+    kept_id, kept_key, kept_fp, kept_root, kept_of, kept_row = (fresh(docs, f"kept_{c}") for c in ("id", "key", "fp", "root", "of", "row"))
+    every = [named(c) for c in docs.columns]
+    once, more = (docs.join(kept.filter(c).select(F.col("id").alias(kept_id)), named(id_col) == F.col(kept_id), "left_semi") for c in ("rows = 1", "rows > 1"))
+    classed = classes.select(F.col("fp").alias(kept_fp), F.col("root").alias(kept_root), F.col("component_id").alias(kept_of))
+    order = F.struct(kept_key, F.xxhash64(named(text_col)), F.xxhash64(*every))
 
     def one_a_root(of: DataFrame) -> DataFrame:
-        keyed = of.withColumn("kept_key", key_of(F.col(text_col))).join(named, (F.col("kept_key") == F.col("kept_fp")) & F.col("kept_of").eqNullSafe(F.col(id_col)))
-        return keyed.groupBy("kept_root").agg(F.min_by(F.struct(*docs.columns), order).alias("kept_row")).select("kept_row.*")
+        keyed = of.withColumn(kept_key, key_of(named(text_col))).join(classed, (F.col(kept_key) == F.col(kept_fp)) & F.col(kept_of).eqNullSafe(named(id_col)))
+        return keyed.groupBy(kept_root).agg(F.min_by(F.struct(*every), order).alias(kept_row)).select(f"{kept_row}.*")
 
     out = once
     if not kept.filter("rows > 1").isEmpty():
         out = out.unionByName(one_a_root(more))
     if not rows.filter("id is null").isEmpty():
-        out = out.unionByName(one_a_root(docs.filter(F.col(id_col).isNull())))
+        out = out.unionByName(one_a_root(docs.filter(named(id_col).isNull())))
     return out

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from caseweave.llm import buckets as B
 from caseweave.llm import simgroup as G
 
 
@@ -52,8 +54,8 @@ def test_column_sums():
         assert (G.column_sums(x) == want).all()
 
 
-def test_links_inside_buckets_match_popcounts():
-    rng = np.random.default_rng(3)
+def task(rng):
+    """Fingerprints of tasks of both kinds, in order, and which pairs are compared."""
     base = rng.integers(0, 2**63, (12, 16)).astype(np.uint64)
     prints = []
     for b in base:
@@ -61,20 +63,38 @@ def test_links_inside_buckets_match_popcounts():
             flips = np.zeros(1024, np.uint8)
             flips[rng.choice(1024, rng.integers(0, 260), replace=False)] = 1
             prints.append(b ^ np.packbits(flips, bitorder="little").view(np.uint64))
-    prints, size = np.array(prints), rng.integers(20, 30, len(prints)).astype(float)
-    order = rng.permutation(len(prints))
-    prints, group = prints[order], np.sort(rng.integers(0, 3, len(prints)))
-    a, b = G.link_groups(group, prints, size, 0.8)
-    distance = lambda i, j: np.array([np.bitwise_count(prints[i] ^ prints[j]).sum()])
-    linked = [(i, j) for i in range(len(prints)) for j in range(i) if group[i] == group[j] and G.similarity_of(distance(i, j), size[[i]], size[[j]])[0] >= 0.8 and distance(i, j)[0] <= G.radius_for(0.8)]
-    want = roots(len(prints), linked)
-    assert roots(len(prints), list(zip(a.tolist(), b.tolist(), strict=True))) == want and len(set(want)) < len(prints)
-    assert len(a) == len(prints) - len(set(want)) and {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} <= set(linked)
+    prints = np.array(prints)[rng.permutation(len(prints))]
+    group = np.sort(rng.integers(0, 4, len(prints)))
+    own = np.where(group % 2, rng.integers(0, 2, len(prints)), -1)
+    own = own[np.lexsort((own, group))]
+    return prints, group, own, [(i, j) for j in range(len(prints)) for i in range(j) if group[i] == group[j] and (own[i] < 0 or own[i] != own[j])]
 
 
-@pytest.mark.parametrize("rows", [2048, 6])
-def test_classes_against_exact_similarity(spark, monkeypatch, rows):
-    monkeypatch.setattr(G, "BUCKET_ROWS", rows)
+def test_candidates_match_popcounts():
+    rng = np.random.default_rng(3)
+    prints, group, own, pairs = task(rng)
+    size = rng.integers(70, 90, len(prints)).astype(float)
+    distance = lambda i, j: np.array([np.bitwise_count(prints[i] ^ prints[j]).sum()])
+    want = {(i, j) for i, j in pairs if G.similarity_of(distance(i, j), size[[i]], size[[j]])[0] >= 0.8 - G.SLACK and distance(i, j)[0] <= G.radius_for(0.8 - G.SLACK)}
+    got = [p for x, y, _ in G.candidates(group, own, prints, size, 0.8) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert {p for x, y in B.near_pairs(group, own, prints, None, 5) for p in zip(x.tolist(), y.tolist(), strict=True)} == set(pairs)
+
+
+def test_similarity_of_sets(monkeypatch):
+    monkeypatch.setattr(G, "ELEMENTS", 300)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 200, rng.integers(0, 120))).astype(np.uint32) for _ in range(60)]
+    packed = pa.array([b"skipped", *(s.tobytes() for s in sets)], pa.binary()).slice(1)
+    x, y = rng.integers(0, 60, 500), rng.integers(0, 60, 500)
+    want = [len(np.intersect1d(sets[i], sets[j])) / max(1, len(np.union1d(sets[i], sets[j]))) for i, j in zip(x, y, strict=True)]
+    assert np.allclose(G.Sets(packed).similarity(x, y), want)
+
+
+@pytest.mark.parametrize(("rows", "leaders"), [(2048, 32), (6, 2), (4, 1)])
+def test_classes_against_exact_similarity(spark, monkeypatch, rows, leaders):
+    monkeypatch.setattr(B, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(B, "LEADERS", leaders)
     texts = family(1) + [None, "", " ", "one two", "ONE  two", "solitary"]
     sets = list(map(shingles, texts))
     sure = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
@@ -123,19 +143,6 @@ def test_rejected_pairs_are_replaced(spark):
     assert [got[i] for i in range(len(texts))] == [i - i % each for i in range(len(texts))]
 
 
-def test_rounds_leave_out_what_was_tried():
-    rng = np.random.default_rng(5)
-    prints = np.repeat(rng.integers(0, 2**63, (1, 16)).astype(np.uint64), 7, axis=0)
-    group, size, root = np.array([1, 1, 1, 1, 2, 2, 2]), np.full(7, 100.0), np.array([0, 0, 1, 2, 3, 4, 4])
-    tried, seen = np.array([0 * 7 + 2]), set()
-    while len((pairs := G.link_groups(group, prints, size, 0.8, root, tried, 1))[0]):
-        new = {(int(a), int(b)) for a, b in zip(*pairs, strict=True)}
-        assert not new & seen
-        seen |= new
-        tried = np.unique(np.r_[tried, pairs[0] * 7 + pairs[1]])
-    assert seen == {(0, 3), (1, 2), (1, 3), (2, 3), (4, 5), (4, 6)}
-
-
 def test_short_texts_link(spark):
     """Eight words and the same with one more: four shingles of five, a similarity of exactly 0.8."""
     texts = [" ".join(f"d{d}w{i}" for i in range(n)) for d in range(60) for n in (8, 9)]
@@ -149,3 +156,15 @@ def test_keeps_one_of_each_class_of_an_id_with_several_texts(spark):
     df = spark.createDataFrame([(5, a), (9, a), (5, b), (7, b), (5, c), (3, c), (3, c + " more"), (None, a)], "doc_id long, text string")
     kept = [{tuple(r) for r in G.keep_one_of_similar(df.repartition(n)).collect()} for n in (1, 7)]
     assert kept[0] == kept[1] and kept[0] in [{(5, a), (5, b), (3, x)} for x in (c, c + " more")]
+
+
+@pytest.mark.parametrize("size", [2048, 16])
+def test_columns_with_the_operators_own_names(spark, monkeypatch, size):
+    monkeypatch.setattr(B, "BUCKET_ROWS", size)
+    texts = family(5, 10)
+    names = ["kept_id", "Kept_Key", "kept_fp", "kept_root", "kept_of", "kept_row", "row", "id", "node", "rows"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string").selectExpr("*", *(f"doc_id * {k} as `{c}`" for k, c in enumerate(names)))
+    plain, kept = G.keep_one_of_similar(df.select("doc_id", "text")).collect(), G.keep_one_of_similar(df)
+    rows = kept.collect()
+    assert kept.columns == df.columns and sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain)
+    assert all(r[c] == r.doc_id * k and r.text == texts[r.doc_id] for r in rows for k, c in enumerate(names))
