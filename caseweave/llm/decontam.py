@@ -8,27 +8,32 @@ term and block the index knows the largest contribution.
 Every training text is read as passages of PASSAGE words, each beginning half a
 passage after the last, so that each unit lies whole in one of them. A passage
 is a query of its distinct words. Block maxima first bound its score in every
-block at once; passages with a block above the threshold go through WAND, which
-moves by pivots, skips blocks whose maxima can't reach the threshold, and
-returns all units above it. Items of those units are then verified where they
-were found: the share of the item's five-word shingles, and those of its
-question and its answer, that occur there in the text.
-
-An item leaks if at least OVERLAP of its shingles occur, some of them in the
-question and some in the answer (a part of few words, which one
-changed word can spoil, decides nothing alone). The question ends with the first line or
-question mark; an item of one piece is all question.
+block at once (its lightest words, together below LIGHT, count in full for every
+block, so that postings of common words are not gone through); passages with a
+block above the threshold go through WAND, which moves by pivots, skips blocks
+whose maxima can't reach the threshold, and returns all units above it. Items
+of those units are then verified where they were found, near the passage.
+
+What is verified is the share of five-word shingles of the item, of its
+question and of its answer; a part of under ten words, which one changed word
+can spoil, is laid over the text word by word at its best place instead. An
+item leaks if at least OVERLAP of it occurs and at least PART of the question
+and of the answer each, or OVERLAP of each of them. The question ends with the
+first line or question mark; an item of one piece is all question.
+
+The index is arrays, a few bytes for each word of the items. A benchmark above
+GROUP_BYTES is run group by group, one pass over the texts for each.
 
 Defined cases: null and empty texts hold no item; items without a word are
 never found; repeated items are each reported; without items no text is
-contaminated. Matching ignores case and ASCII punctuation.
+contaminated. Matching ignores case and ASCII punctuation. Columns of the input
+may have any names.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from dataclasses import dataclass
-from math import log
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +42,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.arrow import text_udf
+from caseweave.llm.tables import fresh, named
+from caseweave.plans.durable import broadcast_if_small, cut, scratch
 
 UNIT, PASSAGE, SHINGLE = 32, 64, 5
-#: Share of a unit's own score from which a passage is a candidate, and share of shingles that verifies it.
-THRESHOLD, OVERLAP = 0.6, 0.8
+#: Share of a unit's own score from which a passage is a candidate; shares of an item, and of its question and answer, that verify it.
+THRESHOLD, OVERLAP, PART = 0.6, 0.8, 0.5
 K1, B = 1.2, 0.75
 BLOCK = 4
+#: Score that the lightest words of a passage may bring together, of half the threshold at most.
+LIGHT = 0.15
 #: Items are indexed and sent to executors in groups of at most so many bytes; a larger benchmark is run group by group.
 GROUP_BYTES = 16 << 20
-#: Words whose passages are bounded in one vectorised step.
-SLICE = 200_000
+#: Words whose passages are bounded in one vectorised step, and entries of the index in one.
+SLICE, ENTRIES = 200_000, 4_000_000
 #: Bytes of a table of marks.
 DENSE = 48 << 20
 
@@ -67,93 +76,101 @@ def parts_of(text: str) -> tuple[list[bytes], list[bytes]]:
     return (question, answer) if question else (answer, [])
 
 
-def shingles(words: list[bytes], n: int = SHINGLE) -> set[bytes]:
-    """Runs of n words; of fewer words, all of them."""
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+class Index:
+    """Units in order of item, postings by term, and the words of the items.
 
+    Terms are numbered from 1; 0 is a word that no item has. The postings of
+    term t are the entries starts[t] to starts[t + 1] of units and scores, its
+    block maxima those of block_starts of blocks and bounds.
+    """
 
-@dataclass
-class Index:
-    """Units in order of item, postings by term, and what verification needs of the items."""
-
-    ids: list
-    terms: dict[bytes, int]
-    unit_item: list[int]
-    postings: list[tuple[list[int], list[float]]]
-    most: list[float]
-    block_most: list[dict[int, float]]
-    starts: np.ndarray
-    blocks: np.ndarray
-    bounds: np.ndarray
-    whole: list[set[bytes]]
-    question: list[set[bytes]]
-    answer: list[set[bytes]]
-    length: list[int]
+    FIELDS = ("ids", "vocabulary", "unit_item", "starts", "units", "scores", "most", "block_starts", "blocks", "bounds", "item_starts", "words", "question")
+
+    def __init__(self, parts: tuple) -> None:
+        self.ids, vocabulary, *arrays = parts
+        self.terms = {w: i for i, w in enumerate(vocabulary.split(b" ") if vocabulary else (), 1)}
+        for name, array in zip(self.FIELDS[2:], arrays, strict=True):
+            setattr(self, name, array)
+        self.unit_at, self.score_at, self.block_at, self.bound_at = map(memoryview, (self.units, self.scores, self.blocks, self.bounds))
 
     @property
     def n_blocks(self) -> int:
         return -(-len(self.unit_item) // BLOCK)
 
+    def block_bound(self, term: int, block: int) -> float:
+        end = int(self.block_starts[term + 1])
+        i = bisect_left(self.block_at, block, int(self.block_starts[term]), end)
+        return self.bound_at[i] if i < end and self.block_at[i] == block else 0.0
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        get = self.terms.get
+        return np.array([get(w, 0) for w in words], np.int64)
+
+    def item(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of an item, of its question and of its answer."""
+        words = self.words[self.item_starts[i] : self.item_starts[i + 1]]
+        return words, words[: self.question[i]], words[self.question[i] :]
+
+
+def index_parts(items: list[tuple[object, str | None]]) -> tuple:
+    """What :class:`Index` is made of, as plain values: arrays, ids, and the vocabulary joined by spaces."""
+    terms: dict[bytes, int] = {}
+    ids, numbered, question = [], [], []
+    for i, text in items:
+        parts = parts_of(text or "")
+        words = [*parts[0], *parts[1]]
+        if words:
+            ids.append(i)
+            question.append(len(parts[0]))
+            numbered.append(np.array([terms.setdefault(w, len(terms) + 1) for w in words], np.int32))
+    length = np.array([len(w) for w in numbered], np.int64)
+    words = np.concatenate(numbered) if numbered else np.zeros(0, np.int32)
+    item_starts = np.r_[0, np.cumsum(length)]
+    # units of an item: pieces of even length
+    pieces = -(-length // UNIT)
+    unit_item = np.repeat(np.arange(len(ids), dtype=np.int32), pieces)
+    nth = np.arange(len(unit_item)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = item_starts[unit_item] + nth * length[unit_item] // pieces[unit_item]
+    size = np.diff(np.r_[begin, len(words)])
+    n, width = len(unit_item), len(terms) + 1
+    key, tf = np.unique(np.repeat(np.arange(n), size) * width + words, return_counts=True)
+    unit, term = key // width, key % width
+    df = np.bincount(term, minlength=width)[term]
+    score = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[unit] / (size.mean() if n else 1)))
+    score /= np.bincount(unit, weights=score, minlength=n)[unit]
+    order = np.lexsort((unit, term))
+    unit, term, score = unit[order], term[order], score[order]
+    edge = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (unit[1:] // BLOCK != unit[:-1] // BLOCK)][: len(term)])
+    bounds = np.maximum.reduceat(score, edge) if len(edge) else score
+    every = np.arange(width + 1)
+    starts, block_starts = np.searchsorted(term, every), np.searchsorted(term[edge], every)
+    most = np.zeros(width)
+    np.maximum.at(most, term[edge], bounds)
+    return (ids, b" ".join(terms), unit_item, starts, unit.astype(np.int32), score, most, block_starts, (unit[edge] // BLOCK).astype(np.int32), bounds, item_starts, words, np.array(question, np.int64))
+
 
 def build(items: list[tuple[object, str | None]]) -> Index:
     """The index of (id, text) items."""
-    items = [(i, t) for i, t in items if words_of(t)]
-    units: list[list[bytes]] = []
-    unit_item: list[int] = []
-    parts = [parts_of(t) for _, t in items]
-    for k, (_, text) in enumerate(items):
-        words = words_of(text)
-        pieces = -(-len(words) // UNIT)
-        for p in range(pieces):  # pieces of even length
-            units.append(words[p * len(words) // pieces : (p + 1) * len(words) // pieces])
-            unit_item.append(k)
-    n, average = len(units), sum(map(len, units)) / max(1, len(units))
-    df: dict[bytes, int] = {}
-    for u in units:
-        for w in set(u):
-            df[w] = df.get(w, 0) + 1
-    terms = {w: i for i, w in enumerate(sorted(df), 1)}
-    postings: list[tuple[list[int], list[float]]] = [([], []) for _ in range(len(terms) + 1)]
-    for i, u in enumerate(units):
-        tf: dict[bytes, int] = {}
-        for w in u:
-            tf[w] = tf.get(w, 0) + 1
-        score = {w: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(u) / average)) for w, c in tf.items()}
-        own = sum(score.values())
-        for w, s in score.items():
-            postings[terms[w]][0].append(i)
-            postings[terms[w]][1].append(s / own)
-    block_most: list[dict[int, float]] = []
-    for us, ss in postings:
-        by: dict[int, float] = {}
-        for u, s in zip(us, ss, strict=True):
-            by[u // BLOCK] = max(by.get(u // BLOCK, 0.0), s)
-        block_most.append(by)
-    return Index(
-        [i for i, _ in items], terms, unit_item, postings, [max(s, default=0.0) for _, s in postings], block_most,
-        np.cumsum([0] + [len(b) for b in block_most]), np.array([k for b in block_most for k in b], np.int64), np.array([v for b in block_most for v in b.values()], np.float64),
-        [shingles(words_of(t)) for _, t in items], [shingles(q) for q, _ in parts], [shingles(a) for _, a in parts], [len(words_of(t)) for _, t in items],
-    )
+    return Index(index_parts(items))
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
     """All (unit, score) with a score of at least ``threshold`` for a query of distinct terms."""
-    cursors = [[index.postings[t][0][0], 0, t] for t in terms if index.postings[t][0]]
+    units, scores, most = index.unit_at, index.score_at, index.most
+    # (next unit, its entry, end of the entries, term)
+    cursors = [[units[a], a, b, t] for t in terms if (a := int(index.starts[t])) < (b := int(index.starts[t + 1]))]
     out: list[tuple[int, float]] = []
     slack = threshold - 1e-9
 
     def advance(cursor, to: int) -> None:
-        units = index.postings[cursor[2]][0]
-        cursor[1] = bisect_left(units, to, cursor[1])
-        cursor[0] = units[cursor[1]] if cursor[1] < len(units) else -1
+        at = cursor[1] = bisect_left(units, to, cursor[1], cursor[2])
+        cursor[0] = units[at] if at < cursor[2] else -1
 
     while cursors:
         cursors.sort()
         bound, pivot = 0.0, -1
         for i, c in enumerate(cursors):
-            bound += index.most[c[2]]
+            bound += most[c[3]]
             if bound >= slack:
                 pivot = i
                 break
@@ -163,7 +180,7 @@ def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, fl
         while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == unit:
             pivot += 1
         block = unit // BLOCK
-        if sum(index.block_most[c[2]].get(block, 0.0) for c in cursors[: pivot + 1]) < slack:
+        if sum(index.block_bound(c[3], block) for c in cursors[: pivot + 1]) < slack:
             # nothing in this block can do it with these terms: go to its end, or to where the next term joins
             to = (block + 1) * BLOCK
             if pivot + 1 < len(cursors):
@@ -171,7 +188,7 @@ def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, fl
             for c in cursors[: pivot + 1]:
                 advance(c, max(to, unit + 1))
         elif cursors[0][0] == unit:
-            score = sum(index.postings[c[2]][1][c[1]] for c in cursors[: pivot + 1])
+            score = sum(scores[c[1]] for c in cursors[: pivot + 1])
             if score >= slack:
                 out.append((unit, score))
             for c in cursors[: pivot + 1]:
@@ -200,105 +217,138 @@ def distinct(keys: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(marks)
 
 
-def above(keys: np.ndarray, values: np.ndarray, size: int, least: float) -> np.ndarray:
-    """Keys whose values sum to at least ``least``."""
+def sums(keys: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys below ``size``, the sums of their values)."""
     if size <= DENSE // 8:
-        return np.flatnonzero(np.bincount(keys, weights=values, minlength=size) >= least)
+        total = np.bincount(keys, weights=values, minlength=size)
+        keys = np.flatnonzero(total)
+        return keys, total[keys]
     keys, where = np.unique(keys, return_inverse=True)
-    return keys[np.bincount(where, weights=values) >= least]
-
-
-def find(index: Index, texts: list[list[bytes]], threshold: float = THRESHOLD) -> list[set[tuple[int, int]]]:
-    """For each text, the (passage, item) pairs that WAND retrieves."""
+    return keys, np.bincount(where, weights=values)
+
+
+def hopeful(index: Index, window: np.ndarray, term: np.ndarray, n_windows: int, threshold: float) -> np.ndarray:
+    """Passages that may score ``threshold`` in a block, of the (passage, term) pairs in order of passage."""
+    most = index.most[term]
+    order = np.lexsort((most, window))
+    window, term, most = window[order], term[order], most[order]
+    total = np.cumsum(most)
+    begin = np.searchsorted(window, window, "left")
+    # the lightest words of a passage, as far as together they stay light
+    light = total - np.r_[0.0, total][begin] <= min(LIGHT, threshold / 2)
+    least = threshold - 1e-9 - np.bincount(window[light], weights=most[light], minlength=n_windows)
+    window, term = window[~light], term[~light]
+    many = index.block_starts[term + 1] - index.block_starts[term]
+    ends, out, at = np.cumsum(many), [], 0
+    while at < len(window):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES, "right"))
+        to = int(np.searchsorted(window, window[to], "left")) if to < len(window) else to
+        if to <= at:  # a passage stays whole
+            to = int(np.searchsorted(window, window[at], "right"))
+        m, low = many[at:to], int(window[at])
+        entry = np.repeat(index.block_starts[term[at:to]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        cell = np.repeat((window[at:to] - low) * index.n_blocks, m) + index.blocks[entry]
+        keys, bound = sums(cell, index.bounds[entry], (int(window[to - 1]) - low + 1) * index.n_blocks)
+        own = low + keys // index.n_blocks
+        out.append(np.unique(own[bound >= least[own]]))
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def find(index: Index, texts: list[np.ndarray], threshold: float = THRESHOLD) -> list[set[tuple[int, int]]]:
+    """For each text, as numbers of its words, the (passage, item) pairs that WAND retrieves."""
     found: list[set[tuple[int, int]]] = [set() for _ in texts]
-    if not index.unit_item:
+    if not len(index.unit_item):
         return found
-    half, get = PASSAGE // 2, index.terms.get
+    half = PASSAGE // 2
     first, count = passages(list(map(len, texts)))
     windows, ids = [], []
-    for i, words in enumerate(texts):
-        t = np.array([get(w, 0) for w in words], np.int64)
+    for i, t in enumerate(texts):
         at = np.flatnonzero(t)
-        block = at // half
-        top = count[i] - 1
+        block, top = at // half, count[i] - 1
         windows += [first[i] + np.minimum(block, top), first[i] + np.clip(block - 1, 0, top)]
         ids += [t[at], t[at]]
-    n_terms, n_windows = len(index.terms) + 1, int(count.sum())
-    pairs = distinct(np.concatenate(windows) * n_terms + np.concatenate(ids), n_windows * n_terms) if windows else np.zeros(0, np.int64)
-    window, term = pairs // n_terms, pairs % n_terms
-    # block maxima of every passage and block at once
-    many = index.starts[term + 1] - index.starts[term]
-    entry = np.repeat(index.starts[term] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    cell = np.repeat(window * index.n_blocks, many) + index.blocks[entry]
-    hopeful = above(cell, index.bounds[entry], n_windows * index.n_blocks, threshold - 1e-9)
+    width, n_windows = len(index.terms) + 1, int(count.sum())
+    pairs = distinct(np.concatenate(windows) * width + np.concatenate(ids), n_windows * width) if windows else np.zeros(0, np.int64)
+    window, term = pairs // width, pairs % width
     owner = np.repeat(np.arange(len(texts)), count)
-    for w in np.unique(hopeful // index.n_blocks):
+    for w in hopeful(index, window, term, n_windows, threshold).tolist():
         a, b = np.searchsorted(window, [w, w + 1])
         i = int(owner[w])
-        found[i] |= {(int(w - first[i]), index.unit_item[u]) for u, _ in wand(index, term[a:b].tolist(), threshold)}
+        found[i] |= {(int(w - first[i]), int(index.unit_item[u])) for u, _ in wand(index, term[a:b].tolist(), threshold)}
     return found
 
 
-def verify(index: Index, words: list[bytes], hits: set[tuple[int, int]]) -> dict[int, tuple[float, float, float]]:
+def shingles(words: list[int]) -> set[tuple[int, ...]]:
+    return set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
+
+
+def share_of(part: np.ndarray, region: np.ndarray, there: set[tuple[int, ...]]) -> float:
+    """Share of a part of an item that the region of a text says: of its shingles, or of its words where it has few of them."""
+    n = len(part)
+    if not n:
+        return 1.0
+    if n >= 2 * SHINGLE:
+        own = shingles(part.tolist())
+        return len(own & there) / len(own)
+    padded = np.concatenate((np.zeros(n - 1, np.int64), region, np.zeros(n - 1, np.int64)))
+    return float((np.lib.stride_tricks.sliding_window_view(padded, n) == part).sum(axis=1).max() / n) if len(padded) >= n else 0.0
+
+
+def verify(index: Index, words: np.ndarray, hits: set[tuple[int, int]]) -> dict[int, tuple[float, float, float]]:
     """For each item found, its best (overlap, overlap of the question, of the answer) near a passage."""
     out: dict[int, tuple[float, float, float]] = {}
     for passage, item in sorted(hits):
-        at, more = passage * PASSAGE // 2, index.length[item]
+        parts = index.item(item)
+        at, more = passage * PASSAGE // 2, len(parts[0])
         region = words[max(0, at - more) : at + PASSAGE + more]
-        there = shingles(region)
-        got = tuple(share_of(p[item], there, region) for p in (index.whole, index.question, index.answer))
-        out[item] = max(out.get(item, got), got)
+        there = shingles(region.tolist())
+        got = tuple(share_of(p, region, there) for p in parts)
+        out[item] = max(out.get(item, got), got, key=lambda g: (is_leak(index, item, g), g))
     return out
 
 
-def is_short(part: set[bytes]) -> bool:
-    """Whether a part has fewer words than a shingle; its only entry is then all of them."""
-    return not part or len(part) == 1 and next(iter(part)).count(b" ") < SHINGLE - 1
+def is_leak(index: Index, item: int, got: tuple[float, float, float]) -> bool:
+    """Whether overlaps of an item, its question and its answer are those of a leak."""
+    whole, question, answer = got
+    words, _, second = index.item(item)
+    split = len(second) > 0 and len(words) >= SHINGLE and min(question, answer) >= OVERLAP
+    return split or whole >= OVERLAP and min(question, answer) >= PART
 
 
-def share_of(part: set[bytes], there: set[bytes], region: list[bytes]) -> float:
-    """Share of a part's shingles in the region; a part of few words is looked for as a phrase."""
-    if not part:
-        return 1.0
-    if is_short(part):
-        return float(b" " + next(iter(part)) + b" " in b" " + b" ".join(region) + b" ")
-    return len(part & there) / len(part)
-
-
-def leaks(index: Index, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
+def leaks(index: Index, texts: list[str | None]) -> Iterator[list[tuple[int, float, float, float]]]:
     """For each text, the items that leak: (item number, overlap, of the question, of the answer)."""
-    out: list[list[tuple[int, float, float, float]]] = []
     words, total = [], 0
 
-    def flush():
-        nonlocal words, total
+    def judged():
         for w, hits in zip(words, find(index, words), strict=True):
             found = verify(index, w, hits) if hits else {}
-            out.append([(i, *o) for i, o in sorted(found.items()) if o[0] >= OVERLAP and (o[1] > 0 or len(index.question[i]) <= SHINGLE) and (o[2] > 0 or len(index.answer[i]) <= SHINGLE)])
-        words, total = [], 0
+            yield [(i, *o) for i, o in sorted(found.items()) if is_leak(index, i, o)]
 
     for text in texts:
-        words.append(words_of(text))
+        words.append(index.numbers(words_of(text)))
         total += len(words[-1])
         if total >= SLICE:
-            flush()
-    flush()
-    return out
+            yield from judged()
+            words, total = [], 0
+    yield from judged()
 
 
-def leak_column(text: Column, index: Index, id_type: T.DataType) -> Column:
+def leak_column(text: Column, parts: tuple, id_type: T.DataType) -> Column:
     """array<struct<item_id, overlap, question_overlap, answer_overlap>> of a text column."""
     from pyspark.sql import SparkSession
     from pyspark.sql.pandas.types import to_arrow_type
 
-    sent, arrow_id = SparkSession.active().sparkContext.broadcast(index), to_arrow_type(id_type)
-    names = ["item_id", "overlap", "question_overlap", "answer_overlap"]
+    sent, arrow_id = SparkSession.active().sparkContext.broadcast(parts), to_arrow_type(id_type)
+    names, made = ["item_id", "overlap", "question_overlap", "answer_overlap"], {}
     leak = T.StructType([T.StructField(n, T.DoubleType() if i else id_type) for i, n in enumerate(names)])
 
     @text_udf(T.ArrayType(leak))
     def run(texts: pa.Array) -> pa.Array:
-        index = sent.value
-        rows = leaks(index, [None if (b := v.as_py()) is None else b.decode("utf-8", "replace") for v in texts.cast(pa.binary())])
+        if not made:
+            made[0] = Index(sent.value)
+        index = made[0]
+        rows = list(leaks(index, [None if (b := v.as_py()) is None else b.decode("utf-8", "replace") for v in texts.cast(pa.binary())]))
         flat = [x for r in rows for x in r]
         columns = [pa.array([index.ids[x[0]] for x in flat], arrow_id), *(pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2, 3))]
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), pa.StructArray.from_arrays(columns, names=names))
@@ -306,30 +356,44 @@ def leak_column(text: Column, index: Index, id_type: T.DataType) -> Column:
     return run(text)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``docs`` with ``leaked``: array<struct<item_id, overlap, question_overlap, answer_overlap>>, by item.
+def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``docs`` with a new column ``name``: array<struct<item_id, overlap, question_overlap, answer_overlap>>, by item.
 
     The benchmark is a query set of checked size: it is counted first, and if
-    its texts have more than ``group_bytes`` they are dealt by hash over groups,
-    each with an index of its own that all rows are matched against in turn.
+    its texts have more than ``group_bytes`` they are dealt by hash over groups.
+    All texts are matched against one group after another, each with an index of
+    its own; the leaks of a group are few rows, by text, and meet the documents
+    at the end.
     """
-    items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
+    items = benchmark.select(named(item_id_col).alias("item_id"), named(item_text_col).alias("item_text"))
+    id_type = items.schema["item_id"].dataType
     size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     groups = -(-size // group_bytes) or 1
-    found = []
-    for g in range(groups):
+
+    def parts_of_group(g: int) -> tuple:
         rows = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(groups)) == g).collect()
-        index = build(sorted(((r.item_id, r.item_text) for r in rows), key=lambda r: (r[0] is None, r[0], r[1] or "")))
-        found.append(leak_column(F.col(text_col), index, items.schema["item_id"].dataType))
-    return docs.withColumn("leaked", F.array_sort(F.concat(*found)) if groups > 1 else found[0])
+        return index_parts(sorted(((r.item_id, r.item_text) for r in rows), key=lambda r: (r[0] is None, r[0], r[1] or "")))
+
+    if groups == 1:
+        return docs.withColumn(name, leak_column(named(text_col), parts_of_group(0), id_type))
+    key, found = F.md5(F.coalesce(named(text_col), F.lit(""))), None
+    with scratch() as own:
+        for g in range(groups):
+            texts = docs.select(key.alias("key"), leak_column(named(text_col), parts_of_group(g), id_type).alias("leaked"))
+            texts = texts.filter(F.size("leaked") > 0).groupBy("key").agg(F.first("leaked").alias("leaked"))
+            found = cut(texts if found is None else found.union(texts))
+        found = own.keep(cut(found.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("leaked"))).alias("leaked"))))
+    own_key, own_leaks = fresh(docs, "dc_key"), fresh(docs, "dc_leaks")
+    few = broadcast_if_small(found.select(F.col("key").alias(own_key), F.col("leaked").alias(own_leaks)), found.count(), 10_000)
+    none = F.array().cast(found.schema["leaked"].dataType)
+    return docs.join(few, key == F.col(own_key), "left").withColumn(name, F.coalesce(own_leaks, none)).drop(own_key, own_leaks)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: whether it leaks, the items, and the largest overlap."""
-    narrow = docs.select(F.col(id_col), F.col(text_col).alias("dc_text"))
-    out = find_leaks(narrow, benchmark, "dc_text")
+    out = with_leaks(docs.select(named(id_col).alias("dc_id"), named(text_col).alias("dc_text")), benchmark, "leaked", "dc_text")
     return out.select(
-        id_col,
+        F.col("dc_id").alias(id_col),
         (F.size("leaked") > 0).alias("contaminated"),
         F.transform("leaked", lambda x: x["item_id"]).alias("item_ids"),
         F.coalesce(F.array_max(F.transform("leaked", lambda x: x["overlap"])), F.lit(0.0)).alias("overlap"),
@@ -337,5 +401,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    return find_leaks(docs.withColumn("dc_text", F.col(text_col)), benchmark, "dc_text").filter(F.size("leaked") == 0).select(*docs.columns)
+    """``docs`` without the documents that hold a test item; all columns stay as they are, whatever their names."""
+    name = fresh(docs, "dc_leaked")
+    return with_leaks(docs, benchmark, name, text_col).filter(F.size(name) == 0).drop(name)
