@@ -18,8 +18,9 @@ range partitions, so no task holds a group.
 Defined cases: null and empty texts say nothing and quote nothing; passages of
 under MIN_CHARS normalised characters are removed but not linked; repeated rows
 share a position; messages with one (conv_id, turn) and other texts follow each
-other; a message never answers itself or a later one; columns of the input
-other than the four are left out.
+other; a message never answers itself or a later one; conversations and turns
+are ordered as their type is, so string ids go by code point; columns of the
+input other than the four are left out.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     found = asked.join(near, ["h", "conv_id"], "left").join(far, "h", "left")
     same, other = F.col("near_turn") < F.col("turn"), F.col("far.parent_conv") < F.col("conv_id")
     found = found.withColumn("parent", F.when(same, F.struct(F.col("conv_id").alias("parent_conv"), F.col("near_turn").alias("parent_turn"))).when(other, F.col("far"))).filter("parent is not null")
-    best = F.max_by("parent", F.struct("chars", -F.col("parent.parent_conv"), -F.col("parent.parent_turn")))
+    best = F.min_by("parent", F.struct(-F.col("chars"), "parent"))
     return found.groupBy("qt_key", "conv_id", "turn", "n", "level").agg(best.alias("parent"), F.max("chars").alias("chars")).select("qt_key", "conv_id", "turn", "n", "level", "chars", "parent.*")
 
 
@@ -111,7 +112,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     """
     parsed = parse(messages)
     links = cut(link_quotes(parsed))
-    answer = F.max_by(F.struct("parent_conv", "parent_turn"), F.struct(-F.col("level"), F.col("chars"), -F.col("parent_conv"), -F.col("parent_turn")))
+    answer = F.min_by(F.struct("parent_conv", "parent_turn"), F.struct("level", -F.col("chars"), "parent_conv", "parent_turn"))
     by_row = links.groupBy("qt_key").agg(answer.alias("qt_parent"), F.countDistinct("n").alias("qt_linked"))
     by_turn = cut(links.groupBy("conv_id", "turn").agg(answer.alias("p")).select("conv_id", "turn", "p.*"))
     roots = threads(by_turn)

@@ -111,3 +111,13 @@ def test_table_without_quotes_keeps_its_order(spark, tmp_path):
     assert len(got) == df.count() and all(r.position == r.turn for r in got)
     C.write_chat(df, f"{tmp_path}/chat")
     assert spark.read.parquet(f"{tmp_path}/chat").count() == len(got)
+
+
+def test_string_ids(spark):
+    """The same conversations under numbers and under strings in the same order."""
+    said = "we should meet at the old harbour on monday"
+    rows = [(1, 0, "a", said), (1, 1, "b", "no idea\nat all"), (1, 2, "a", f"> {said}\n> no idea\nyes"), (2, 0, "b", f"On monday a wrote:\n> {said}\ngood"), (2, 1, "a", "> good\nindeed it is"), (3, 0, "c", "> indeed it is\nquite so")]
+    plain = C.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    named = C.conversations(spark.createDataFrame([(f"c{c}", *r) for c, *r in rows], "conv_id string, turn long, role string, text string")).collect()
+    tell = lambda rs, f: sorted((f(r.conv_id), r.turn, r.text, f(r.conversation), r.thread_turn, r.position, r.depth, r.parent_conv is not None and f(r.parent_conv), r.parent_turn, r.linked) for r in rs)
+    assert tell(plain, lambda c: f"c{c}") == tell(named, str) and sum(r.linked for r in plain) == 3
