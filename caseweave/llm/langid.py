@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.arrow import text_udf
-from caseweave.plans.durable import cut
+from caseweave.llm.tables import fresh, named
+from caseweave.plans.durable import cut, scratch
 
 #: Bounds of the learning sample. For each language: texts of fitting length in order of a hash,
 #: whole, until there are SAMPLE_SYMBOLS; at most SAMPLE_TEXTS of them. A language without such
@@ -149,9 +150,24 @@ class Model:
         return int(self.narrow.max()) + 1
 
 
+    def parts(self) -> dict:
+        """Plain values that make the model again: executors get no instance of a class of this package."""
+        return vars(self) | {"sparse": self.sparse and vars(self.sparse)}
+
+    @classmethod
+    def of(cls, parts: dict) -> Model:
+        return cls(**parts | {"sparse": parts["sparse"] and Sparse.of(parts["sparse"])})
+
+
 class Sparse:
     """Steps (state, symbol) -> state by open addressing, and what begins a phrase at each root."""
 
+    @classmethod
+    def of(cls, parts: dict) -> Sparse:
+        out = cls.__new__(cls)
+        vars(out).update(parts)
+        return out
+
     def __init__(self, width: int, roots: list[int], state: np.ndarray, symbol: np.ndarray, to: np.ndarray):
         self.width, self.roots = width, np.array(roots, np.int64)
         self.shift = np.uint64(64 - max(4, (4 * len(state)).bit_length()))
@@ -321,14 +337,15 @@ def language_of(text: Column, model: Model) -> Column:
     """struct(lang, score, bits, noise) of a text column; the model goes to executors as a broadcast of bounded size."""
     from pyspark.sql import SparkSession
 
-    sent = SparkSession.active().sparkContext.broadcast(model)
+    sent, made = SparkSession.active().sparkContext.broadcast(model.parts()), []
 
     @text_udf(PREDICTED)
     def run(texts: pa.Array) -> pa.Array:
-        model = sent.value
-        if not hasattr(model, "table"):
-            model.table = symbol_table(model.letters)
-        rows = identify(model, [None if (b := v.as_py()) is None else b.decode("utf-8", "replace") for v in texts.cast(pa.binary())], model.table)
+        if not made:
+            model = Model.of(sent.value)
+            made.extend((model, symbol_table(model.letters)))
+        model, table = made
+        rows = identify(model, [None if (b := v.as_py()) is None else b.decode("utf-8", "replace") for v in texts.cast(pa.binary())], table)
         lang, *numbers = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], names=PREDICTED.names)
 
@@ -345,20 +362,21 @@ def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     """
     from pyspark.sql import Window
 
-    rows = docs.filter(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("li_lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("li_hash"), F.col(text_col).alias("li_text"))
+    rows = docs.filter(usable & named(lang_col).isNotNull()).select(named(lang_col).alias("li_lang"), F.xxhash64(named(id_col).cast("string"), F.lit("langid")).alias("li_hash"), named(text_col).alias("li_text"))
     rows = rows.withColumn("li_length", F.length("li_text")).filter("li_length > 0").withColumn("li_fits", F.col("li_length").between(TEXT_LEAST, TEXT_MOST)).withColumn("li_text", F.substring("li_text", 1, TEXT_MOST))
     by_rank = Window.partitionBy("li_lang", "li_fits").orderBy("li_hash")
     first = rows.select("li_lang", "li_fits", "li_hash", F.least("li_length", F.lit(TEXT_MOST)).alias("li_length")).withColumn("n", F.row_number().over(by_rank)).filter(F.col("n") <= SAMPLE_TEXTS)
     first = first.withColumn("before", F.sum("li_length").over(by_rank.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("before", F.lit(0)) < SAMPLE_SYMBOLS)
     top = first.groupBy("li_lang", "li_fits").agg(F.max("li_hash").alias("top")).groupBy("li_lang").agg(F.max(F.struct("li_fits", "top")).alias("t"))
-    top = cut(top.select("li_lang", F.col("t.li_fits").alias("li_fits"), F.col("t.top").alias("top")))
     found: dict[str, list[str]] = {}
     size: dict[str, int] = {}
-    sample = rows.join(F.broadcast(top), ["li_lang", "li_fits"]).filter("li_hash <= top").groupBy("li_lang", "li_hash").agg(F.min("li_text").alias("li_text"))
-    for r in sorted(sample.collect(), key=lambda r: (r.li_lang, r.li_hash)):
-        if size.get(r.li_lang, 0) < SAMPLE_SYMBOLS:
-            found.setdefault(r.li_lang, []).append(r.li_text)
-            size[r.li_lang] = size.get(r.li_lang, 0) + len(r.li_text)
+    with scratch():
+        top = cut(top.select("li_lang", F.col("t.li_fits").alias("li_fits"), F.col("t.top").alias("top")))
+        sample = rows.join(F.broadcast(top), ["li_lang", "li_fits"]).filter("li_hash <= top").groupBy("li_lang", "li_hash").agg(F.min("li_text").alias("li_text"))
+        for r in sorted(sample.collect(), key=lambda r: (r.li_lang, r.li_hash)):
+            if size.get(r.li_lang, 0) < SAMPLE_SYMBOLS:
+                found.setdefault(r.li_lang, []).append(r.li_text)
+                size[r.li_lang] = size.get(r.li_lang, 0) + len(r.li_text)
     return build(found)
 
 
@@ -373,12 +391,16 @@ def usable(id_col: Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score, bits) of every row."""
-    out = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), language_of(F.col(text_col), model).alias("p"))
-    return out.select(id_col, "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.bits").alias("bits"))
+    out = docs.select(named(id_col).alias("i"), held_out(named(id_col)).alias("held_out"), language_of(named(text_col), model).alias("p"))
+    return out.select(F.col("i").alias(id_col), "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.bits").alias("bits"))
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without those of no language: ``und``, or long noise that no language explains."""
-    judged = docs.withColumn("langid_p", language_of(F.col(text_col), model))
-    noise = (F.col("langid_p.noise") > NOISE_SHARE) & (F.length(text_col) >= NOISE_LEAST)
-    return judged.filter((F.col("langid_p.lang") != "und") & ~noise).drop("langid_p")
+    """``docs`` without those of no language: ``und``, or long noise that no language explains.
+
+    Columns of the input stay as they are, whatever their names.
+    """
+    name = fresh(docs, "langid_p")
+    judged, p = docs.withColumn(name, language_of(named(text_col), model)), F.col(name)
+    noise = (p["noise"] > NOISE_SHARE) & (F.length(named(text_col)) >= NOISE_LEAST)
+    return judged.filter((p["lang"] != "und") & ~noise).drop(name)

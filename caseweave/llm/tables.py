@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.plans.scan import read_table as table
 from caseweave.plans.scan import spread
 
-__all__ = ["documents", "fresh", "named", "table"]
+__all__ = ["documents", "fresh", "named", "shield", "table"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,3 +27,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def shield(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[Column]]:
+    """(``df`` under column names in_0, in_1, …; those by the names they had; columns that give the names back)."""
+    inner = [f"in_{i}" for i in range(len(df.columns))]
+    return df.toDF(*inner), dict(zip(df.columns, inner, strict=True)), [F.col(i).alias(c) for i, c in zip(inner, df.columns, strict=True)]

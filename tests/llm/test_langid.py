@@ -50,8 +50,9 @@ def test_edges(spark):
     assert sorted(got, key=str) == sorted([(1, "aa"), (1, "aa"), (2, "bb"), (3, "und"), (4, "und"), (5, "und"), (6, "aa"), (None, "aa")], key=str)
     assert all(0 <= r.score <= 1 for r in L.predict(df, model).collect())
     assert [r.lang_pred for r in L.predict(df, L.build({})).collect()] == ["und"] * len(rows)
-    kept = L.keep_identified(df.drop("langid_p"), model)
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 6]
+    kept = L.keep_identified(df.withColumn("Langid_P_", F.col("doc_id")), model)
+    assert kept.columns == [*df.columns, "Langid_P_"]
+    assert sorted((r.doc_id or 0, r.text, r.p, r.langid_p, r.Langid_P_ or 0) for r in kept.collect()) == sorted((d or 0, t, 1, 2, d or 0) for d, t in rows if t and d not in (4, 5))
     assert L.predict(df.limit(0), model).count() == 0
 
 
@@ -133,3 +134,39 @@ def test_noise_is_found_by_small_samples(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([("".join(rng.choice(letters[0x30:]) for _ in range(300)),), ("the cat sat on the mat " * 9,)], "text string")
     assert [r.text[:3] for r in L.keep_identified(df, model).collect()] == ["the"]
+
+
+def test_choice_and_score_against_brute_force():
+    """The language of the fewest bits a symbol by substring search, and odds from what it leads by."""
+    rng, model = random.Random(7), L.build(SAMPLES)
+    table = L.symbol_table(model.letters)
+    texts = ["the cat ran", "der Hund", "über die cat und the hund", "q", "ÜÜ the"] + ["".join(rng.choice("the catsonmiü. nd") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    for text, (lang, score, bits, _) in zip(texts, L.identify(model, texts, table), strict=True):
+        sym = [c for c in L.symbols_of([text], table)[0].tolist() if c != L.BREAK]
+        if not any(c > L.SPACE for c in sym):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        want = []
+        for name in sorted(SAMPLES):
+            own = set("".join(SAMPLES[name]).lower())
+            size = sum(len(L.symbols_of([t], table)[0]) for t in SAMPLES[name])
+            named = sum(model.letters[c - 3] not in own for c in sym if c > L.OTHER)
+            # substring search over the letters of both samples
+            phrases = brute_phrases_over(SAMPLES[name], text, table)
+            want.append((phrases * L.log2(size) + named * L.log2(model.symbols)) / len(sym))
+        best = min(range(2), key=lambda i: (want[i], i))
+        assert lang == sorted(SAMPLES)[best] and abs(bits - want[best]) < 1e-9
+        odds = [2 ** (-(b - want[best]) * min(len(sym), L.SHARP)) for b in want]
+        assert abs(score - 1 / sum(odds)) < 1e-9
+
+
+def brute_phrases_over(sample, text, table):
+    train, phrases = bytes(L.symbols_of(sample, table)[0]), 0
+    for clause in bytes(L.symbols_of([text], table)[0]).split(bytes([L.BREAK])):
+        i = 0
+        while i < len(clause):
+            j = i
+            while j < len(clause) and clause[j] != L.OTHER and clause[i : j + 1] in train:
+                j += 1
+            phrases, i = phrases + 1, max(j, i + 1)
+    return phrases
