@@ -11,8 +11,10 @@ the word where a document begins gives the document's training position.
 Documents are range-sorted by position.
 
 The stream is summed in two levels, over hash cells of a source and inside a
-cell, so that a source with any share of the rows is spread over many tasks.
-Everything is DataFrame functions.
+cell, so that a source with any share of the rows is spread over many tasks; so
+are the repeats of one row, by count. All of it is decided on a narrow row for
+each document, which its text meets in one join. Everything is DataFrame
+functions.
 
 Defined cases: null or empty text has size 0 and is taken for 0 words; a null
 source is a source; rows that agree in id, source and text take neighbouring
@@ -20,7 +22,7 @@ places in the stream, which of them first makes no difference; where all sizes
 are 0, so are all targets; an empty table stays empty. The word at which a
 target is reached may lie inside a document, which is then taken in part;
 ``mix`` takes that document whole if at least half of it is due. Columns of the
-input are kept; the operator's own begin with ``mix_``.
+input are kept, whatever their names: inside, they have others.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.plans.durable import broadcast_if_small, cut
+from caseweave.llm.tables import named, shield
+from caseweave.plans.durable import broadcast_if_small, cut, scratch
 from caseweave.plans.ranks import global_rank
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,25 +116,50 @@ def inverse(pieces: Column, done: Column) -> Column:
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_goal (in whole words), mix_class, and mix_start: the word of its source's stream at which the document begins."""
+    """``docs`` with mix_size, mix_source_size, mix_target, mix_goal (in whole words), mix_class, and mix_start: the word of its source's stream at which the document begins.
+
+    No column of ``docs`` may begin with ``mix_``.
+    """
     sized = docs.withColumns({"mix_size": words(F.col(text_col)), "mix_key": stream_key(F.col(id_col), F.col(text_col)), "mix_from": F.col(source_col).cast("string")})
-    # one pass over the texts sums the finest cells; sources and coarser cells follow from those
-    fine = cut(sized.groupBy("mix_from", F.shiftright(hash60(F.col("mix_key")), HASH_BITS - CELL_BITS).alias("mix_fine")).agg(F.sum("mix_size").alias("mix_cell_size"), F.count(F.lit(1)).alias("mix_cell_rows")))
-    sources = fine.groupBy(F.col("mix_from").alias("mix_source")).agg(F.sum("mix_cell_size").alias("mix_source_size"), F.sum("mix_cell_rows").alias("mix_rows"))
-    table = cut(targets(sources, weights, share, most))
-    bits = F.least(F.lit(CELL_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("mix_rows") / CELL_ROWS)))).cast("int")
-    table = table.withColumn("mix_bits", bits)
-    small = broadcast_if_small(table, table.count())
-    of_source = F.col("mix_from").eqNullSafe(F.col("mix_source"))
-    cells = cut(fine.join(small, of_source).groupBy("mix_source", F.expr(f"shiftright(mix_fine, {CELL_BITS} - mix_bits)").alias("mix_cell")).agg(F.sum("mix_cell_size").alias("mix_cell_size")))
-    joined = sized.join(small, of_source).withColumn("mix_cell", F.expr(f"shiftright(conv(substring(mix_key, 1, 15), 16, 10) :: bigint, {HASH_BITS} - mix_bits)"))
-    up_to = Window.partitionBy("mix_source").orderBy("mix_cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = cells.select(F.col("mix_source").alias("mix_s"), F.col("mix_cell").alias("mix_c"), F.coalesce(F.sum("mix_cell_size").over(up_to), F.lit(0)).alias("mix_before"))
-    before = broadcast_if_small(before, cells.count())
-    inside = Window.partitionBy("mix_source", "mix_cell").orderBy("mix_key", id_col, "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined.withColumn("mix_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
-    placed = placed.join(before, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_cell") == F.col("mix_c")))
-    return placed.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", (F.col("mix_before") + F.col("mix_inside")).alias("mix_start"), F.round("mix_target").cast("long").alias("mix_goal"), "mix_class")
+    with scratch() as own:
+        # one pass over the texts; sums and places follow from a narrow row for each key
+        keyed = cut(sized.groupBy("mix_from", "mix_key").agg(F.count(F.lit(1)).alias("mix_n"), F.max("mix_size").alias("mix_each")))
+        whole = F.sum(F.col("mix_each") * F.col("mix_n"))
+        fine = cut(keyed.groupBy("mix_from", F.shiftright(hash60(F.col("mix_key")), HASH_BITS - CELL_BITS).alias("mix_fine")).agg(whole.alias("mix_cell_size"), F.sum("mix_n").alias("mix_cell_rows")))
+        sources = fine.groupBy(F.col("mix_from").alias("mix_source")).agg(F.sum("mix_cell_size").alias("mix_source_size"), F.sum("mix_cell_rows").alias("mix_rows"))
+        table = cut(targets(sources, weights, share, most))
+        bits = F.least(F.lit(CELL_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("mix_rows") / CELL_ROWS)))).cast("int")
+        table = table.withColumn("mix_bits", bits)
+        small = broadcast_if_small(table, table.count())
+        of_source = F.col("mix_from").eqNullSafe(F.col("mix_source"))
+        cells = cut(fine.join(small, of_source).groupBy("mix_source", F.expr(f"shiftright(mix_fine, {CELL_BITS} - mix_bits)").alias("mix_cell")).agg(F.sum("mix_cell_size").alias("mix_cell_size")))
+        up_to = Window.partitionBy("mix_source").orderBy("mix_cell").rowsBetween(Window.unboundedPreceding, -1)
+        before = cells.select(F.col("mix_source").alias("mix_s"), F.col("mix_cell").alias("mix_c"), F.coalesce(F.sum("mix_cell_size").over(up_to), F.lit(0)).alias("mix_before"))
+        before = broadcast_if_small(before, cells.count())
+        joined = keyed.join(small, of_source).withColumn("mix_cell", F.expr(f"shiftright(conv(substring(mix_key, 1, 15), 16, 10) :: bigint, {HASH_BITS} - mix_bits)"))
+        inside = Window.partitionBy("mix_source", "mix_cell").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)
+        placed = joined.withColumn("mix_inside", F.coalesce(F.sum(F.col("mix_each") * F.col("mix_n")).over(inside), F.lit(0)))
+        placed = placed.join(before, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_cell") == F.col("mix_c")))
+        placed = own.keep(cut(placed.select(F.col("mix_source").alias("mix_s"), F.col("mix_key").alias("mix_k"), "mix_n", "mix_source_size", "mix_target", (F.col("mix_before") + F.col("mix_inside")).alias("mix_first"), F.round("mix_target").cast("long").alias("mix_goal"), "mix_class")))
+    of_key = F.col("mix_from").eqNullSafe(F.col("mix_s")) & (F.col("mix_key") == F.col("mix_k"))
+    made = ["mix_size", "mix_source_size", "mix_target", "mix_start", "mix_goal", "mix_class"]
+    out = sized.join(placed.filter("mix_n = 1"), of_key).withColumn("mix_start", F.col("mix_first")).select(*docs.columns, *made)
+    repeated = placed.filter("mix_n > 1")
+    if n := repeated.count():
+        out = out.unionByName(lay_out(sized.join(broadcast_if_small(repeated, n), of_key), docs.columns).select(*docs.columns, *made))
+    return out
+
+
+def lay_out(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of repeated keys with mix_start: equal ones are counted, however many, and laid out one after another by count."""
+    every = [*columns, "mix_size", "mix_source_size", "mix_target", "mix_goal", "mix_class", "mix_first", "mix_s", "mix_k"]
+    counted = cut(rows.groupBy(*every).agg(F.count(F.lit(1)).alias("mix_c")))
+    # rows of one key that differ in other columns follow each other
+    before = F.coalesce(F.sum("mix_c").over(Window.partitionBy("mix_s", "mix_k").orderBy(F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = counted.withColumn("mix_b", before).withColumn("mix_slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("mix_c") - 1) / CELL_ROWS))))
+    dealt = dealt.repartition("mix_k", "mix_slice")
+    nth = F.explode(F.sequence(F.col("mix_slice") * CELL_ROWS, F.least(F.col("mix_c"), (F.col("mix_slice") + 1) * CELL_ROWS) - 1))
+    return dealt.withColumn("mix_nth", nth).withColumn("mix_start", F.col("mix_first") + (F.col("mix_b") + F.col("mix_nth")) * F.col("mix_size"))
 
 
 def words_of_pass(k: Column) -> Column:
@@ -149,30 +177,32 @@ def passes(most: float) -> int:
     return max(1, ceil(most))
 
 
-def mix_report(docs: DataFrame, id_col: str = "doc_id", most: float = MOST, schedules=SCHEDULES, **more) -> DataFrame:
+def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST, schedules=SCHEDULES, **more) -> DataFrame:
     """One row for each document, in training order: sizes, target, words taken, and its first position."""
-    rows = assign(docs, id_col, most=most, **more)
+    inner, names, _ = shield(docs)
+    rows = assign(inner, names[id_col], names[text_col], names[source_col], most=most, **more)
     taken = sum((words_of_pass(F.lit(k)) for k in range(1, passes(most))), words_of_pass(F.lit(0)))
     rows = rows.select(
-        id_col,
+        F.col(names[id_col]).alias(id_col),
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
         F.round("mix_target", 6).alias("target"),
         taken.alias("taken"),
         F.when(words_of_pass(F.lit(0)) > 0, F.round(position_of_pass(F.lit(0), schedules), 9)).alias("position"),
     )
-    order = [F.col("position").asc_nulls_last(), F.col(id_col).asc_nulls_last()]
+    order = [F.col("position").asc_nulls_last(), named(id_col).asc_nulls_last()]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST, schedules=SCHEDULES, **more) -> DataFrame:
     """The training stream: ``docs`` repeated as often as they are taken, range-sorted by position."""
-    rows = assign(docs, id_col, text_col, source_col, most=most, **more)
+    inner, names, back = shield(docs)
+    rows = assign(inner, names[id_col], names[text_col], names[source_col], most=most, **more)
     # at least half of the document is due, or it is empty and comes once
     due = F.filter(F.sequence(F.lit(0), F.lit(passes(most) - 1)), lambda k: F.when(F.col("mix_size") > 0, 2 * words_of_pass(k) >= F.col("mix_size")).otherwise(k == 0))
     rows = rows.withColumn("mix_pass", F.explode(due)).withColumn("mix_at", position_of_pass(F.col("mix_pass"), schedules))
-    order = [F.col("mix_at"), F.col(id_col).asc_nulls_last()]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    order = [F.col("mix_at"), F.col(names[id_col]).asc_nulls_last()]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*back)
 
 
 def oracle_sql() -> str:

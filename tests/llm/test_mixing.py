@@ -69,11 +69,13 @@ def test_sql_agrees(spark):
 def test_stream_is_sorted_whole_and_repeated(spark):
     docs = spark.createDataFrame(small(), "doc_id long, text string, source string").withColumn("mix_extra", F.lit(1))
     report = {r.doc_id: r for r in M.mix_report(docs).collect()}
+    docs = docs.selectExpr("*", "doc_id * 2 as mix_size", "doc_id * 3 as Mix_Key", "doc_id * 4 as in_0", "doc_id * 5 as mix_at")
     out = M.mix(docs)
     assert out.columns == docs.columns
     count = defaultdict(int)
     for r in out.collect():
         count[r.doc_id] += 1
+        assert (r.mix_extra, r.mix_size, r.Mix_Key, r.in_0, r.mix_at) == (1, r.doc_id * 2, r.doc_id * 3, r.doc_id * 4, r.doc_id * 5)
     for d, r in report.items():
         assert abs(count[d] * r.size - r.taken) <= r.size / 2 and count[d] <= 2
 
@@ -90,6 +92,20 @@ def test_schedules_invert(spark):
             assert area / total == pytest.approx(r.d, abs=1e-9)
 
 
+def test_repeats_of_a_row_are_dealt_by_count(spark, monkeypatch):
+    monkeypatch.setattr(M, "CELL_ROWS", 3)
+    data = [(1, "a b c", "s", i % 2) for i in range(40)] + [(2, "d e", "s", 0)] * 10 + [(3, "f", "t", 0), (4, None, "t", 0), (4, None, "t", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, other int")
+    rows = M.assign(df).collect()
+    assert sorted((r.doc_id, r.text or "", r.other) for r in rows) == sorted((d, t or "", o) for d, t, _, o in data)
+    for source in "st":
+        at = 0
+        for r in sorted((r for r in rows if r.source == source), key=lambda r: (r.mix_start, r.mix_size)):
+            assert r.mix_start == at
+            at += r.mix_size
+    assert M.mix(df).count() == sum(1 for _ in M.mix(df.repartition(5)).collect())
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [(1, "a b c", "s")] * 5 + [(None, "d", None)] * 3
     out = M.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
