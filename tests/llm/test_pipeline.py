@@ -33,7 +33,8 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert max(count.values()) <= 2 and all(abs(count[d] * size - taken) <= size / 2 for d, (taken, size) in plan.items())
         if name == "sharding":
             rows = [(r.doc_id, r.text) for r in before.collect()]
-            assert sorted((str(r.doc_id), r.shard) for r in docs.collect()) == sorted((d, s) for d, _, s, _, _ in brute_shards(rows, sharding.SHARD_BYTES))
+            limit = sharding.limit_for(sum(len((t or "").encode()) for _, t in rows))
+            assert sorted((str(r.doc_id), r.shard) for r in docs.collect()) == sorted((d, s) for d, _, s, _, _ in brute_shards(rows, limit))
     assert kept["language_id"].count() == documents(spark).count()  # every document of the table has a language
 
 

@@ -36,7 +36,7 @@ def test_against_brute_force(spark, limit):
     df = spark.createDataFrame(rows(), "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("bytes", F.lit(1))
     got = S.shard_table(df, limit=limit).collect()
     assert sorted((str(r.doc_id), r.size, r.shard, r.depth, r.prefix) for r in got) == brute(rows(), limit)
-    assert all(r.bytes <= limit or r.oversize for r in got)
+    assert all(r.bytes <= limit or r.oversize and r.size > limit for r in got)
 
 
 def test_copies_of_one_hash_are_dealt_by_count(spark):
@@ -51,11 +51,37 @@ def test_copies_of_one_hash_are_dealt_by_count(spark):
     assert len({r.sh_part for r in got if r.doc_id == 7 and r.text.startswith("same")}) >= 500 * 100 // 3000
 
 
-def test_sql_agrees_at_a_small_limit(spark):
+@pytest.mark.parametrize("limit", [None, 50000])
+def test_sql_agrees(spark, limit):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    want = con.execute(S.oracle_sql(50000)).fetchall()
-    assert sorted(map(tuple, S.shard_table(documents(spark), limit=50000).collect())) == sorted(want)
+    want = con.execute(S.oracle_sql(limit)).fetchall()
+    got = S.shard_table(documents(spark), limit=limit).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r.shard for r in got) > 20
+
+
+def test_sql_deals_copies_alike(spark, tmp_path):
+    data = rows() + [(7, "same " * 20)] * 300 + [(8, "x" * 4000)] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    got = S.shard_table(df, limit=3000).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(S.oracle_sql(3000)).fetchall(), key=str)
+    assert {r.oversize for r in got if r.doc_id == 8 and r.size == 4000} == {True} and max(r.part for r in got) > 5
+
+
+def test_limits():
+    assert [S.limit_for(n) for n in (0, 10**6, 64 << 20, 10**14)] == [S.LEAST_BYTES, S.LEAST_BYTES, 1 << 20, S.SHARD_BYTES]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string").selectExpr("*", "doc_id as shard", "doc_id * 2 as sh_size", "doc_id * 3 as in_1", "doc_id * 4 as SH_HASH")
+    out = S.with_shards(df, limit=5000)
+    assert out.columns == [*df.columns, "shard_", "shard_part"]
+    got = out.collect()
+    assert all(r.doc_id is None or (r["shard"], r.sh_size, r.in_1, r.SH_HASH) == tuple(r.doc_id * k for k in (1, 2, 3, 4)) for r in got)
+    assert sorted((str(r.doc_id), r["shard_"]) for r in got) == sorted((d, s) for d, _, s, _, _ in brute(rows(), 5000))
 
 
 def test_written_shards(spark, tmp_path):
