@@ -5,8 +5,9 @@ each kind; matches that are too short are dropped after matching. The method
 adds ``entropy`` spans: candidate strings of one character class are scanned by
 a sliding window whose symbol counts, and with them its Shannon entropy, change
 by one step in and one out. Windows at or above the class's threshold merge to
-spans. Candidates on the allow-list (identifiers and placeholders that look
-random but guard nothing) are suppressed.
+spans, if they hold a digit or letters that no word has in a row. What is on the
+allow-list (identifiers and placeholders that look random but guard nothing) is
+cut out of a candidate; windows beside it count as ever.
 
 Defined cases: null and empty texts have no spans; texts are scanned whole;
 offsets count code points, the end exclusive; repeated rows give equal rows.
@@ -32,27 +33,34 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "entropy")
 
 #: Character classes of candidates: characters, window, entropy in bits a symbol. A window of n
-#: symbols has at most log2(n) bits; prose in Latin letters stays below 3.5 at these lengths.
-CLASSES = (("0123456789abcdef", 32, 3.2), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0))
-#: Candidates that are not secrets: UUIDs, alphabets and digit runs in order, placeholders, paths and version-like names.
+#: symbols has at most log2(n) bits (and log2 of the class's size); prose in Latin letters stays below 3.5 at these lengths.
+CLASSES = (("0123456789abcdef", 32, 3.2), ("0123456789ABCDEF", 32, 3.2), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0))
+#: What guards nothing: UUIDs, placeholders, paths of lower-case words; and runs of symbols in their order, of so many.
 ALLOW = (
-    r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    r".*(abcdefghij|ABCDEFGHIJ|0123456789|9876543210).*",
-    r"(?i).*(example|placeholder|your[-_]?(api[-_]?)?key|changeme|xxxx|lorem).*",
-    r"/?([a-z]+[/_-])+[a-z]*",
+    r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])",
+    r"(?i:example|placeholder|your[-_]?(?:api[-_]?)?key|changeme|x{4,}|lorem)",
+    r"/?(?:[a-z]{3,}[/_-]){2,}[a-z]*",
 )
+IN_ORDER = 8
+#: Letters other than vowels in a row that words do not have.
+HARD = 6
+EVIDENCE = re.compile(rf"[0-9]|(?=([b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{{{HARD}}}))")
 
 
-def entropy_spans(run: str, window: int, least: float) -> list[tuple[int, int]]:
-    """Merged [start, end) of the windows of ``run`` whose entropy is at least ``least`` bits."""
+def entropy_spans(run: str, window: int, least: float, evidence: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Merged [start, end) of the windows of ``run`` whose entropy is at least ``least`` bits.
+
+    With ``evidence``, spans in order of their ends, a window counts only if it holds one whole.
+    """
     n = len(run)
     if n < window:
         return []
-    clog = [0.0, 0.0] + [c * log2(c) for c in range(2, window + 1)]
+    clog = [0.0, 0.0] + [c * log2(c) for c in range(2, window + 2)]  # one symbol comes before one goes
     counts: dict[str, int] = {}
     total = 0.0
     top = window * (log2(window) - least) + 1e-9  # entropy >= least  <=>  sum of c log c <= top
     out: list[list[int]] = []
+    known, latest = 0, 0 if evidence is None else -1
     for i, ch in enumerate(run):
         c = counts.get(ch, 0)
         total += clog[c + 1] - clog[c]
@@ -62,8 +70,14 @@ def entropy_spans(run: str, window: int, least: float) -> list[tuple[int, int]]:
             c = counts[old]
             total += clog[c - 1] - clog[c]
             counts[old] = c - 1
-        if i >= window - 1 and total <= top:
-            start = i - window + 1
+        if evidence is None:
+            latest = i
+        else:
+            while known < len(evidence) and evidence[known][1] <= i + 1:
+                latest = max(latest, evidence[known][0])
+                known += 1
+        start = i - window + 1
+        if start >= 0 and total <= top and latest >= start:
             if out and start <= out[-1][1]:
                 out[-1][1] = i + 1
             else:
@@ -71,11 +85,39 @@ def entropy_spans(run: str, window: int, least: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def evidence_in(run: str) -> list[tuple[int, int]]:
+    """Where a run has a digit, or HARD letters in a row that are no vowels."""
+    return [(m.start(), m.start() + (HARD if m[1] else 1)) for m in EVIDENCE.finditer(run)]
+
+
+def in_order(run: str) -> list[tuple[int, int]]:
+    """Stretches of IN_ORDER symbols or more that each follow, or each precede, the one before."""
+    out, at = [], 0
+    while at + 1 < len(run):
+        step, to = ord(run[at + 1]) - ord(run[at]), at + 1
+        while to + 1 < len(run) and ord(run[to + 1]) - ord(run[to]) == step:
+            to += 1
+        if step in (1, -1) and to + 1 - at >= IN_ORDER:
+            out.append((at, to + 1))
+        at = to
+    return out
+
+
+def not_allowed(run: str, allow: re.Pattern) -> list[tuple[int, int]]:
+    """What is left of a run without what guards nothing, as [start, end)."""
+    out, at = [], 0
+    for a, b in sorted([m.span() for m in allow.finditer(run)] + in_order(run)):
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, len(run))] if at < len(run) else out
+
+
 def scanner():
     """A function from a text to its spans (kind number, start, end), in order."""
     assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
     access, hexa = re.compile(ACCESS), re.compile(f"(?<![0-9a-f])[0-9a-f]{{{HEX_LEAST},}}")
-    allow = re.compile("|".join(f"(?:{a.removeprefix('(?i)')})" if not a.startswith("(?i)") else f"(?i:{a[4:]})" for a in ALLOW))
+    allow = re.compile("|".join(ALLOW))
     classes = []
     for symbols, window, least in CLASSES:
         inside = "".join(re.escape(c) for c in symbols)
@@ -88,10 +130,10 @@ def scanner():
         found = set()
         for pattern, window, least in classes:
             for m in pattern.finditer(text):
-                run = m.group()
-                # a random string of these lengths has digits; a long word or a compound has none
-                if any(c.isdigit() for c in run) and not run.isdigit() and not allow.fullmatch(run):
-                    found |= {(3, m.start() + a, m.start() + b) for a, b in entropy_spans(run, window, least)}
+                for a, b in not_allowed(m.group(), allow):
+                    part, at = m.group()[a:b], m.start() + a
+                    if len(part) >= window and not part.isdigit():
+                        found |= {(3, at + x, at + y) for x, y in entropy_spans(part, window, least, evidence_in(part))}
         return sorted([*spans, *found], key=lambda s: (s[1], s[0], s[2]))
 
     return scan

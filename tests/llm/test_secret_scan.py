@@ -44,6 +44,59 @@ def test_windows_match_brute_force():
         assert S.entropy_spans(run, 24, 3.3) == brute_entropy(run, 24, 3.3)
 
 
+def brute_spans(text):
+    """Entropy spans by counting every window of every candidate anew."""
+    out = set()
+    for symbols, window, least in S.CLASSES:
+        at = 0
+        while at < len(text):
+            to = at
+            while to < len(text) and text[to] in symbols:
+                to += 1
+            run = text[at:to]
+            gone = {i for m in re.finditer("|".join(S.ALLOW), run) for i in range(*m.span())}
+            for i in range(len(run)):
+                for j in range(i + S.IN_ORDER, len(run) + 1):
+                    if len({ord(b) - ord(a) for a, b in zip(run[i:j], run[i + 1 : j])} - {1}) == 0 or len({ord(b) - ord(a) for a, b in zip(run[i:j], run[i + 1 : j])} - {-1}) == 0:
+                        gone |= set(range(i, j))
+            cells = set()
+            parts = "".join("\0" if i in gone else c for i, c in enumerate(run))
+            for i in range(len(run) - window + 1):
+                w = parts[i : i + window]
+                part = re.split("\0", parts[:i])[-1] + re.split("\0", parts[i:])[0]
+                hard = any(c.isdigit() for c in w) or re.search(f"[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{{{S.HARD}}}", w)
+                if "\0" not in w and hard and not part.isdigit() and -sum(w.count(c) / window * log2(w.count(c) / window) for c in set(w)) >= least - 1e-12:
+                    cells |= set(range(i, i + window))
+            for c in sorted(cells):
+                if c - 1 not in cells:
+                    end = c
+                    while end in cells:
+                        end += 1
+                    out.add((at + c, at + end))
+            at = max(to, at + 1)
+    return out
+
+
+def test_entropy_spans_of_whole_texts_match_brute_force():
+    rng, scan, n = random.Random(4), S.scanner(), 0
+    parts = ["example", "0123456789", "hgfedcba", "some/path/of/words", "xxxx", "123e4567-e89b-42d3-a456-426614174000", " ", " ", "="]
+    make = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
+    for _ in range(250):
+        text = "".join(rng.choice([rng.choice(parts), make("0123456789abcdef", 36), make("0123456789ABCDEF", 36), make(string.ascii_letters + string.digits + "+/", 30), make(string.ascii_letters, 30), "InternationalConfigurationOfAllThings"]) for _ in range(rng.randint(1, 6)))
+        got = {(a, b) for k, a, b in scan(text) if k == 3}
+        n += len(got)
+        assert got == brute_spans(text), text
+    assert n > 200
+
+
+def test_what_was_missed_before():
+    scan = S.scanner()
+    found = lambda text: [text[a:b] for k, a, b in scan(text) if k == 3]
+    upper, letters, key = "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B", "qKzVwXbTnRgLmPdHsJyFcGtZ", "Zx9+Lq2/Vb7nM4kTp0WsYr8Eu3Ia6Od1"
+    assert found(f"KEY {upper} end") == [upper] and found(f"a {letters} b") == [letters] and found(f"example_{key}") and found(f"{key}/0123456789ABCDEFGHIJ")
+    assert not any(map(found, ["internationalisierungsprozessbeschreibung", "getUserNameFromInternalMapById", "0123456789" * 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "https://host/some/long/path/of/words"]))
+
+
 def test_base_spans_and_digest(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)) + [(2, TEXTS[2])], "doc_id long, text string").selectExpr("*", "1 as secrets", "2 as spans", "3 as d")
     rows = S.digest(S.scan_secrets(df)).collect()
