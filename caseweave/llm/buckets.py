@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from caseweave.plans.durable import broadcast_if_small, cut, discard, scratch
 
 #: What one task compares at once; a larger bucket is dealt in blocks of half as much.
-BUCKET_ROWS, BUCKET_BYTES = 2048, 32 << 20
+BUCKET_ROWS, BUCKET_BYTES = 1024, 32 << 20
 LEADERS = 32
 #: What a partition of tasks holds, about.
 TASK_ROWS, TASK_BYTES = 200_000, 64 << 20
