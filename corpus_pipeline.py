@@ -11,8 +11,8 @@ Each stage takes all that the one before kept and gives the columns of
    training order (at most twice; some of a source above its target not at all);
 5. sharding: every row gets a shard of bounded bytes.
 
-Null ids, texts, languages and sources, repeated rows and empty tables have the
-results that the operators' docstrings state.
+Null ids, texts, languages and sources, repeated rows, empty tables and further
+columns of any names have the results that the operators' docstrings state.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from caseweave.llm import decontam, langid, mixing, sharding, simgroup
 from caseweave.llm.tables import documents, table
-from caseweave.plans.durable import discard, store
+from caseweave.plans.durable import discard, scratch, store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = sharding.assign(docs)
-    return out.select(*docs.columns, F.col("sh_shard").alias("shard"), F.col("sh_part").alias("shard_part"))
+    return sharding.with_shards(docs)
 
 
 STAGES = [
@@ -62,10 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what each keeps is a table in the shared folder until the next is written."""
     docs, last = documents(spark, sf_dir), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = store(docs)
-            if last is not None:
-                discard(last)
-            last = docs
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with scratch() as own:  # what a stage wrote on its way goes with it
+            docs = own.keep(store(stage(spark, docs, sf_dir)))
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
