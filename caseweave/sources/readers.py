@@ -1,7 +1,9 @@
-"""Readers of file formats: bytes to text and children. Formats without a reader here are refused by name.
+"""Readers of file formats: bytes to text and children.
 
 A reader takes (name, bytes) and gives a Reading. A reader that needs what is
-not installed refuses, with a reason, and never falls back in silence.
+not installed refuses, with a reason, and never falls back in silence. Children
+come as (name, bytes), or as (name, ExtractionError) where one can't be had, so
+that no entry of a container goes missing unsaid and none ends an ingest.
 """
 
 from __future__ import annotations
@@ -10,9 +12,14 @@ import csv
 import email
 import email.policy
 import io
+import os
 import re
+import shutil
+import signal
 import stat
+import subprocess
 import tarfile
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -20,6 +27,7 @@ from html.parser import HTMLParser
 from pathlib import PurePosixPath
 
 from caseweave.errors import ExtractionError
+from caseweave.sources import images, office, ole, pdf, rar
 from caseweave.sources.sniff import sniff
 
 # Bounds of what is read.
@@ -27,6 +35,12 @@ ENTRY_MOST = 512 << 20
 CELLS_MOST = 512
 HEADERS = ("From", "To", "Cc", "Date", "Subject")
 FLOOR = 100
+CONVERT_SECONDS = 120
+
+#: A child of a container: its name, and its bytes or why it has none.
+Child = tuple[str, bytes | ExtractionError]
+#: Recognisers of pages, as (source, function of name and bytes to text and number of pages), tried in order after a text layer.
+RECOGNISERS: list[tuple[str, Callable[[str, bytes], tuple[str, int]]]] = []
 
 
 @dataclass
@@ -72,18 +86,10 @@ def read_delimited(name: str, data: bytes) -> Reading:
 
 
 def read_spreadsheet(name: str, data: bytes) -> Reading:
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise ExtractionError("no spreadsheet reader is installed") from e
-    try:
-        book = openpyxl.load_workbook(io.BytesIO(data), read_only=True, data_only=True)
-    except Exception as e:
-        raise ExtractionError(f"could not read {name}: {e}") from e
     blocks = []
-    for sheet in book.worksheets:
-        rows = [r for i, row in enumerate(sheet.iter_rows(values_only=True), 1) if (r := render_row(i, ["" if c is None else str(c) for c in row]))]
-        blocks.append("\n".join([f"## sheet: {flat(sheet.title)}", *(rows or ["(empty)"])]))
+    for title, rows in office.workbook_rows(name, data):
+        lines = [line for number, cells in rows if (line := render_row(number, cells))]
+        blocks.append("\n".join([f"## sheet: {flat(title)}", *(lines or ["(empty)"])]))
     return Reading("\n\n".join(blocks), "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "spreadsheet", {"sheets": str(len(blocks))})
 
 
@@ -108,14 +114,33 @@ def read_eml(name: str, data: bytes) -> Reading:
     return Reading(f"{head}\n\n{content.strip()}", "message/rfc822", "eml", {h.lower(): v for h, v in known.items()}, is_container=any(True for _ in message.iter_attachments()))
 
 
-def eml_children(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+def eml_children(name: str, data: bytes) -> Iterator[Child]:
     for i, part in enumerate(parse_mail(name, data).iter_attachments(), 1):
-        raw = part.get_payload(decode=True)
-        if raw is None and part.get_content_type() == "message/rfc822":
-            raw = part.get_content().as_bytes()
-        if raw is not None:
-            kind = ".eml" if part.get_content_type() == "message/rfc822" else ".bin"
-            yield PurePosixPath(part.get_filename() or f"attachment-{i}{kind}").name, raw
+        kind = ".eml" if part.get_content_type() == "message/rfc822" else ".bin"
+        own = PurePosixPath(part.get_filename() or f"attachment-{i}{kind}").name or f"attachment-{i}{kind}"
+        try:
+            raw = part.get_payload(decode=True)
+            if raw is None and part.get_content_type() == "message/rfc822":
+                raw = part.get_content().as_bytes()
+        except Exception as e:
+            yield own, refusal(own, e)
+            continue
+        yield own, raw if raw is not None else ExtractionError(f"{own} has no bytes of its own")
+
+
+def read_msg(name: str, data: bytes) -> Reading:
+    try:
+        fields, body, html, attached = ole.message(data)
+    except ExtractionError as e:
+        raise ExtractionError(f"could not read {name} as an Outlook message: {e}") from e
+    known = {h: flat(v) for h, v in fields.items() if v}
+    text = body or (html_text(html) if html else "")
+    lines = [f"{h}: {v}" for h, v in known.items()]
+    return Reading("\n".join([*lines, *(["", text] if text else [])]), "application/vnd.ms-outlook", "msg", {h.lower(): v for h, v in known.items()}, is_container=attached > 0)
+
+
+def msg_children(name: str, data: bytes) -> Iterator[Child]:
+    yield from ole.attachments(data)
 
 
 def split_mbox(data: bytes) -> list[bytes]:
@@ -128,11 +153,21 @@ def read_mbox(name: str, data: bytes) -> Reading:
     return Reading("\n".join(subjects), "application/mbox", "mbox", {"messages": str(len(subjects))}, is_container=True)
 
 
-def mbox_children(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+def mbox_children(name: str, data: bytes) -> Iterator[Child]:
     for i, raw in enumerate(split_mbox(data), 1):
         yield f"message-{i:05d}.eml", raw
 
 
+def refusal(name: str, error: Exception) -> ExtractionError:
+    """Why an entry can't be had, whatever went wrong with it."""
+    return error if isinstance(error, ExtractionError) else ExtractionError(f"{name} could not be read: {type(error).__name__}: {error}")
+
+
+def bounded(name: str, size: int) -> None:
+    if size > ENTRY_MOST:
+        raise ExtractionError(f"{name} is larger than {ENTRY_MOST} bytes")
+
+
 def unsafe(name: str) -> str | None:
     """Why an entry may not be written by its name; directories pass."""
     if not name or name.endswith("/"):
@@ -165,14 +200,20 @@ def read_zip(name: str, data: bytes) -> Reading:
     return Reading("\n".join(i.filename for i in good), "application/zip", "zip", {"entries": str(len(good))}, True, refused)
 
 
-def zip_children(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+def zip_children(name: str, data: bytes) -> Iterator[Child]:
     archive, good, _ = zip_entries(name, data)
     for info in good:
-        if info.file_size <= ENTRY_MOST:
+        try:
+            if info.flag_bits & 1:
+                raise ExtractionError(f"{info.filename} is encrypted")
+            bounded(info.filename, info.file_size)
             with archive.open(info) as f:
                 raw = f.read(ENTRY_MOST + 1)  # a declared size can lie
-            if len(raw) <= ENTRY_MOST:
-                yield info.filename, raw
+            bounded(info.filename, len(raw))
+        except Exception as e:  # damaged, cut off, of an unknown method
+            yield info.filename, refusal(info.filename, e)
+        else:
+            yield info.filename, raw
 
 
 def tar_entries(name: str, data: bytes) -> tuple[tarfile.TarFile, list[tarfile.TarInfo], list[str]]:
@@ -194,11 +235,41 @@ def read_tar(name: str, data: bytes) -> Reading:
     return Reading("\n".join(m.name for m in good), "application/x-tar", "tar", {"entries": str(len(good))}, True, refused)
 
 
-def tar_children(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+def tar_children(name: str, data: bytes) -> Iterator[Child]:
     archive, good, _ = tar_entries(name, data)
     for m in good:
-        if m.size <= ENTRY_MOST:
-            yield m.name, archive.extractfile(m).read()
+        try:
+            bounded(m.name, m.size)
+            raw = archive.extractfile(m).read()
+            if len(raw) != m.size:
+                raise ExtractionError(f"{m.name} is cut off")
+        except Exception as e:
+            yield m.name, refusal(m.name, e)
+        else:
+            yield m.name, raw
+
+
+def rar_entries(name: str, data: bytes) -> tuple[list[rar.Entry], list[str]]:
+    entries = [e for e in rar.survey(name, data) if not e.directory]
+    return [e for e in entries if not unsafe(e.name)], [f"{e.name}: {unsafe(e.name)}" for e in entries if unsafe(e.name)]
+
+
+def read_rar(name: str, data: bytes) -> Reading:
+    good, refused = rar_entries(name, data)
+    return Reading("\n".join(e.name for e in good), "application/vnd.rar", "rar", {"entries": str(len(good))}, True, refused)
+
+
+def rar_children(name: str, data: bytes) -> Iterator[Child]:
+    for entry in rar_entries(name, data)[0]:
+        try:
+            bounded(entry.name, entry.size)
+            raw = entry.data(data)
+            if raw is None:
+                raise ExtractionError(f"{entry.name} is {'encrypted' if entry.encrypted else 'damaged' if entry.stored else 'compressed, and no unpacker of RAR archives is installed'}")
+        except ExtractionError as e:
+            yield entry.name, e
+        else:
+            yield entry.name, raw
 
 
 class _Markdown(HTMLParser):
@@ -247,11 +318,72 @@ def read_markdown(name: str, data: bytes) -> Reading:
     return Reading(data.decode("utf-8", "replace"), "text/markdown", "markdown")
 
 
-def absent(what: str) -> Callable[[str, bytes], Reading]:
-    def refuse(name: str, data: bytes) -> Reading:
-        raise ExtractionError(f"no reader of {what} is installed: {name}")
+def suffix_of(name: str) -> str:
+    return PurePosixPath(name.lower()).suffix
+
+
+def read_structural(name: str, data: bytes) -> Reading:
+    """Documents, slides, and PDF files through the ladder of recognisers."""
+    kind = suffix_of(name)
+    if kind == ".docx":
+        return Reading(office.document_text(name, data), "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "structural")
+    if kind == ".pptx":
+        text, slides = office.slides_text(name, data)
+        return Reading(text, "application/vnd.openxmlformats-officedocument.presentationml.presentation", "structural", {"slides": str(slides)})
+    text, source = best_rung([("text-layer", lambda: pdf.text_layer(data)), *rungs(name, data)])
+    return Reading(text, "application/pdf", "structural", text_source=source)
+
+
+def rungs(name: str, data: bytes) -> list[tuple[str, Callable[[], tuple[str, int]]]]:
+    return [(source, lambda f=f: f(name, data)) for source, f in RECOGNISERS]
+
+
+def read_image(name: str, data: bytes) -> Reading:
+    """A page that came as an image; its declared size is bounded before anything decodes it."""
+    width, height = images.check(name, data)
+    text, source = best_rung(rungs(name, data))
+    return Reading(text, images.TYPES[suffix_of(name)], "image", {"width": str(width), "height": str(height)}, text_source=source)
+
 
-    return refuse
+#: What a legacy office file is converted to.
+MODERN = {".doc": ".docx", ".rtf": ".docx", ".xls": ".xlsx", ".ppt": ".pptx"}
+
+
+def read_legacy(name: str, data: bytes) -> Reading:
+    """A legacy office file by way of its modern form; one that has that form already under an old name is read as it is."""
+    target = sniff(data) if data.startswith(b"PK") else None
+    if target not in set(MODERN.values()):
+        if data.startswith(b"PK"):
+            raise ExtractionError(f"{name} is an archive and not an office file")
+        target = MODERN[suffix_of(name)]
+        data = converted(name, data, target)
+    reading = (read_spreadsheet if target == ".xlsx" else read_structural)(stem(name) + target, data)
+    reading.extractor = f"legacy-office+{reading.extractor}"
+    return reading
+
+
+def converted(name: str, data: bytes, target: str) -> bytes:
+    """The file in its modern form, by an office suite where one is installed; it gets two minutes and a process group of its own."""
+    program = shutil.which("soffice") or shutil.which("libreoffice")
+    if program is None:
+        raise ExtractionError(f"no converter of legacy office files is installed: {name}")
+    with tempfile.TemporaryDirectory() as folder:
+        given = os.path.join(folder, "given" + suffix_of(name))
+        with open(given, "wb") as f:
+            f.write(data)
+        work = subprocess.Popen([program, "--headless", f"-env:UserInstallation=file://{folder}/profile", "--convert-to", target[1:], "--outdir", f"{folder}/out", given], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True)
+        try:
+            work.wait(CONVERT_SECONDS)
+        except subprocess.TimeoutExpired as e:
+            os.killpg(work.pid, signal.SIGKILL)
+            work.wait()
+            raise ExtractionError(f"{name} took more than {CONVERT_SECONDS} seconds to convert") from e
+        made = os.path.join(folder, "out", "given" + target)
+        if not os.path.exists(made):
+            raise ExtractionError(f"{name} could not be converted")
+        bounded(name, os.path.getsize(made))
+        with open(made, "rb") as f:
+            return f.read()
 
 
 #: Readers by name, in order: suffixes, reader, children of a container.
@@ -260,16 +392,16 @@ REGISTRY: dict[str, tuple[tuple[str, ...], Callable[[str, bytes], Reading], Call
     "delimited": ((".csv", ".tsv"), read_delimited, None),
     "eml": ((".eml",), read_eml, eml_children),
     "mbox": ((".mbox",), read_mbox, mbox_children),
-    "msg": ((".msg",), absent("Outlook messages"), None),
+    "msg": ((".msg",), read_msg, msg_children),
     "zip": ((".zip",), read_zip, zip_children),
     "tar": ((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz"), read_tar, tar_children),
-    "rar": ((".rar",), absent("RAR archives"), None),
+    "rar": ((".rar",), read_rar, rar_children),
     "spreadsheet": ((".xlsx", ".xlsm"), read_spreadsheet, None),
-    "legacy-office": ((".doc", ".xls", ".ppt", ".rtf"), absent("legacy office files"), None),
-    "image": ((".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"), absent("page images"), None),
+    "legacy-office": ((".doc", ".xls", ".ppt", ".rtf"), read_legacy, None),
+    "image": ((".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"), read_image, None),
     "html": ((".html", ".htm"), read_html, None),
     "markdown": ((".md",), read_markdown, None),
-    "structural": ((".docx", ".pptx", ".pdf"), absent("structured office and PDF files"), None),
+    "structural": ((".docx", ".pptx", ".pdf"), read_structural, None),
 }
 
 
@@ -309,11 +441,26 @@ def read(name: str, content: bytes) -> Reading:
     return reading
 
 
-def children(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+def children(name: str, content: bytes) -> Iterator[Child]:
+    """The children of a container; what ends the expansion, and entries listed but not delivered, come as refusals."""
     reader, suffix = route(name, content)
     expand = REGISTRY[reader][2] if reader else None
-    if expand:
-        yield from expand(name if suffix is None else stem(name) + suffix, content)
+    if not expand:
+        return
+    own, given = name if suffix is None else stem(name) + suffix, 0
+    try:
+        listed = REGISTRY[reader][1](own, content).metadata.get("entries", "")
+    except Exception:
+        return  # the container's own outcome says why
+    try:
+        for child in expand(own, content):
+            given += 1
+            yield child
+    except Exception as e:
+        yield name, ExtractionError(f"{name} could not be expanded: {type(e).__name__}: {e}")
+        return
+    if listed.isdigit() and given < int(listed):
+        yield name, ExtractionError(f"{name}: {int(listed) - given} of {listed} listed entries were not delivered")
 
 
 def best_rung(attempts: list[tuple[str, Callable[[], tuple[str, int]]]], floor: int = FLOOR) -> tuple[str, str]:
