@@ -13,7 +13,9 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 BREAK = re.compile(r"\n\s*\n")
-HEADING = re.compile(r"(#{1,6})\s+(.*)")
+#: What ends a line, and a heading: a line that begins with marks, white space around it aside.
+LINE_ENDS = "\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+HEADING = re.compile(rf"(?<![^{LINE_ENDS}])[^\S{LINE_ENDS}]*(#{{1,6}})[^\S{LINE_ENDS}]+(\S[^{LINE_ENDS}]*)")
 HEADING_CHARS, TRAIL_CHARS = 200, 512
 
 
@@ -21,17 +23,14 @@ class Outline:
     """The headings of a text: where each line begins, and the trail that holds from there."""
 
     def __init__(self, text: str) -> None:
-        self.starts: list[int] = []
+        found = list(HEADING.finditer(text))
+        self.starts = [m.start() for m in found]
         self.trails: list[str] = []
-        above: list[tuple[int, str]] = []
-        at = 0
-        for line in text.splitlines(keepends=True):
-            if found := HEADING.fullmatch(line.strip()):
-                depth = len(found[1])
-                above = [*(h for h in above if h[0] < depth), (depth, found[2].strip()[:HEADING_CHARS])]
-                self.starts.append(at)
-                self.trails.append(" > ".join(name for _, name in above)[:TRAIL_CHARS])
-            at += len(line)
+        names: list[str | None] = [None] * 6  # of the headings that hold, by depth
+        for m in found:
+            depth = len(m[1])
+            names[depth - 1 :] = [m[2].strip()[:HEADING_CHARS]] + [None] * (6 - depth)
+            self.trails.append(" > ".join(n for n in names if n is not None)[:TRAIL_CHARS])
 
     def before(self, position: int) -> str:
         """The trail of the last heading that begins before the line of ``position``."""
