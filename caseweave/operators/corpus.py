@@ -8,13 +8,13 @@ path) one document, and every row a place where that document was seen.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.arrow import text_udf
 from caseweave.functions import chunking, identifiers
-from caseweave.functions.text import SPACE, fold, join_location, lstrip, raw_tokens, stable_id, strip
+from caseweave.functions.text import SPACE, TOKEN, fold, join_location, lstrip, raw_tokens, stable_id, strip
 
 SIZE, OVERLAP = 2000, 200
 EPOCH = "2024-01-01 00:00:00"
@@ -81,6 +81,25 @@ def _kernel(docs: DataFrame, size: int, overlap: int, keys: tuple[str, ...]) ->
     return docs.select(*keys, F.explode(cut("text")).alias("p")).select(*keys, "p.*")
 
 
+def stored_postings(passages: DataFrame) -> DataFrame:
+    """Postings to be stored: (term, casefile_id, chunk_id, document_id, ordinal, dl, tf), in range partitions of terms.
+
+    A query's terms are then a few row groups of a few files, by their minima
+    and maxima. A posting has all that ranking needs, but for the text that
+    tells ties apart.
+    """
+    keys = ["casefile_id", "chunk_id", "document_id", "ordinal"]
+    words = passages.select(*keys, raw_tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
+    terms = words.select(*keys, "dl", F.explode("words").alias("raw")).select(fold(F.col("raw")).alias("term"), *keys, "dl")
+    counted = terms.groupBy("term", *keys, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+
+
+def passage_statistics(passages: DataFrame) -> DataFrame:
+    """(casefile_id, passages, words): what BM25 needs of a casefile, in a row."""
+    return passages.groupBy("casefile_id").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.regexp_count("text", F.lit(TOKEN))).cast("long").alias("words"))
+
+
 def postings(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings(chunk_id, term, tf), lengths(chunk_id, dl)) of passages."""
     words = passages.select("chunk_id", raw_tokens(F.col("text")).alias("words"))
@@ -174,8 +193,8 @@ def location_labels(rows: DataFrame) -> DataFrame:
     places is whole, and ``unknown`` where it is not.
     """
     seen = observations(rows).select("doc_id", "document_id", "location_path", "seen_at")
-    doc = Window.partitionBy("document_id").orderBy("doc_id")
-    place = Window.partitionBy("document_id", "location_path").orderBy("doc_id")
-    ranked = seen.withColumns({"nth": F.row_number().over(doc), "again": F.row_number().over(place) > 1, "oldest": F.min("seen_at").over(Window.partitionBy("document_id"))})
-    label = F.when(F.col("nth") == 1, "first").when(F.col("again"), "known").when(F.col("oldest") <= F.col("created_at"), "new").otherwise("unknown")
-    return ranked.join(created_at(rows), "document_id").select("doc_id", "document_id", "location_path", label.alias("label"))
+    # both labels are minima, which combine before their shuffle however many copies a document has
+    places = seen.groupBy("document_id", "location_path").agg(F.min("doc_id").alias("first_here"), F.min("seen_at").alias("seen_at"))
+    docs = places.groupBy("document_id").agg(F.min("first_here").alias("first"), F.min("seen_at").alias("oldest")).join(created_at(rows), "document_id")
+    label = F.when(F.col("doc_id") == F.col("first"), "first").when(F.col("doc_id") > F.col("first_here"), "known").when(F.col("oldest") <= F.col("created_at"), "new").otherwise("unknown")
+    return seen.join(places.drop("seen_at"), ["document_id", "location_path"]).join(docs, "document_id").select("doc_id", "document_id", "location_path", label.alias("label"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseweave.plans.durable import cut
+
 
 def limited() -> Column:
     """Whether a run fell short of what it was offered."""
@@ -22,9 +24,21 @@ def bounds_reached(runs: DataFrame) -> DataFrame:
 
 
 def continuity_breaks(runs: DataFrame) -> DataFrame:
-    """For each casefile, runs that began with more documents than the run before had left."""
-    order = Window.partitionBy("casefile_id").orderBy("started_at", "id")
-    return runs.withColumn("left", F.lag("documents_after").over(order)).groupBy("casefile_id").agg(F.count_if(F.col("documents_before") > F.col("left")).alias("continuity_breaks"))
+    """For each casefile, runs that began with more documents than the run before had left.
+
+    Runs lie in range partitions; each compares its own, and the first run of a
+    casefile in a partition meets the last one of an earlier partition, of which
+    there is one row each. So a casefile of any number of runs spreads out.
+    """
+    order = ["started_at", "id"]
+    placed = runs.select("casefile_id", *order, "documents_before", "documents_after").repartitionByRange("casefile_id", *order)
+    placed = cut(placed.withColumn("part", F.spark_partition_id()))
+    here = Window.partitionBy("part", "casefile_id").orderBy(*order)
+    lagged = placed.withColumn("left", F.lag("documents_after").over(here)).withColumn("nth", F.row_number().over(here))
+    ends = placed.groupBy("casefile_id", "part").agg(F.max_by("documents_after", F.struct(*order)).alias("last"))
+    before = ends.select("casefile_id", "part", F.lag("last").over(Window.partitionBy("casefile_id").orderBy("part")).alias("left_before"))
+    joined = lagged.join(before, ["casefile_id", "part"]).withColumn("left", F.when(F.col("nth") == 1, F.col("left_before")).otherwise(F.col("left")))
+    return joined.groupBy("casefile_id").agg(F.count_if(F.col("documents_before") > F.col("left")).alias("continuity_breaks"))
 
 
 def verdicts(casefiles: DataFrame, runs: DataFrame) -> DataFrame:

@@ -46,6 +46,33 @@ def comparable(measured: dict, baseline: dict) -> list[str]:
     return sorted(k for k in measured.keys() | baseline.keys() if measured.get(k) != baseline.get(k))
 
 
+def judged(answers: DataFrame, judgements: DataFrame) -> DataFrame:
+    """``answers(query_id, leg, rank, filename, text)`` with ``relevant``: whether any judgement of the query is met."""
+    wanted = judgements.select("query_id", F.col("filename").alias("wanted_file"), "phrase")
+    met = is_relevant(F.col("filename"), F.col("text"), F.col("wanted_file"), F.col("phrase"))
+    rows = answers.join(F.broadcast(wanted), "query_id").groupBy("query_id", "leg", "rank").agg(F.max(met).alias("relevant"))
+    return rows
+
+
+def by_leg_and_language(answers: DataFrame, judgements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(metrics of each leg, metrics of the fused leg in each language) of the answers to a set of judgements."""
+    queries = judgements.select("query_id", "language").distinct()
+    rows = judged(answers, judgements)
+    fused = metrics(rows.filter("leg = 'fused'"), queries, ("language",))
+    return metrics(rows, queries), fused
+
+
+def write_baseline(path: str, conditions: dict, legs: DataFrame, languages: DataFrame) -> dict:
+    """Record a measurement as JSON, conditions and all; what was written is returned."""
+    import json
+
+    rows = lambda df, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.collect()}
+    out = {"conditions": conditions, "metrics": rows(legs, "leg"), "by_language": rows(languages, "language")}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(out, f, ensure_ascii=False, indent=2, sort_keys=True)
+    return out
+
+
 def load_judgements(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, query, language, filename, phrase) from a JSON list; an ``also`` entry is another row of its query.
 

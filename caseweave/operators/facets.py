@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.errors import ValidationError
@@ -32,10 +32,11 @@ def carriers(mentions: DataFrame, documents: DataFrame, casefile: str, mention:
     if not value:
         raise ValidationError("an enumeration needs an identifier")
     own = mentions.filter(carries(kind, value, casefile))
-    first = Window.partitionBy("document_id").orderBy("document_offset", "ordinal", "chunk_id")
     counts = own.groupBy("document_id", "casefile_id").agg(F.countDistinct("document_offset").alias("mentions"))
-    earliest = own.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("document_id", "chunk_id", F.col("ordinal").alias("first_ordinal"), F.col("document_offset").alias("first_offset"))
-    return documents.join(counts, ["document_id", "casefile_id"]).join(earliest, "document_id")
+    # the earliest passage is a minimum, so a document of any number of occurrences combines before its shuffle
+    earliest = own.groupBy("document_id", "casefile_id").agg(F.min(F.struct("document_offset", "ordinal", "chunk_id")).alias("first"))
+    earliest = earliest.select("document_id", "casefile_id", "first.chunk_id", F.col("first.ordinal").alias("first_ordinal"), F.col("first.document_offset").alias("first_offset"))
+    return documents.join(counts, ["document_id", "casefile_id"]).join(earliest, ["document_id", "casefile_id"])
 
 
 def carriers_page(mentions: DataFrame, documents: DataFrame, casefile: str, mention: str, offset: int = 0, limit: int = 50, order: tuple[str, ...] = ("doc_id", "document_id")):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.errors import AmbiguousReferenceError, NotFoundError
+from caseweave.plans.ranks import global_rank
 
 OFFSET_MOST = 2**63 - 1
 PAGE_MOST, READ_MOST = 200, 20_000
@@ -41,8 +42,9 @@ def clamped(offset: int, limit: int, most: int = PAGE_MOST) -> tuple[int, int]:
 
 def slice_rows(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of a total order."""
-    if offset > 2**31 - 1 - limit:  # past what an engine's offset can say, and past any end
-        return df.limit(0)
+    if offset > 2**31 - 1 - limit:  # past what the engine's own offset can say
+        ranked = global_rank(df, order, "page_rank")
+        return ranked.filter(F.col("page_rank").between(offset, min(offset + limit - 1, OFFSET_MOST))).orderBy(*order).drop("page_rank")
     return df.orderBy(*order).offset(offset).limit(limit).orderBy(*order) if offset else df.orderBy(*order).limit(limit)
 
 
@@ -60,6 +62,22 @@ def select_documents(documents: DataFrame, parent: str | None = None, expanded:
     return rows, [F.desc("created_at"), F.asc("containment_path"), F.asc("id")], "all" if expanded else "ingested"
 
 
+def every_document(documents: DataFrame, wide: list[str] | None = None) -> DataFrame:
+    """All documents in their order of listing, without a bound: for exports and maintenance, not for pages."""
+    rows, order, _ = select_documents(documents, expanded=True)
+    return (rows if wide is None else rows.select("id", "parent_id", "containment_path", "created_at", *wide)).orderBy(*order)
+
+
+def document_ids(documents: DataFrame) -> DataFrame:
+    """The ids of documents by (created_at, id); a scan of narrow columns alone."""
+    return documents.select("created_at", "id").orderBy("created_at", "id").select("id")
+
+
+def document_passages(passages: DataFrame, document_id: str) -> DataFrame:
+    """Every passage of a document by ordinal."""
+    return passages.filter(F.col("document_id") == document_id).orderBy("ordinal")
+
+
 def document_page(documents: DataFrame, wide: list[str], parent: str | None = None, expanded: bool = False, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of documents with ``child_count``: chosen on narrow columns, which then fetch the wide ones."""
     offset, limit = clamped(offset, limit)

@@ -25,6 +25,21 @@ def merge_places(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.unionByName(incoming).groupBy("document_id", "location_path").agg(F.min("first_seen_at").alias("first_seen_at"))
 
 
+def label_sightings(seen: DataFrame, places: DataFrame, documents: DataFrame) -> DataFrame:
+    """``seen(document_id, location_path)`` with how each finds the store: ``first``, ``known``, ``new`` or ``unknown``.
+
+    A document that is not stored yet is seen first; a path of the record is
+    known; any other is new where the record reaches back to the document's
+    creation, and unknown where it does not.
+    """
+    oldest = places.groupBy("document_id").agg(F.min("first_seen_at").alias("oldest"))
+    here = places.select("document_id", "location_path", F.lit(True).alias("there"))
+    stored = documents.select(F.col("id").alias("document_id"), "created_at")
+    rows = seen.select("document_id", "location_path").join(stored, "document_id", "left").join(oldest, "document_id", "left").join(here, ["document_id", "location_path"], "left")
+    label = F.when(F.col("created_at").isNull(), "first").when(F.col("there"), "known").when(F.col("oldest") <= F.col("created_at"), "new").otherwise("unknown")
+    return rows.select("document_id", "location_path", label.alias("label"))
+
+
 def derive_mentions(found: DataFrame, passages: DataFrame) -> DataFrame:
     """Mentions with document, casefile and offset taken from their passages, whatever their finder said.
 

@@ -8,17 +8,18 @@ BM25 statistics are those of the whole corpus, whatever the filter.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.errors import ConfigError, RerankUnavailable, ValidationError
+from caseweave.errors import ConfigError, ValidationError
 from caseweave.functions import identifiers
 from caseweave.functions.embedding import Embedder, embed
+from caseweave.functions.enrich import Reranker
 from caseweave.functions.text import ACCENTED, PLAIN, TOKEN, raw_tokens, token_pattern, tokens
 
 # Fixed values of the ranking: BM25, reciprocal ranks, and depths.
@@ -99,10 +100,12 @@ def batch_keyword(docs: DataFrame, queries: list[tuple[int, str]], depth: int, i
     The set goes to every task (at most BATCH_QUERIES); documents are read once
     for the statistics of its terms and once to score. A batch keeps its best
     ``depth`` for each query, so what is shuffled does not grow with the pairs.
-    Scores are rounded to nine places before they rank; ties go by id.
+    Scores are rounded to nine places before they rank; ties go by id. A larger
+    set runs in groups.
     """
     if len(queries) > BATCH_QUERIES:
-        raise ValidationError(f"more than {BATCH_QUERIES} queries in a batch")
+        parts = [batch_keyword(docs, queries[i : i + BATCH_QUERIES], depth, id_col) for i in range(0, len(queries), BATCH_QUERIES)]
+        return reduce(DataFrame.unionByName, parts)
     spark = docs.sparkSession
     asked = {q: fold_text(t).split() for q, t in queries}
     terms = sorted({t for ts in asked.values() for t in ts})
@@ -165,21 +168,57 @@ def keyword_leg(passages: DataFrame, casefile: str, terms: list[str], depth: int
     return ranked(found.orderBy(*order).limit(depth), order, "keyword_rank")
 
 
-def postings_leg(postings: DataFrame, lengths: DataFrame, passages: DataFrame, casefile: str, terms: list[str], depth: int) -> DataFrame:
-    """The keyword leg over materialised postings: only those of the query's terms are read."""
-    n, average = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    times = F.create_map(*(F.lit(x) for t in dict.fromkeys(terms) for x in (t, terms.count(t))))
-    mine = postings.filter(F.col("term").isin(*set(terms)))
-    df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * times[F.col("term")]
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
-    scores = mine.join(F.broadcast(df), "term").join(lengths, "chunk_id").groupBy("chunk_id").agg(F.sum(part).alias("score"))
-    found = passages.filter(F.col("casefile_id") == casefile).join(scores, "chunk_id")
+#: Rows of a ranking that are fetched by their ids rather than by a join.
+FETCH_MOST = 10_000
+
+
+def scored_postings(postings: DataFrame, statistics: DataFrame, casefile: str, terms: list[str], carriers: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, document_id, ordinal, score) of every passage of a casefile that holds a term, from stored postings.
+
+    Only postings of the query's terms are read. Statistics are those of the
+    whole corpus: a row for each casefile, and a count for each term.
+    """
+    n, words = statistics.agg(F.coalesce(F.sum("passages"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    mine = postings.filter(F.col("term").isin(*dict.fromkeys(terms)))
+    weight: dict[str, float] = {}
+    for r in mine.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect():
+        idf = float(np.log((n - r.df + 0.5) / (r.df + 0.5)))
+        weight[r.term] = (idf if idf > 0 else LEAST_IDF) * terms.count(r.term)
+    own = mine.filter(F.col("casefile_id") == casefile)
+    if carriers is not None:
+        own = own.join(carriers.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    table = F.create_map(*(F.lit(x) for pair in (weight or {"": 0.0}).items() for x in pair))
+    part = table[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(words / n if n else 1.0)))
+    return own.groupBy("chunk_id", "document_id", "ordinal").agg(F.sum(part).alias("score"))
+
+
+def postings_leg(postings: DataFrame, statistics: DataFrame, passages: DataFrame, casefile: str, terms: list[str], depth: int, carriers: DataFrame | None = None) -> DataFrame:
+    """The keyword leg over stored postings: the order is found on narrow rows, and texts are fetched for what may be in it."""
+    if not terms:
+        return passages.limit(0).withColumns({"score": F.lit(0.0), "keyword_rank": F.lit(0)})
+    scores = scored_postings(postings, statistics, casefile, terms, carriers)
+    # all that tie with the last one are kept: their texts tell
+    place = F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "ordinal"))
+    few = scores.withColumn("place", place).filter(F.col("place") <= depth).drop("place")
+    found = fetched(passages.filter(F.col("casefile_id") == casefile), few, ["chunk_id", "score"])
     order = [F.desc("score"), "ordinal", "text", "document_id"]
     return ranked(found.orderBy(*order).limit(depth), order, "keyword_rank")
 
 
+def fetched(passages: DataFrame, few: DataFrame, columns: list[str]) -> DataFrame:
+    """``passages`` that ``few(chunk_id, document_id, …)`` names, with ``columns`` of it.
+
+    A page or two of ids go down into the scan of passages, which lie in order
+    of their documents; more than FETCH_MOST meet them in a join.
+    """
+    rows = few.limit(FETCH_MOST + 1).collect()
+    if len(rows) > FETCH_MOST:
+        return passages.join(few.select(*columns), "chunk_id")
+    here = few.sparkSession.createDataFrame(rows, few.schema).select(*columns)
+    near = passages.filter(F.col("document_id").isin(*{r.document_id for r in rows}) & F.col("chunk_id").isin(*(r.chunk_id for r in rows))) if rows else passages.limit(0)
+    return near.join(F.broadcast(here), "chunk_id")
+
+
 def ranked(few: DataFrame, order: list, name: str) -> DataFrame:
     """1-based ranks of an ordered, limited result."""
     return few.withColumn(name, F.row_number().over(Window.orderBy(*order)))
@@ -195,24 +234,15 @@ def distance(vector: Column, query: list[float] | Column) -> Column:
 def vector_leg(vectors: DataFrame, query: list[float], depth: int, id_col: str, vector_col: str = "embedding", where: Column | None = None, carriers: DataFrame | None = None) -> DataFrame:
     """(id, distance, vector_rank) of the nearest ``depth`` vectors, exactly, ties by id.
 
-    The distance is an Arrow kernel over whole batches; the filter and the
-    semi-join stand below the limit. A vector of another width is an error.
+    The filter and the semi-join stand below the limit. A vector of another
+    width is an error.
     """
     if where is not None:
         vectors = vectors.filter(where)
     if carriers is not None:
         vectors = vectors.join(carriers.select(id_col).distinct(), id_col, "left_semi")
-    target = np.asarray(query, np.float64)
-
-    @F.pandas_udf("double")
-    def gap(v: pd.Series) -> pd.Series:
-        if len(v) == 0:
-            return pd.Series([], dtype="float64")
-        if any(len(x) != len(target) for x in v):
-            raise ConfigError(f"a vector is not {len(target)} wide")
-        return pd.Series(np.sqrt(((np.stack(v.to_numpy()).astype(np.float64) - target) ** 2).sum(axis=1)))
-
-    near = vectors.select(id_col, gap(F.col(vector_col)).alias("distance"))
+    wrong = F.raise_error(F.lit(f"a vector is not {len(query)} wide")).cast("double")
+    near = vectors.select(id_col, F.when(F.size(vector_col) == len(query), distance(F.col(vector_col), query)).otherwise(wrong).alias("distance"))
     order = ["distance", id_col]
     return ranked(near.orderBy(*order).limit(depth), order, "vector_rank")
 
@@ -239,34 +269,51 @@ def rerank(fused: DataFrame, pool: int, scorer: Callable[[Column], Column]) -> D
     return pooled.withColumn("rerank_position", F.row_number().over(Window.orderBy(*order)))
 
 
-def hybrid(passages: DataFrame, casefile: str, query: str, embedder: Embedder, limit: int = 10, mention: str = "", mentions: DataFrame | None = None, vectors: DataFrame | None = None, scorer: Callable[[Column], Column] | None = None) -> DataFrame:
+def rerank_rows(fused: DataFrame, pool: int, query: str, reranker: Reranker) -> DataFrame:
+    """:func:`rerank` by a model: the texts of the pool, a page of them, go to it at once, and it must score each."""
+    rows = fused.filter(F.col("position") <= pool).orderBy("position").collect()
+    scores = reranker.scores(query, [r.text for r in rows])
+    if len(scores) != len(rows):
+        raise ConfigError(f"{reranker.name} gave {len(scores)} scores for {len(rows)} passages")
+    given = fused.sparkSession.createDataFrame([(r.position, float(s)) for r, s in zip(rows, scores, strict=True)], "position int, rerank_score double")
+    pooled = fused.join(F.broadcast(given), "position", "left")
+    order = [F.when(F.col("position") <= pool, 0).otherwise(1), F.desc_nulls_last("rerank_score"), F.asc("position")]
+    return pooled.withColumn("rerank_position", F.row_number().over(Window.orderBy(*order)))
+
+
+def hybrid(passages: DataFrame, casefile: str, query: str, embedder: Embedder, limit: int = 10, mention: str = "", mentions: DataFrame | None = None, vectors: DataFrame | None = None, scorer: Callable[[Column], Column] | Reranker | None = None, postings: DataFrame | None = None, statistics: DataFrame | None = None) -> DataFrame:
     """Hybrid search: both legs, fused, hydrated, optionally reranked; ``limit`` rows in order of ``position``.
 
-    ``ranking`` says whether the order is of the fusion, of the reranker, or of
-    the fusion because the reranker was unavailable. A reranker with wrong
-    settings fails the search.
+    With stored ``postings`` and ``statistics`` the keyword leg reads those.
+    ``ranking`` says whether the order is of the fusion, of the reranker (a
+    column of the text, or a model), or of the fusion because the reranker
+    failed. A reranker with wrong settings fails the search.
     """
     limit = clamp(limit, 1, LIMIT_MOST)
     depth = max(limit * DEPTH_TIMES, RERANK_DEPTH if scorer else 0)
     kind, value = parse_mention(mention)
     carriers = mentions.filter(carries(kind, value, casefile)) if value else None
     own = passages.filter(F.col("casefile_id") == casefile)
-    keyword = keyword_leg(passages, casefile, query_terms(passages.sparkSession, query), depth, carriers)
+    terms = query_terms(passages.sparkSession, query)
+    keyword = keyword_leg(passages, casefile, terms, depth, carriers) if postings is None else postings_leg(postings, statistics, passages, casefile, terms, depth, carriers)
     if vectors is None:
         vectors = own.select("chunk_id", embed(F.col("text"), embedder).alias("embedding"))
     else:
         vectors = vectors.join(own.select("chunk_id"), "chunk_id", "left_semi")
     vector = vector_leg(vectors, embedder.query(query.strip()[:QUERY_CHARS]).tolist(), depth, "chunk_id", carriers=carriers)
-    hits = own.join(F.broadcast(fuse(keyword, vector)), "chunk_id")
+    # both legs are pages, so what they name is known before passages are read
+    named = fuse(keyword, vector).collect()
+    fused = passages.sparkSession.createDataFrame(named, "chunk_id string, keyword_rank int, vector_rank int, score double, best_rank int")
+    hits = own.filter(F.col("chunk_id").isin(*(r.chunk_id for r in named))).join(F.broadcast(fused), "chunk_id") if named else own.limit(0).join(fused, "chunk_id")
     top = max(limit, RERANK_DEPTH) if scorer else limit
     hits = hits.orderBy(*fused_order()).limit(top).withColumn("position", F.row_number().over(Window.orderBy(*fused_order())))
     if scorer is None:
         return hits.withColumns({"rerank_score": F.lit(None).cast("double"), "ranking": F.lit("fusion")})
     try:
-        scores = rerank(hits, top, scorer).cache()  # at most ``top`` rows
-        scores.count()
-    except (RerankUnavailable, PythonException) as e:
-        if "RerankUnavailable" not in f"{type(e).__name__} {e}":
+        rows = rerank_rows(hits, top, query, scorer) if hasattr(scorer, "scores") else rerank(hits, top, scorer)
+        scores = passages.sparkSession.createDataFrame(rows.collect(), rows.schema)  # at most ``top`` rows
+    except Exception as e:
+        if isinstance(e, ConfigError) or "ConfigError" in str(e):
             raise
         return hits.filter(F.col("position") <= limit).withColumns({"rerank_score": F.lit(None).cast("double"), "ranking": F.lit("rerank-unavailable")})
     return scores.filter(F.col("rerank_position") <= limit).drop("position").withColumnRenamed("rerank_position", "position").withColumn("ranking", F.lit("rerank"))

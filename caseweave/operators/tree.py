@@ -10,20 +10,15 @@ from caseweave.plans.durable import cut
 DEPTH_MOST = 64
 
 
-def _recursive(df: DataFrame, sql: str) -> DataFrame:
-    """Run SQL with a recursive CTE over ``df``, which it names ``tree``."""
-    df.createOrReplaceTempView("caseweave_tree")
-    return df.sparkSession.sql(sql.replace("{tree}", "caseweave_tree"))
-
-
 def ancestors(nodes: DataFrame, node: str) -> DataFrame:
     """(id, parent_id, depth) above ``node`` in ``nodes(id, parent_id)``, the root first."""
-    return _recursive(nodes.select("id", "parent_id"), f"""
+    sql = """
         WITH RECURSIVE up(id, parent_id, depth) AS (
-          SELECT p.id, p.parent_id, 1 FROM {{tree}} c JOIN {{tree}} p ON p.id = c.parent_id WHERE c.id = '{node.replace("'", "''")}'
+          SELECT p.id, p.parent_id, 1 FROM {tree} c JOIN {tree} p ON p.id = c.parent_id WHERE c.id = {node}
           UNION ALL
-          SELECT p.id, p.parent_id, u.depth + 1 FROM up u JOIN {{tree}} p ON p.id = u.parent_id WHERE u.depth < {DEPTH_MOST})
-        SELECT id, parent_id, depth FROM up ORDER BY depth DESC""")
+          SELECT p.id, p.parent_id, u.depth + 1 FROM up u JOIN {tree} p ON p.id = u.parent_id WHERE u.depth < {most})
+        SELECT id, parent_id, depth FROM up ORDER BY depth DESC"""
+    return nodes.sparkSession.sql(sql, tree=nodes.select("id", "parent_id"), node=node, most=DEPTH_MOST)
 
 
 def descendants(nodes: DataFrame, node: str) -> DataFrame:

@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions import identifiers
+from caseweave.functions import windows as kernel
 from caseweave.functions.embedding import HashEmbedder, embed
 from caseweave.functions.text import ACCENTED, PLAIN, one_line, read_as, short_id, slugify, stable_id, tokens
 from caseweave.operators import corpus, coverage, evaluate, facets, pages, records, search, tree, windows
+from caseweave.plans.library import kept
 from caseweave.plans.running import running_total
 from caseweave.plans.scan import read_table as table
 from caseweave.plans.scan import spread
@@ -53,8 +55,42 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunks(docs_of(spark, sf_dir))
 
 
-def mentions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.mentions(chunks_of(spark, sf_dir), ("email", "phone"))
+def ingested(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus as ingest leaves it for questions: derived from all documents once, then read (see plans.library)."""
+    derive = {
+        "docs": lambda: docs_of(spark, sf_dir),
+        "chunks": lambda: corpus.chunks(ingested(spark, sf_dir, "docs")).repartitionByRange("document_id", "ordinal").sortWithinPartitions("document_id", "ordinal"),
+        "postings": lambda: corpus.stored_postings(ingested(spark, sf_dir, "chunks")),
+        "statistics": lambda: corpus.passage_statistics(ingested(spark, sf_dir, "chunks")),
+        "mentions": lambda: corpus.mentions(ingested(spark, sf_dir, "chunks"), ("email", "phone")),
+        "vectors": lambda: ingested(spark, sf_dir, "chunks").select("chunk_id", "casefile_id", digest_vector(F.col("text")).alias("embedding")),
+    }
+    return kept(spark, sf_dir, "documents", name, derive[name])
+
+
+#: Width of the vectors that SQL can make too.
+WIDTH = 8
+
+
+def digest_vector(text):
+    """A vector of WIDTH numbers from 0 to 1, from the MD5 of a text: without meaning, and the same everywhere."""
+    return F.array(*(F.conv(F.substring(F.md5(text), 4 * i + 1, 4), 16, 10).cast("double") / F.lit(65535.0) for i in range(WIDTH)))
+
+
+class DigestEmbedder:
+    """The same for queries."""
+
+    name, dimensions = "md5", WIDTH
+
+    def documents(self, texts):
+        import hashlib
+
+        import numpy as np
+
+        return np.array([[int(hashlib.md5(t.encode()).hexdigest()[4 * i : 4 * i + 4], 16) / 65535.0 for i in range(WIDTH)] for t in texts])
+
+    def query(self, text):
+        return self.documents([text])[0]
 
 
 # --- the corpus as SQL -------------------------------------------------------------------------
@@ -283,13 +319,21 @@ def chunk_windows(spark, sf_dir):
     return chunks_of(spark, sf_dir).select("chunk_id", "doc_id", "ordinal", "char_start", "char_end", F.md5("text").alias("text_md5"))
 
 
-HEADED = [(1, "x" * 180 + "\n\n" + "y" * 100), (2, "# One\n\nalpha beta\n\n## Two\n\n" + "word " * 45 + "\n\n# Three\n\ngamma"), (3, " \n \n "), (4, "  lead\n\n" + "é😀 " * 90)]
-
-
-@query("""SELECT * FROM (VALUES (1, 0, 0, 180, ''), (1, 1, 142, 282, ''), (2, 0, 0, 200, ''), (2, 1, 160, 268, 'One > Two'), (4, 0, 2, 199, ''), (4, 1, 161, 277, '')) t(doc_id, ordinal, char_start, char_end, heading_path)""")
+@query(f"""WITH {DOCS},
+headed AS (SELECT document_id, casefile_id, d.doc_id, coalesce(source, '') AS source, '# ' || coalesce(source, '') || chr(10) || chr(10) || regexp_replace(docs.text, '\\s+', ' ', 'g') AS text FROM docs JOIN documents d USING (doc_id)),
+win AS (
+  SELECT *, substr(text, CAST(k * 1800 + 1 AS BIGINT), 2000) AS raw
+  FROM headed, LATERAL (SELECT unnest(generate_series(0, CAST(greatest(0, ceil((len(text) - 2000) / 1800.0)) AS BIGINT))) AS k)),
+cut AS (SELECT *, len(raw) - len(ltrim(raw, chr(10) || ' ')) AS lead, trim(raw, chr(10) || ' ') AS body FROM win WHERE regexp_matches(raw, '\\S'))
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS INTEGER) AS ordinal, CAST(k * 1800 + lead AS INTEGER) AS char_start, CAST(k * 1800 + lead + len(body) AS INTEGER) AS char_end,
+       CASE WHEN k = 0 THEN '' ELSE source END AS heading_path, md5(body) AS text_md5
+FROM cut""")
 def chunk_headings(spark, sf_dir):
-    docs = spark.createDataFrame(HEADED, "doc_id int, text string").withColumns({"document_id": F.col("doc_id").cast("string"), "casefile_id": F.lit("x")})
-    return corpus.chunks(docs, 200, 40).select("doc_id", "ordinal", "char_start", "char_end", "heading_path")
+    """Every document as one paragraph under a heading that names its source: passages after the first stand below it."""
+    sources = rows_of(spark, sf_dir).select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    docs = docs_of(spark, sf_dir).join(sources, "doc_id")
+    headed = docs.withColumn("text", F.concat(F.lit("# "), "source", F.lit("\n\n"), F.regexp_replace("text", r"\s+", " ")))
+    return corpus.chunks(headed).select("document_id", "ordinal", "char_start", "char_end", "heading_path", F.md5("text").alias("text_md5"))
 
 
 def _mention_rows(spark, sf_dir, kind):
@@ -306,29 +350,47 @@ def mentions_phone(spark, sf_dir):
     return _mention_rows(spark, sf_dir, "phone")
 
 
-NUMBERED = [(1, "to DE89 3704 0044 0532 0130 00 was paid"), (2, "DE89370400440532013000"), (3, "to DE89 3704 0044 0532 0310 00"), (4, "код ЄДРПОУ: 31415926, далі"), (5, "edrpou 31415926 and 27182818"), (6, "угода 31415926 підписана"), (7, "ЄДРПОУ 12345678, тел. +380441234567"), (8, "AB12 GB82 WEST 1234 5698 7654 32 debited")]
+def _told(rows: DataFrame, kind: str) -> DataFrame:
+    """Identifiers of ``rows(id, text)``, each row a passage that begins at character 100."""
+    chunks = rows.withColumns({"doc_id": F.col("id"), "chunk_id": F.col("id").cast("string"), "document_id": F.col("id").cast("string"), "casefile_id": F.lit("x"), "ordinal": F.lit(0), "char_start": F.lit(100)})
+    return corpus.mentions(chunks, (kind,)).select(F.col("doc_id").alias("id"), "value", "normalised", "char_start", "document_offset")
 
 
-def _numbered(spark, kind):
-    chunks = spark.createDataFrame(NUMBERED, "doc_id int, text string").withColumns({"chunk_id": F.col("doc_id").cast("string"), "document_id": F.col("doc_id").cast("string"), "casefile_id": F.lit("x"), "ordinal": F.lit(0), "char_start": F.lit(100)})
-    return corpus.mentions(chunks, (kind,)).select("doc_id", "value", "normalised", "char_start", "document_offset")
+#: An account for every customer but each third: a German one with true check digits, in groups of four or in one piece.
+ACCOUNTS = """told AS (
+  SELECT c_custkey AS id, c_name, lpad(CAST(c_custkey AS VARCHAR), 18, '3') AS bban FROM customer WHERE c_custkey % 3 <> 0),
+acc AS (SELECT *, 'DE' || lpad(CAST(98 - CAST(bban || '131400' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || bban AS account FROM told),
+shown AS (
+  SELECT *, CASE WHEN id % 2 = 0 THEN account ELSE substr(account, 1, 4) || ' ' || substr(account, 5, 4) || ' ' || substr(account, 9, 4) || ' ' || substr(account, 13, 4) || ' ' || substr(account, 17, 4) || ' ' || substr(account, 21, 2) END AS value FROM acc)"""
 
 
-@query("""SELECT * FROM (VALUES (1, 'DE89 3704 0044 0532 0130 00', 'DE89370400440532013000', 3, 103), (2, 'DE89370400440532013000', 'DE89370400440532013000', 0, 100), (8, 'GB82 WEST 1234 5698 7654 32', 'GB82WEST12345698765432', 5, 105)) t(doc_id, value, normalised, char_start, document_offset)""")
+@query(f"""WITH {ACCOUNTS}
+SELECT id, value, account AS normalised, CAST(len(c_name) + 9 AS INTEGER) AS char_start, CAST(len(c_name) + 109 AS INTEGER) AS document_offset FROM shown""")
 def mentions_iban(spark, sf_dir):
-    return _numbered(spark, "iban")
-
-
-@query("""SELECT * FROM (VALUES (4, '31415926', '31415926', 12, 112), (5, '31415926', '31415926', 7, 107), (7, '12345678', '12345678', 7, 107)) t(doc_id, value, normalised, char_start, document_offset)""")
+    bban = F.lpad(F.col("c_custkey").cast("string"), 18, "3")
+    digits = 98 - F.concat(bban, F.lit("131400")).cast("decimal(38,0)") % 97
+    account = F.concat(F.lit("DE"), F.lpad(digits.cast("int").cast("string"), 2, "0"), bban)
+    grouped = F.concat_ws(" ", *(F.substring(account, at, 4) for at in range(1, 21, 4)), F.substring(account, 21, 2))
+    shown = F.when(F.col("c_custkey") % 3 == 0, bban).when(F.col("c_custkey") % 2 == 0, account).otherwise(grouped)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("pay "), "c_name", F.lit(" via "), shown, F.lit("; thanks")).alias("text"))
+    return _told(rows, "iban")
+
+
+@query("""WITH told AS (SELECT s_suppkey AS id, s_name, lpad(CAST(s_suppkey * 7919 % 100000000 AS VARCHAR), 8, '0') AS number FROM supplier)
+SELECT id, number AS value, number AS normalised, CAST(len(s_name) + CASE WHEN id % 4 = 1 THEN 9 ELSE 10 END AS INTEGER) AS char_start, CAST(len(s_name) + CASE WHEN id % 4 = 1 THEN 109 ELSE 110 END AS INTEGER) AS document_offset
+FROM told WHERE id % 4 IN (1, 2)""")
 def mentions_registration(spark, sf_dir):
-    return _numbered(spark, "registration_number")
+    """Numbers that a keyword names, in two spellings; others that a sign or nothing stands before."""
+    number = F.lpad((F.col("s_suppkey") * 7919 % 100000000).cast("string"), 8, "0")
+    named = F.concat(F.translate("s_name", "0123456789", "abcdefghij"), F.when(F.col("s_suppkey") % 4 == 1, ", EDRPOU ").when(F.col("s_suppkey") % 4 == 2, ", ЄДРПОУ: ").when(F.col("s_suppkey") % 4 == 3, ", EDRPOU +").otherwise(", угода "), number, F.lit(" is registered"))
+    return _told(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), named.alias("text")), "registration_number")
 
 
 @query(f"""WITH {MENTIONS}
 SELECT kind, normalised AS value, count(DISTINCT document_id || ':' || document_offset) AS mentions, count(DISTINCT document_id) AS documents
 FROM mentions WHERE casefile_id = '{CASEFILE}' GROUP BY ALL ORDER BY mentions DESC, value, kind LIMIT 50""")
 def mention_facets(spark, sf_dir):
-    return facets.facets(mentions_of(spark, sf_dir), CASEFILE)
+    return facets.facets(ingested(spark, sf_dir, "mentions"), CASEFILE)
 
 
 @query(f"""WITH {MENTIONS},
@@ -339,9 +401,9 @@ n AS (SELECT document_id, count(DISTINCT document_offset) AS mentions FROM own G
 SELECT document_id, doc_id, mentions, chunk_id, one.ordinal AS first_ordinal, one.document_offset AS first_offset
 FROM docs JOIN n USING (document_id) JOIN one USING (document_id) WHERE nth = 1 ORDER BY mentions DESC, doc_id LIMIT 50""")
 def mention_documents(spark, sf_dir):
-    found = mentions_of(spark, sf_dir)
+    found = ingested(spark, sf_dir, "mentions")
     top = found.filter((F.col("casefile_id") == CASEFILE) & (F.col("kind") == "phone")).groupBy("normalised").agg(F.countDistinct("document_id").alias("n")).orderBy(F.desc("n"), "normalised").first()
-    docs = docs_of(spark, sf_dir).select("document_id", "casefile_id", "doc_id")
+    docs = ingested(spark, sf_dir, "docs").select("document_id", "casefile_id", "doc_id")
     page = facets.carriers_page(found, docs, CASEFILE, f"phone:{top[0] if top else '+0000000000'}")
     return page.rows.select("document_id", "doc_id", "mentions", "chunk_id", "first_ordinal", "first_offset")
 
@@ -353,20 +415,24 @@ HIT = ["document_id", "doc_id", "ordinal", "char_start", "char_end", "keyword_ra
 
 @query(f"WITH {CHUNKS}, {bm25_sql(depth=LIMIT)} SELECT document_id, doc_id, ordinal, char_start, char_end, keyword_rank, round(score, 6) AS score FROM keyword")
 def search_keyword(spark, sf_dir):
-    return search.keyword_leg(chunks_of(spark, sf_dir), CASEFILE, SQL_TERMS, LIMIT).select(*HIT, F.round("score", 6).alias("score"))
+    return _keyword(spark, sf_dir, LIMIT).select(*HIT, F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {CHUNKS}, {bm25_sql(depth=LIMIT)} SELECT document_id, doc_id, ordinal, char_start, char_end, keyword_rank, round(score, 6) AS score FROM keyword")
+def _keyword(spark, sf_dir, depth, carriers=None):
+    own = lambda name: ingested(spark, sf_dir, name)
+    return search.postings_leg(own("postings"), own("statistics"), own("chunks"), CASEFILE, SQL_TERMS, depth, carriers)
+
+
+@query(f"WITH {CHUNKS}, {bm25_sql(depth=LIMIT)} SELECT chunk_id, document_id, ordinal, round(score, 6) AS score FROM keyword_all")
 def search_postings(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir)
-    postings, lengths = corpus.postings(chunks)
-    return search.postings_leg(postings, lengths, chunks, CASEFILE, SQL_TERMS, LIMIT).select(*HIT, F.round("score", 6).alias("score"))
+    """Every passage of a casefile that holds a term, scored from the postings alone."""
+    found = search.scored_postings(ingested(spark, sf_dir, "postings"), ingested(spark, sf_dir, "statistics"), CASEFILE, SQL_TERMS)
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {MENTIONS}, {bm25_sql(where='chunk_id IN (SELECT chunk_id FROM mentions)', depth=LIMIT)} SELECT document_id, doc_id, ordinal, char_start, char_end, keyword_rank, round(score, 6) AS score FROM keyword")
 def search_keyword_filtered(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir)
-    return search.keyword_leg(chunks, CASEFILE, SQL_TERMS, LIMIT, corpus.mentions(chunks, ("email", "phone"))).select(*HIT, F.round("score", 6).alias("score"))
+    return _keyword(spark, sf_dir, LIMIT, ingested(spark, sf_dir, "mentions")).select(*HIT, F.round("score", 6).alias("score"))
 
 
 GAP = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)))))"
@@ -388,10 +454,11 @@ def search_vector_scoped(spark, sf_dir):
     return _near(spark, sf_dir, F.col("label") == 3).withColumn("distance", F.round("distance", 6))
 
 
-#: The second leg of the fused queries: passages by how many query terms they hold, then by length.
-SECOND = f"""second AS (
-  SELECT chunk_id, CAST(row_number() OVER (ORDER BY {' + '.join(f"CASE WHEN contains(text, '{t}') THEN 1 ELSE 0 END" for t in SQL_TERMS)} DESC, len(text), text, document_id) AS INTEGER) AS vector_rank
-  FROM chunks WHERE casefile_id = '{CASEFILE}' QUALIFY vector_rank <= {DEPTH})"""
+DIGEST = ", ".join("CAST('0x' || substr(md5({0}), %d, 4) AS BIGINT) / 65535.0::DOUBLE" % (4 * i + 1) for i in range(WIDTH))
+#: The vector leg over vectors that SQL can make too.
+SECOND = f"""vectors AS (SELECT chunk_id, [{DIGEST.format("text")}] AS v, [{DIGEST.format(f"'{TERMS}'")}] AS q FROM chunks WHERE casefile_id = '{CASEFILE}'),
+near AS (SELECT chunk_id, sqrt(list_sum(list_transform(range(1, {WIDTH + 1}), lambda i: (v[i] - q[i]) * (v[i] - q[i])))) AS distance FROM vectors),
+second AS (SELECT chunk_id, CAST(row_number() OVER (ORDER BY distance, chunk_id) AS INTEGER) AS vector_rank FROM near QUALIFY vector_rank <= {DEPTH})"""
 FUSED = f"""WITH {CHUNKS}, {bm25_sql()}, {SECOND},
 fused AS (
   SELECT chunk_id, coalesce(1.0::DOUBLE / (60 + keyword_rank), 0.0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0.0) AS score, k.keyword_rank, s.vector_rank,
@@ -401,13 +468,10 @@ hits AS (SELECT f.*, c.document_id, c.ordinal, c.text, CAST(row_number() OVER (O
 
 
 def _fused(spark, sf_dir) -> DataFrame:
-    chunks = chunks_of(spark, sf_dir)
-    own = chunks.filter(F.col("casefile_id") == CASEFILE)
-    held = sum((F.when(F.col("text").contains(t), 1).otherwise(0) for t in SQL_TERMS[1:]), F.when(F.col("text").contains(SQL_TERMS[0]), 1).otherwise(0))
-    order = [F.desc("held"), "characters", "text", "document_id"]
-    second = search.ranked(own.select("chunk_id", "document_id", "text", held.alias("held"), F.length("text").alias("characters")).orderBy(*order).limit(DEPTH), order, "vector_rank")
-    both = search.fuse(search.keyword_leg(chunks, CASEFILE, SQL_TERMS, DEPTH), second)
-    return own.join(F.broadcast(both), "chunk_id").withColumn("position", F.row_number().over(Window.orderBy(*search.fused_order())))
+    chunks, vectors = ingested(spark, sf_dir, "chunks"), ingested(spark, sf_dir, "vectors")
+    second = search.vector_leg(vectors, DigestEmbedder().query(TERMS).tolist(), DEPTH, "chunk_id", where=F.col("casefile_id") == CASEFILE)
+    both = search.fuse(_keyword(spark, sf_dir, DEPTH), second)
+    return chunks.join(F.broadcast(both), "chunk_id").withColumn("position", F.row_number().over(Window.orderBy(*search.fused_order())))
 
 
 @query(FUSED + " SELECT chunk_id, document_id, ordinal, round(score, 9) AS score, keyword_rank, vector_rank, position FROM hits")
@@ -426,11 +490,12 @@ def search_rerank_order(spark, sf_dir):
     return search.rerank(_fused(spark, sf_dir), 20, overlap).select("chunk_id", "position", F.round("rerank_score", 9).alias("rerank_score"), "rerank_position")
 
 
-@query()
+@query(FUSED + f" SELECT position, chunk_id, document_id, ordinal, round(score, 9) AS score, keyword_rank, vector_rank, 'fusion' AS ranking FROM hits WHERE position <= {LIMIT}")
 def search_hybrid(spark, sf_dir):
-    """The whole search with the deterministic embedder."""
-    chunks = chunks_of(spark, sf_dir)
-    return search.hybrid(chunks, CASEFILE, TERMS, HashEmbedder(256)).select("position", "chunk_id", "document_id", "ordinal", "score", "keyword_rank", "vector_rank", "ranking")
+    """The whole search, over an index as ingest leaves it."""
+    own = lambda name: ingested(spark, sf_dir, name)
+    found = search.hybrid(own("chunks"), CASEFILE, TERMS, DigestEmbedder(), LIMIT, vectors=own("vectors"), postings=own("postings"), statistics=own("statistics"))
+    return found.select("position", "chunk_id", "document_id", "ordinal", F.round("score", 9).alias("score"), "keyword_rank", "vector_rank", "ranking")
 
 
 @query()
@@ -438,23 +503,34 @@ def deterministic_embed(spark, sf_dir):
     return docs_of(spark, sf_dir).select("document_id", embed(F.col("text"), HashEmbedder(256)).alias("embedding"))
 
 
-@query()
+@query(f"""WITH {CHUNKS}, {bm25_sql(depth=DEPTH)},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY keyword_rank) AS nth FROM keyword) WHERE nth = 1 ORDER BY keyword_rank LIMIT {LIMIT}),
+reach AS (
+  SELECT b.keyword_rank, b.chunk_id, b.document_id, b.char_start AS s, b.char_end AS e, min(c.char_start) AS low, max(c.char_end) AS high
+  FROM best b JOIN chunks c ON c.document_id = b.document_id AND c.ordinal BETWEEN b.ordinal - {kernel.RADIUS} AND b.ordinal + {kernel.RADIUS} GROUP BY ALL),
+grown AS (SELECT *, {kernel.BUDGET} - (e - s) AS room, least(s - low, greatest(({kernel.BUDGET} - (e - s)) // 2, {kernel.BUDGET} - (e - s) - (high - e))) AS l FROM reach),
+span AS (SELECT *, s - l AS a, e + least(high - e, room - l) AS z FROM grown),
+shown AS (SELECT *, substr(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) AS w, a < s OR z > e AS more FROM span JOIN (SELECT document_id, text FROM docs) USING (document_id))
+SELECT chunk_id, CAST(keyword_rank AS INTEGER) AS position, CASE WHEN more THEN CAST(a AS BIGINT) END AS window_start, CASE WHEN more THEN CAST(z AS BIGINT) END AS window_end, false AS narrowed, CASE WHEN more THEN md5(w) END AS window_md5 FROM shown""")
 def result_windows(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    chunks = corpus.chunks(docs)
-    hits = search.keyword_leg(chunks, CASEFILE, SQL_TERMS, LIMIT).select(F.lit(1).alias("query_id"), F.col("keyword_rank").alias("position"), "chunk_id")
-    return windows.result_windows(hits, chunks, docs)
-
+    """Windows around the best passages of different documents (texts of the tables have no headings)."""
+    first = Window.partitionBy("document_id").orderBy("keyword_rank")
+    best = _keyword(spark, sf_dir, DEPTH).withColumn("nth", F.row_number().over(first)).filter("nth = 1").orderBy("keyword_rank").limit(LIMIT)
+    hits = best.select(F.lit(1).alias("query_id"), F.col("keyword_rank").alias("position"), "chunk_id")
+    found = windows.result_windows(hits, ingested(spark, sf_dir, "chunks"), ingested(spark, sf_dir, "docs"))
+    return found.select("chunk_id", "position", "window_start", "window_end", "narrowed", F.md5("window_text").alias("window_md5"))
 
-ISLANDS = [("a", 0, "A", 0, 10), ("a", 1, "A", 8, 20), ("a", 2, "B", 18, 30), ("a", 3, "A", 28, 40), ("a", 5, "A", 50, 60), ("b", 0, "", 0, 9)]
 
-
-@query("""WITH v AS (SELECT * FROM (VALUES ('a', 0, 'A', 0, 10), ('a', 1, 'A', 8, 20), ('a', 2, 'B', 18, 30), ('a', 3, 'A', 28, 40), ('a', 5, 'A', 50, 60), ('b', 0, '', 0, 9)) t(document_id, ordinal, heading_path, char_start, char_end)),
+@query("""WITH v AS (SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CAST(l_linenumber AS INTEGER) AS ordinal, min(l_returnflag) AS heading_path, CAST(10 * l_linenumber AS INTEGER) AS char_start, CAST(10 * l_linenumber + 12 AS INTEGER) AS char_end
+                     FROM lineitem WHERE l_quantity <= 45 GROUP BY l_orderkey, l_linenumber),
 g AS (SELECT *, CASE WHEN lag(heading_path) OVER w IS DISTINCT FROM heading_path OR lag(ordinal) OVER w <> ordinal - 1 THEN 1 ELSE 0 END AS b FROM v WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)),
 i AS (SELECT *, CAST(sum(b) OVER (PARTITION BY document_id ORDER BY ordinal) AS BIGINT) AS island FROM g)
 SELECT document_id, heading_path, island, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal, min(char_start) AS low, max(char_end) AS high FROM i GROUP BY document_id, heading_path, island""")
 def section_islands(spark, sf_dir):
-    return windows.section_islands(spark.createDataFrame(ISLANDS, "document_id string, ordinal int, heading_path string, char_start int, char_end int"))
+    """Order lines as passages under their return flag; large lines are gaps."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity <= 45").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("heading_path"))
+    at = (10 * F.col("l_linenumber")).cast("int")
+    return windows.section_islands(lines.select(F.col("l_orderkey").cast("string").alias("document_id"), F.col("l_linenumber").cast("int").alias("ordinal"), "heading_path", at.alias("char_start"), (at + 12).alias("char_end")))
 
 
 @query(f"""WITH {CHUNKS}
@@ -481,7 +557,7 @@ SELECT 'keyword' AS leg, count(*) AS queries, round(avg(CASE WHEN best <= 1 THEN
 def retrieval_metrics(spark, sf_dir):
     """Benchmark items as queries of the keyword leg over documents; an answer is relevant if it says the item."""
     docs = rows_of(spark, sf_dir).select("doc_id", "text")
-    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").orderBy("item_id").limit(search.BATCH_QUERIES + 1).collect()]
+    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").orderBy("item_id").collect()]  # the query set
     phrases = spark.createDataFrame(items, "query_id long, phrase string")
     answers = search.batch_keyword(docs, items, 10)
     judged = answers.join(docs, "doc_id").join(F.broadcast(phrases), "query_id").select("query_id", F.lit("keyword").alias("leg"), "rank", F.col("text").contains(F.col("phrase")).alias("relevant"))
@@ -503,17 +579,14 @@ def replace_chunks_derivation(spark, sf_dir):
     return records.replace_passages(chunks, found, changed, changed, new)[1].select("chunk_id", "document_id", "kind", "normalised", "char_start", "document_offset")
 
 
-@query(f"""WITH {MENTIONS} SELECT (SELECT count(*) FROM mentions WHERE ordinal % 2 = 0) AS repaired, (SELECT count(DISTINCT chunk_id) FROM mentions WHERE doc_id % 10 = 7) AS stale_passages""")
+@query(f"""WITH {MENTIONS} SELECT (SELECT count(*) FROM mentions WHERE ordinal % 2 = 0 AND doc_id % 10 <> 7) AS repaired, (SELECT count(DISTINCT chunk_id) FROM mentions WHERE doc_id % 10 = 7) AS stale_passages""")
 def mention_offset_repair(spark, sf_dir):
+    """Offsets of every other passage are wrong; documents that end in 7 have lost their text, so theirs stay as they are."""
     docs = docs_of(spark, sf_dir)
     chunks = corpus.chunks(docs)
     found = corpus.mentions(chunks, ("email", "phone")).withColumn("document_offset", F.when(F.col("ordinal") % 2 == 0, F.col("document_offset") + 5).otherwise(F.col("document_offset")))
-    # documents that end in 7 have lost their text; their mentions keep the offsets that they have
     lost = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 7, "").otherwise(F.col("text")))
-    kept = found.filter("doc_id % 10 <> 7").unionByName(found.filter("doc_id % 10 = 7"))
-    counts = records.repair_offsets(kept, chunks, lost)[1]
-    stale = found.filter("doc_id % 10 = 7 AND ordinal % 2 = 0").agg(F.count(F.lit(1)).alias("kept"))
-    return counts.crossJoin(stale).select((F.col("repaired") + F.col("kept")).alias("repaired"), "stale_passages")
+    return records.repair_offsets(found, chunks, lost)[1]
 
 
 # --- runs, reports, bounds -----------------------------------------------------------------------
@@ -643,14 +716,16 @@ def scalar_content_words(spark, sf_dir):
     return rows_of(spark, sf_dir).select("doc_id", F.array_sort(F.array_distinct(content_words(F.col("text"), ["the", "of", "and", "la", "de", "der"]))).alias("words"))
 
 
-MAGIC_ROWS = [(1, b"%PDF-1.7"), (2, b"{\\rtf1"), (3, b"\x89PNG\r\n\x1a\nxxxx"), (4, b"\xff\xd8\xff\xe0"), (5, b"PK\x03\x04zz"), (6, b"RIFF1234WEBPVP8 "), (7, b"plain text"), (8, b""), (9, b"MM\x00*")]
+#: What stands before a page's own bytes, in turn, and what that makes it.
+SIGNED = ((b"%PDF-1.7", ".pdf"), (b"{\\rtf1", ".rtf"), (b"\x89PNG\r\n\x1a\n", ".png"), (b"\xff\xd8\xff\xe0", ".jpg"), (b"PK\x03\x04zz", ".zip"), (b"RIFF1234WEBPVP8 ", ".webp"), (b"MM\x00*", ".tiff"), (b"", None), (b" %PDF-1.7", None))
 
 
-@query("SELECT * FROM (VALUES (1, '.pdf'), (2, '.rtf'), (3, '.png'), (4, '.jpg'), (5, '.zip'), (6, '.webp'), (7, NULL), (8, NULL), (9, '.tiff')) t(id, suffix)")
+@query("SELECT page_id, CASE page_id % " + str(len(SIGNED)) + " " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (_, kind) in enumerate(SIGNED) if kind) + " END AS suffix FROM pages")
 def sniff_magic(spark, sf_dir):
     from caseweave.sources.sniff import sniff_magic as column
 
-    return spark.createDataFrame(MAGIC_ROWS, "id int, content binary").select("id", column(F.col("content")).alias("suffix"))
+    mark = F.element_at(F.array(*(F.unhex(F.lit(m.hex())) for m, _ in SIGNED)), (F.col("page_id") % len(SIGNED) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", column(F.concat(mark, F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).alias("suffix"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey FROM lineitem),
@@ -669,8 +744,17 @@ def render_delimited(spark, sf_dir):
     return sheets.select("l_orderkey", render("l_orderkey", "csv").alias("text"))
 
 
-@query()
+BLOCK_TAGS = "p|div|article|section|li|ul|ol|table|tr|header|footer|main|nav|blockquote|pre|h1|h2|h3|h4|h5|h6|title"
+
+
+@query(f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>|<template.*?</template>', '', 'gis'), '<!--.*?-->', '', 'gs'), '\\s+', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, {"".join("regexp_replace(" for _ in range(6))}t, {", ".join(f"'<h{i}( [^>]*)?>', chr(10) || chr(10) || '{'#' * i} ', 'gi')" + (", " if i < 6 else "") for i in range(1, 7)).replace(", , ", ", ")} AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '</?({BLOCK_TAGS})( [^>]*)?>', chr(10) || chr(10), 'gi'), '<br ?/?>', chr(10), 'gi'), '<[!/a-zA-Z][^>]*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM c),
+e AS (SELECT page_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), chr(10)) AS t FROM d)
+SELECT page_id, trim(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS text FROM e""")
 def html_extract(spark, sf_dir):
+    """The text of every page; the SQL knows the entities that pages of the tables use."""
     from caseweave.sources import readers
 
     @F.pandas_udf("string")

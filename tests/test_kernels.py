@@ -1,5 +1,7 @@
 """Kernels and operators against hand-derived results, a second implementation, or SQLite's own ranking."""
 
+import random
+import re
 import sqlite3
 
 import pytest
@@ -73,7 +75,7 @@ def test_bm25_equals_sqlite(spark):
         want = {r[0]: -r[1] for r in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (" OR ".join(f'"{q}"' for q in query),))}
         got = {r.ordinal: r.score for r in search.scored(rows, query).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in got), query
-        post = search.postings_leg(*corpus.postings(rows), rows, "c", query, 100)
+        post = search.postings_leg(corpus.stored_postings(rows), corpus.passage_statistics(rows), rows, "c", query, 100)
         assert {r.ordinal: round(r.score, 8) for r in post.collect()} == {k: round(v, 8) for k, v in want.items()}
 
 
@@ -179,20 +181,78 @@ def test_windows():
     text = "# A\n" + "a" * 96 + "\n# B\n" + "b" * 95
     h = hit(40, 60, text, 1, "A", [(0, 0, 45, "A"), (2, 55, 200, "A"), (3, 150, 200, "B")])
     assert windows.section(h) == (0, 200)
-    span, narrowed = windows.window(h, 100)
+    span, narrowed = windows.window(h, windows.Sheet(text), 100)
     assert (span, narrowed) == ((0, 100), False)
-    assert windows.window(h, 20) == (None, False)
-    assert windows.widened(h, (30, 200), 100) == (30, 130) and windows.widened(h, (0, 65), 100) == (0, 65)
-    assert windows.clear_of((0, 200), h, [(70, 90), (10, 20)]) == (20, 70) and windows.clear_of((0, 200), h, [(50, 90)]) == (0, 60)
-    assert windows.beside(h, (0, 100), [(0, 10), (90, 120)]) == (10, 90) and windows.beside(h, (0, 100), [(50, 55)]) is None
+    assert windows.window(h, windows.Sheet(text), 20) == (None, False)
+    assert windows.widened(40, 60, (30, 200), 100) == (30, 130) and windows.widened(40, 60, (0, 65), 100) == (0, 65)
+    assert windows.Sheet(text, [(40, 60), (70, 90), (10, 20)]).unmatched(40, 60, (0, 200)) == (20, 70) and windows.Sheet(text, [(50, 90), (40, 60)]).unmatched(40, 60, (0, 200)) == (0, 60)
     stale = hit(40, 60, text)
     stale.passage = "not there"
-    assert windows.window(stale, 100) == (None, False)
+    assert windows.window(stale, windows.Sheet(text), 100) == (None, False)
     served = windows.response([h, hit(70, 80, text, 2, "A", [(1, 40, 60, "A")])], 100)
     assert served == [((0, 70), True), (None, True)]
     assert all(s is None for s, _ in windows.response([h], 100, bound=10))
 
 
+def test_spans_against_sets():
+    rng = random.Random(3)
+    for _ in range(200):
+        spans, cells = windows.Spans(), set()
+        for _ in range(rng.randint(0, 8)):
+            a = rng.randint(0, 50)
+            b = a + rng.randint(1, 12)
+            spans.add(a, b)
+            cells |= set(range(a, b))
+        assert {i for a, b in zip(spans.starts, spans.ends, strict=True) for i in range(a, b)} == cells
+        assert all(b < a for b, a in zip(spans.ends, spans.starts[1:], strict=False))
+        low = rng.randint(0, 60)
+        high = low + rng.randint(1, 6)
+        got = spans.gap(low, high, 100)
+        assert (got is None) == bool(cells & set(range(low, high)))
+        if got:
+            assert got == (max((c + 1 for c in cells if c < low), default=0), min((c for c in cells if c >= high), default=100))
+
+
+def test_windows_of_a_response_keep_their_rules():
+    """Random hits of two documents: windows hold their passage, lie in its section, apart from each other and from other passages."""
+    rng = random.Random(8)
+    for _ in range(120):
+        texts = {d: "".join(rng.choice(["word ", "word ", "word ", "\n\n## Head\n"]) for _ in range(rng.randint(20, 200))) for d in "ab"}
+        cut = {d: chunking.passages(t, 120, 20) for d, t in texts.items()}
+        chosen = rng.sample([(d, p) for d in "ab" for p in cut[d]], k=min(6, sum(map(len, cut.values()))))
+        hits = [hit(p[2], p[3], texts[d], p[0], p[4], [(q[0], q[2], q[3], q[4]) for q in cut[d] if abs(q[0] - p[0]) <= 3], d) for d, p in chosen]
+        budget, bound = rng.choice([200, 400]), rng.choice([500, 60_000])
+        served = windows.response(hits, budget, bound)
+        shown = {d: [] for d in "ab"}
+        spent = 0
+        for h, (span, _) in zip(hits, served, strict=True):
+            spent += span[1] - span[0] if span else 0
+            if span:
+                low, high = windows.section(h)
+                assert low <= span[0] <= h.start and h.end <= span[1] <= high and span[1] - span[0] <= max(budget, h.end - h.start)
+                assert not re.search("(?m)^## Head", h.text[h.end : span[1]])
+                others = [o.span for o in hits if o.document_id == h.document_id and o.span != h.span]
+                assert not any(max(a, span[0]) < min(b, span[1]) and not (a < h.end and b > h.start) for a, b in others)
+                assert not any(max(a, span[0]) < min(b, span[1]) for a, b in shown[h.document_id])
+            shown[h.document_id].append(span or h.span)
+        assert spent <= bound
+
+
+def test_outline_against_lines():
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice(["# One", "## Two ", "###### Six", "####### no", "#no", " # In\t", "text", "\n", "\r\n", "\n\n", "\u2028", " ", "#", "# "]) for _ in range(rng.randint(0, 25)))
+        starts, trails, above, at = [], [], [], 0
+        for line in text.splitlines(keepends=True):
+            if (found := re.fullmatch(r"(#{1,6})\s+(\S.*)", line.strip())) is not None:
+                above = [h for h in above if h[0] < len(found[1])] + [(len(found[1]), found[2].strip())]
+                starts.append(at)
+                trails.append(" > ".join(n for _, n in above))
+            at += len(line)
+        outline = chunking.Outline(text)
+        assert (outline.starts, outline.trails) == (starts, trails), text
+
+
 def test_result_windows_over_frames(spark):
     text = "# A\n\n" + "alpha " * 60 + "\n\n# B\n\n" + "beta " * 10
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string").withColumns({"document_id": F.lit("d"), "casefile_id": F.lit("c")})
