@@ -18,6 +18,10 @@ from caseweave.identity import Contract
 PLACEHOLDER = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 
 
+#: Engines that may recognise pages; what they run is registered with the readers.
+OCR = ("none", "eslav", "cyrillic", "latin")
+
+
 @dataclass(frozen=True)
 class Profile:
     """How a run works; nothing here changes what a corpus holds."""
@@ -30,6 +34,11 @@ class Profile:
     language: str = "en"
     host: str = "127.0.0.1"
     port: int = 8000
+    embed_model: str = ""
+    rerank_model: str = ""
+    summary_url: str = ""
+    ocr: str = "none"
+    read_only: str = "false"
 
     def __post_init__(self) -> None:
         for name in ("window_max_chars", "rerank_depth", "quality_floor", "summary_concurrency", "port"):
@@ -41,6 +50,12 @@ class Profile:
             raise ConfigError(f"{self.language!r} is not a language tag")
         if not re.fullmatch(r"[A-Za-z0-9.:-]+", self.host):
             raise ConfigError(f"{self.host!r} is not a host")
+        if self.ocr not in OCR:
+            raise ConfigError(f"ocr is one of {', '.join(OCR)}")
+        if self.read_only not in ("true", "false"):
+            raise ConfigError("read_only is true or false")
+        if self.summary_url and not re.fullmatch(r"https?://[^\s/]+(/\S*)?", self.summary_url):
+            raise ConfigError(f"{self.summary_url!r} is not a web address")
 
 
 def interpolate(value, env: dict[str, str]):
@@ -89,3 +104,12 @@ def parse(text: str, env: dict[str, str] | None = None) -> tuple[Contract, Profi
         raise ConfigError(f"unknown sections: {', '.join(unknown) if isinstance(given, dict) else given!r}")
     given = interpolate(given, dict(os.environ) if env is None else env)
     return typed(Contract, given.get("contract", {}), "contract"), typed(Profile, given.get("profile", {}), "profile")
+
+
+def select(profiles: dict[str, Profile], name: str = "") -> Profile:
+    """The named profile, or the only one; a name that isn't there is an error."""
+    if not name and len(profiles) == 1:
+        return next(iter(profiles.values()))
+    if name not in profiles:
+        raise ConfigError(f"no profile {name!r}; there are {', '.join(sorted(profiles)) or 'none'}")
+    return profiles[name]

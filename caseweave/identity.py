@@ -21,14 +21,15 @@ class Contract:
     embedder: str = "deterministic"
     dimensions: int = 256
     summariser: str = ""
+    embed_library: str = ""
 
     def __post_init__(self) -> None:
         if not 0 <= self.chunk_overlap_chars < self.chunk_max_chars or self.dimensions < 1:
             raise ConfigError("the overlap must be smaller than the window, and vectors need a width")
 
     def identity(self) -> str:
-        """``k=v`` pairs joined by bars; a summariser is named only if there is one."""
-        fields = {k: v for k, v in self.__dict__.items() if k != "summariser" or v}
+        """``k=v`` pairs joined by bars; a summariser and a library are named only if there is one."""
+        fields = {k: v for k, v in self.__dict__.items() if k not in ("summariser", "embed_library") or v}
         return "|".join(f"{k}={escape(v)}" for k, v in fields.items())
 
 

@@ -12,6 +12,12 @@ SCHEMAS = {
     "chunk_vectors": "chunk_id string, embedding array<float>",
     "mentions": "chunk_id string, document_id string, casefile_id string, ordinal int, kind string, value string, normalised string, char_start int, char_end int, document_offset int, extractor string, confidence double",
     "ingest_runs": "id string, casefile_id string, started_at timestamp, finished_at timestamp, documents_before int, documents_after int, items_ingested int, items_failed int, entries_refused int, files_without_extractor int, exhausted_by string",
+    "postings": "term string, casefile_id string, chunk_id string, document_id string, ordinal int, dl int, tf bigint",
+    "passage_statistics": "casefile_id string, passages bigint, words bigint",
 }
-#: Tables that hold one casefile's rows, by the column that says which document (or casefile) they belong to.
-OF_DOCUMENT = {"document_places": "document_id", "chunks": "document_id", "mentions": "document_id"}
+#: Tables of the whole store; all others are kept by casefile.
+GLOBAL = ("store_meta", "casefiles")
+#: Tables with rows of a document, by the column that says which.
+OF_DOCUMENT = {"document_places": "document_id", "chunks": "document_id", "mentions": "document_id", "postings": "document_id"}
+#: The version of these tables, and of their layout.
+VERSION = 2

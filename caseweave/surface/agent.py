@@ -20,9 +20,10 @@ LIMIT_MOST = 50
 def case_get_passage(w: Workspace, casefile: str, chunk_id: str) -> dict:
     """A passage with the window around it."""
     p = w.passage(casefile, chunk_id)
-    text = w.table("documents").filter(F.col("id") == p.document_id).first().extracted_text
-    near = w.table("chunks").filter((F.col("document_id") == p.document_id) & F.col("ordinal").between(p.ordinal - kernel.RADIUS, p.ordinal + kernel.RADIUS)).select("ordinal", "char_start", "char_end", "heading_path").collect()
-    span, _ = kernel.window(kernel.Hit(p.document_id, p.ordinal, p.char_start, p.char_end, p.heading_path, p.text, text, [tuple(r) for r in near]))
+    text = w.table("documents", p.casefile_id).filter(F.col("id") == p.document_id).first().extracted_text
+    near = w.table("chunks", p.casefile_id).filter((F.col("document_id") == p.document_id) & F.col("ordinal").between(p.ordinal - kernel.RADIUS, p.ordinal + kernel.RADIUS)).select("ordinal", "char_start", "char_end", "heading_path").collect()
+    hit = kernel.Hit(p.document_id, p.ordinal, p.char_start, p.char_end, p.heading_path, p.text, text, [tuple(r) for r in near])
+    span, _ = kernel.window(hit, kernel.Sheet(text))
     nonce = secrets.token_hex(8)
     return {"chunk_id": p.chunk_id, "document_id": p.document_id, "matched_char_start": p.char_start, "matched_char_end": p.char_end, "char_start": (span or (p.char_start,))[0], "char_end": (span or (0, p.char_end))[1], "text": fence(text[slice(*span)] if span else p.text, nonce), "fence_nonce": nonce, "content_notice": NOTICE}
 

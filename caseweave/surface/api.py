@@ -79,7 +79,7 @@ def list_documents(w: Workspace, a: Args) -> dict:
 
 @route("GET", "/api/casefiles/{casefile}/documents/{document}")
 def show_document(w: Workspace, a: Args) -> dict:
-    return w.document(a["casefile"], a["document"]).asDict() | {"chain": [r.id for r in w.containment_chain(a["casefile"], a["document"])], "locations": [r.location_path for r in w.locations(a["casefile"], a["document"])]}
+    return w.document(a["casefile"], a["document"]).asDict() | {"chain": [r.id for r in w.containment_chain(a["casefile"], a["document"])], **w.location_record(a["casefile"], a["document"])}
 
 
 @route("GET", "/api/casefiles/{casefile}/documents/{document}/passages")

@@ -33,7 +33,8 @@ def page_payload(page: Page, name: str) -> dict:
 
 def search_payload(rows: list[Row]) -> dict:
     nonce = secrets.token_hex(8)
-    return {"results": [r.asDict() | {"text": fence(r.asDict().get("text") or "", nonce)} for r in rows], "fence_nonce": nonce, "content_notice": NOTICE}
+    fenced = lambda r: {k: fence(v, nonce) for k, v in r.items() if k in ("text", "window_text") and v is not None}
+    return {"results": [(d := r.asDict()) | fenced(d) for r in rows], "fence_nonce": nonce, "content_notice": NOTICE}
 
 
 def error_payload(error: Exception) -> dict:

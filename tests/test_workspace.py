@@ -6,8 +6,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave import errors
+from caseweave import errors, schemas
+from caseweave.functions import models
+from caseweave.functions.embedding import HashEmbedder
 from caseweave.identity import Contract, escape, verify
+from caseweave.operators import corpus, evaluate, search
 from caseweave.sources import ingest, readers
 from caseweave.streaming.inbox import watch
 from caseweave.surface import cli
@@ -83,6 +86,156 @@ def test_workspace_end_to_end(spark, tmp_path, capsys):
     assert all(w.table(t).count() == 0 for t in ("casefiles", "documents", "chunks", "chunk_vectors", "mentions", "document_places", "ingest_runs"))
 
 
+class Notes:
+    """A summariser that says which passage it was given."""
+
+    name = "notes"
+
+    def passages(self, document, texts):
+        return [f"about {i} {t[:4]}" for i, t in enumerate(texts)]
+
+    def document(self, notes):
+        return f"{len(notes.splitlines())} notes"
+
+
+def test_new_documents_add_folders_and_known_ones_replace(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.md").write_text(f"# {name}\n\nthe {name} vessel " + "left port quietly. " * 200)
+    w = Workspace(spark, str(tmp_path / "store"), Contract(summariser="notes"), summariser=Notes())
+    case, other = w.create_casefile("Port"), w.create_casefile("Other")
+    first = w.ingest("port", str(tmp_path / "one"))
+    assert (first.documents_before, first.documents_after, first["first"]) == (0, 1, 1)
+    w.ingest("other", str(tmp_path / "two"))
+    w.ingest("port", str(tmp_path / "two"))
+    folders = w._manifest()[1]
+    assert len(folders["chunks"][case.id]) == 2 and len(folders["chunks"][other.id]) == 1
+    third = w.ingest("port", str(tmp_path / "one"))  # known by now
+    assert (third.documents_before, third.documents_after, third["known"], third["first"]) == (2, 2, 1, 0) and len(w._manifest()[1]["chunks"][case.id]) == 1
+    assert w._manifest()[1]["chunks"][other.id] == folders["chunks"][other.id]  # not touched
+    doc = w.table("documents", case.id).filter("filename = 'one.md'").first()
+    passages = w.document_passages("port", doc.id).collect()
+    assert doc.summary == f"{len(passages)} notes" and [p.summary for p in passages] == [f"about {i} {p.text[:4]}" for i, p in enumerate(passages)]
+    # postings and statistics are those of the passages
+    chunks = w.table("chunks")
+    assert sorted(map(tuple, w.table("postings").collect())) == sorted(map(tuple, corpus.stored_postings(chunks).withColumn("dl", F.col("dl").cast("int")).collect()))
+    assert w.table("passage_statistics").agg(F.sum("passages")).first()[0] == chunks.count()
+    hits = w.search("port", "two vessel", 3).orderBy("position").collect()
+    text = {r.id: r.extracted_text for r in w.table("documents", case.id).collect()}
+    assert hits[0].text.startswith("# two") or "two vessel" in hits[0].text
+    assert all(h.window_text is None or text[h.document_id][h.window_start : h.window_end] == h.window_text for h in hits) and any(h.window_text for h in hits)
+    assert w.search("port", "nothinglikeit", 3, mention="email:no@one.example").count() == 0
+    assert [r.id for r in w.document_ids("port").collect()] == [r.id for r in w.every_document("port").orderBy("created_at", "id").collect()]
+    record = w.location_record("port", doc.id[:9])
+    assert record["total"] == 1 and record["whole"] and record["note"] == ""
+    # of two writers from one manifest the second is told, unless it changed something else
+    base = w._manifest()
+    w._commit({("mentions", case.id): w.table("mentions", case.id)}, base=base)
+    with pytest.raises(errors.ConflictError):
+        w._commit({("mentions", case.id): w.table("mentions", case.id)}, base=base)
+    w._commit({("mentions", other.id): w.table("mentions", other.id)}, base=base)
+    before = {n: w.table(n).count() for n in schemas.SCHEMAS}
+    assert w.vacuum(keep=1) > 0 and {n: w.table(n).count() for n in schemas.SCHEMAS} == before
+    for wrong in (dict(embedder=HashEmbedder(8)), dict(contract=Contract(summariser="notes")), dict(contract=Contract())):
+        with pytest.raises(errors.ConfigError):
+            Workspace(spark, str(tmp_path / "store"), **({"summariser": Notes()} | wrong if "embedder" in wrong else wrong))
+
+
+def test_search_reads_postings_of_the_asked_terms(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("the vessel left port")
+    w = Workspace(spark, str(tmp_path / "store"))
+    case = w.create_casefile("Port")
+    w.ingest("port", str(tmp_path / "d"))
+    plan = search.scored_postings(w.table("postings"), w.table("passage_statistics"), case.id, ["vessel", "port"])._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 1 and "In(term, [port,vessel])" in scans[0].replace('"', "") or "In(term, [vessel,port])" in scans[0]
+    assert "text" not in scans[0].split("ReadSchema")[1]
+
+
+def test_a_store_of_version_one_is_brought_up_to_date(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("the vessel left port, mail ada@ports.example")
+    w = Workspace(spark, str(tmp_path / "new"))
+    w.create_casefile("Port")
+    w.ingest("port", str(tmp_path / "d"))
+    old = tmp_path / "old"
+    names = [n for n in schemas.SCHEMAS if n not in ("postings", "passage_statistics")]
+    for n in names:
+        table = w.table(n)
+        if n == "store_meta":
+            table = table.withColumn("value", F.when(F.col("key") == "schema_version", "1").otherwise(F.col("value")))
+        table.write.parquet(str(old / "snapshot-1" / n))
+    (old / "manifest.json").write_text(json.dumps({n: f"snapshot-1/{n}" for n in names}))
+    again = Workspace(spark, str(old))
+    assert {r.key: r.value for r in again.table("store_meta").collect()}["schema_version"] == str(schemas.VERSION)
+    for n in schemas.SCHEMAS:
+        if n != "store_meta":
+            assert sorted(map(str, again.table(n).collect())) == sorted(map(str, w.table(n).collect())), n
+    assert [h.text for h in again.search("port", "vessel").collect()] == [h.text for h in w.search("port", "vessel").collect()]
+
+
+def test_measures_by_leg_and_language(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, text in (("a.txt", "the vessel left port"), ("b.txt", "корабель вийшов у море"), ("c.txt", "nothing of note")):
+        (tmp_path / "d" / name).write_text(text)
+    w = Workspace(spark, str(tmp_path / "store"))
+    w.create_casefile("Port")
+    w.ingest("port", str(tmp_path / "d"))
+    given = [{"query": "vessel", "language": "en", "filename": "a.txt", "phrase": "Vessel  left"}, {"query": "корабель", "language": "uk", "filename": "c.txt", "phrase": "nowhere", "also": [{"filename": "b.txt", "phrase": "вийшов"}]}, {"query": "absent", "language": "en", "filename": "a.txt", "phrase": "vessel"}]
+    (tmp_path / "j.json").write_text(json.dumps(given))
+    legs, languages, conditions = w.measure("port", evaluate.load_judgements(spark, str(tmp_path / "j.json")), 1)
+    recorded = evaluate.write_baseline(str(tmp_path / "baseline.json"), conditions, legs, languages)
+    assert set(recorded["metrics"]) == {"keyword", "vector", "fused"} and recorded["metrics"]["keyword"]["recall_at_1"] == pytest.approx(2 / 3)
+    assert recorded["by_language"]["uk"]["recall_at_1"] == 1.0 and json.loads((tmp_path / "baseline.json").read_text()) == recorded
+    assert conditions["ranked_by"] == "fusion" and evaluate.regressions(legs, legs).count() == 0
+
+
+def test_models_and_libraries():
+    from importlib.metadata import PackageNotFoundError
+
+    def gone(_):
+        raise PackageNotFoundError
+
+    assert models.canonical_library(" Fast_Embed == 1.2 ") == ("fast-embed", "1.2") and models.canonical_library("fastembed") is None
+    assert models.same_release("1.2.0+cpu", "1.2") and not models.same_release("1.2.1", "1.2")
+    assert models.library_mismatch("x==1.0", lambda _: "1.0.0") == "" and "1.1 is installed" in models.library_mismatch("x==1.0", lambda _: "1.1")
+    assert "not installed" in models.library_mismatch("x==1", gone) and "can't be told" in models.library_mismatch("x==1", lambda _: None) and models.library_mismatch("x", gone)
+    assert models.build_embedder(Contract()).name == "deterministic" and models.build_reranker() is None and models.build_summariser(Contract()) is None
+    for wrong in (lambda: models.build_embedder(Contract(embedder="e5")), lambda: models.build_summariser(Contract(summariser="m")), lambda: models.build_embedder(Contract(embedder="e5"), "/nowhere").documents(["x"]), lambda: models.build_reranker("/nowhere").scores("q", ["t"])):
+        with pytest.raises(errors.ConfigError):
+            wrong()
+
+
+def test_a_reranker_must_score_each_passage(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for i in range(3):
+        (tmp_path / "d" / f"{i}.txt").write_text("vessel " * (i + 1) + "port")
+
+    class Scorer:
+        name = "by length"
+
+        def scores(self, query, texts):
+            return [float(len(t)) for t in texts]
+
+    class Short(Scorer):
+        def scores(self, query, texts):
+            return [1.0]
+
+    class Down(Scorer):
+        def scores(self, query, texts):
+            raise OSError("no answer")
+
+    w = Workspace(spark, str(tmp_path / "store"), reranker=Scorer())
+    w.create_casefile("Port")
+    w.ingest("port", str(tmp_path / "d"))
+    hits = w.search("port", "vessel", 3).orderBy("position").collect()
+    assert [len(h.text) for h in hits] == sorted((len(h.text) for h in hits), reverse=True) and {h.ranking for h in hits} == {"rerank"}
+    with pytest.raises(errors.ConfigError):
+        w.search("port", "vessel", 3, scorer=Short())
+    assert {h.ranking for h in w.search("port", "vessel", 3, scorer=Down()).collect()} == {"rerank-unavailable"}
+
+
 def test_budget_stops_at_the_first_bound(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.zip").write_bytes(zipped({f"f{i}.txt": "text " * (i + 1) for i in range(8)}))
