@@ -38,7 +38,6 @@ class Profile:
     rerank_model: str = ""
     summary_url: str = ""
     ocr: str = "none"
-    read_only: str = "false"
 
     def __post_init__(self) -> None:
         for name in ("window_max_chars", "rerank_depth", "quality_floor", "summary_concurrency", "port"):
@@ -52,8 +51,6 @@ class Profile:
             raise ConfigError(f"{self.host!r} is not a host")
         if self.ocr not in OCR:
             raise ConfigError(f"ocr is one of {', '.join(OCR)}")
-        if self.read_only not in ("true", "false"):
-            raise ConfigError("read_only is true or false")
         if self.summary_url and not re.fullmatch(r"https?://[^\s/]+(/\S*)?", self.summary_url):
             raise ConfigError(f"{self.summary_url!r} is not a web address")
 

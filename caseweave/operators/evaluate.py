@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +64,15 @@ def by_leg_and_language(answers: DataFrame, judgements: DataFrame) -> tuple[Data
     return metrics(rows, queries), fused
 
 
+def measurement(conditions: dict, legs: DataFrame, languages: DataFrame) -> dict:
+    """A measurement as plain values."""
+    rows = lambda df, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.collect()}
+    return {"conditions": conditions, "metrics": rows(legs, "leg"), "by_language": rows(languages, "language")}
+
+
 def write_baseline(path: str, conditions: dict, legs: DataFrame, languages: DataFrame) -> dict:
     """Record a measurement as JSON, conditions and all; what was written is returned."""
-    import json
-
-    rows = lambda df, key: {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.collect()}
-    out = {"conditions": conditions, "metrics": rows(legs, "leg"), "by_language": rows(languages, "language")}
+    out = measurement(conditions, legs, languages)
     with open(path, "w", encoding="utf-8") as f:
         json.dump(out, f, ensure_ascii=False, indent=2, sort_keys=True)
     return out

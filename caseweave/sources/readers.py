@@ -463,12 +463,12 @@ def children(name: str, content: bytes) -> Iterator[Child]:
         yield name, ExtractionError(f"{name}: {int(listed) - given} of {listed} listed entries were not delivered")
 
 
-def best_rung(attempts: list[tuple[str, Callable[[], tuple[str, int]]]], floor: int = FLOOR) -> tuple[str, str]:
+def best_rung(attempts: list[tuple[str, Callable[[], tuple[str, int]]]], floor: int | None = None) -> tuple[str, str]:
     """(text, source) of a ladder of recognisers: the first with enough characters a page, else the richest.
 
     A rung that raises fails the document.
     """
-    tried = []
+    tried, floor = [], FLOOR if floor is None else floor
     for source, rung in attempts:
         text, pages = rung()
         if len(text.strip()) / max(1, pages) >= floor:

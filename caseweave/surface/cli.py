@@ -10,13 +10,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.errors import CaseweaveError
+from caseweave.operators import evaluate
 from caseweave.surface.payloads import citation, error_payload, page_payload, search_payload
-from caseweave.workspace import Workspace
+from caseweave.workspace import Workspace, open_workspace
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="caseweave")
     out.add_argument("path")
+    out.add_argument("--config", default="", help="a file with contract and profile")
     commands = out.add_subparsers(dest="command", required=True)
 
     def command(name: str, *arguments: str, **options) -> None:
@@ -39,6 +41,10 @@ def parser() -> argparse.ArgumentParser:
     command("document-list", "casefile", parent="", expanded=0, offset=0, limit=50)
     command("document-show", "casefile", "document")
     command("document-delete", "casefile", "document")
+    command("document-ids", "casefile")
+    command("document-passages", "casefile", "document")
+    command("evaluate", "casefile", "judgements", limit=10, record="", baseline="")
+    command("vacuum", keep=8)
     command("cite", "casefile", "passage")
     command("repair-mention-offsets", "casefile")
     return out
@@ -70,9 +76,17 @@ def run(w: Workspace, a: argparse.Namespace) -> dict:
         case "document-list":
             return page_payload(w.documents_page(a.casefile, a.parent or None, bool(a.expanded), a.offset, a.limit), "documents")
         case "document-show":
-            return w.document(a.casefile, a.document).asDict() | {"chain": [r.id for r in w.containment_chain(a.casefile, a.document)], "locations": [r.location_path for r in w.locations(a.casefile, a.document)]}
+            return w.document(a.casefile, a.document).asDict() | {"chain": [r.id for r in w.containment_chain(a.casefile, a.document)], **w.location_record(a.casefile, a.document)}
         case "document-delete":
             return w.delete_document(a.casefile, a.document).asDict()
+        case "document-ids":
+            return {"ids": [r.id for r in w.document_ids(a.casefile).collect()]}
+        case "document-passages":
+            return {"passages": rows(w.document_passages(a.casefile, a.document))}
+        case "evaluate":
+            return evaluated(w, a)
+        case "vacuum":
+            return {"deleted": w.vacuum(a.keep)}
         case "cite":
             p = w.passage(a.casefile, a.passage)
             here = w.table("documents").filter(F.col("id") == p.document_id)
@@ -82,10 +96,30 @@ def run(w: Workspace, a: argparse.Namespace) -> dict:
             return w.repair_mention_offsets(a.casefile).asDict()
 
 
+def evaluated(w: Workspace, a: argparse.Namespace) -> dict:
+    """Measure the legs on a set of judgements, hold them against a recorded baseline, and record them only where that is asked for."""
+    legs, languages, conditions = w.measure(a.casefile, evaluate.load_judgements(w.spark, a.judgements), a.limit)
+    out: dict = evaluate.measurement(conditions, legs, languages)
+    if a.baseline:
+        with open(a.baseline, encoding="utf-8") as f:
+            before = json.load(f)
+        out["differs_in"] = evaluate.comparable(conditions, before["conditions"])
+        out["regressions"] = [(leg, m, v, out["metrics"].get(leg, {}).get(m)) for leg, own in before["metrics"].items() for m, v in own.items() if m != "queries" and out["metrics"].get(leg, {}).get(m, 0.0) < v - evaluate.TOLERANCE]
+    if a.record:
+        evaluate.write_baseline(a.record, conditions, legs, languages)
+    return out
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(arguments)
     try:
-        result, code = run(Workspace(spark or SparkSession.builder.appName("caseweave").getOrCreate(), a.path), a), 0
+        spark = spark or SparkSession.builder.appName("caseweave").getOrCreate()
+        if a.config:
+            with open(a.config, encoding="utf-8") as f:
+                w, _ = open_workspace(spark, f.read(), path=a.path)
+        else:
+            w = Workspace(spark, a.path)
+        result, code = run(w, a), 0
     except CaseweaveError as e:
         result, code = error_payload(e), 1
     print(json.dumps(result, default=str, ensure_ascii=False))

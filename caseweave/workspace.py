@@ -23,13 +23,16 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave import schemas
+from caseweave.config import Profile, parse
 from caseweave.errors import ConfigError, ConflictError, NotFoundError, ValidationError
+from caseweave.functions import models
 from caseweave.functions.embedding import Embedder, HashEmbedder, embed
 from caseweave.functions.enrich import Reranker, Summariser, fold_summary, summarise
 from caseweave.identity import Contract, verify
 from caseweave.operators import corpus, coverage, evaluate, facets, pages, records, search, tree, windows
 from caseweave.plans.durable import scratch
 from caseweave.sources import ingest as files
+from caseweave.sources import readers
 
 SLUG = re.compile(r"[a-z0-9]+(-[a-z0-9]+)*")
 MANIFEST = re.compile(r"manifest-([0-9]{12})\.json")
@@ -418,3 +421,12 @@ class Workspace:
         result = counts.first()
         self._commit({("mentions", case.id): fixed}, base=base)
         return result
+
+
+def open_workspace(spark: SparkSession, configuration: str, env: dict[str, str] | None = None, path: str = "") -> tuple[Workspace, Profile]:
+    """(workspace, profile) of a configuration's text: models are chosen and checked against the contract before the store is touched."""
+    contract, profile = parse(configuration, env)
+    embedder, reranker = models.build_embedder(contract, profile.embed_model), models.build_reranker(profile.rerank_model)
+    summariser = models.build_summariser(contract, profile.summary_url, profile.summary_concurrency)
+    readers.FLOOR = profile.quality_floor
+    return Workspace(spark, path or profile.store, contract, embedder, summariser, reranker), profile

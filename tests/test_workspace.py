@@ -14,7 +14,7 @@ from caseweave.operators import corpus, evaluate, search
 from caseweave.sources import ingest, readers
 from caseweave.streaming.inbox import watch
 from caseweave.surface import cli
-from caseweave.workspace import Workspace
+from caseweave.workspace import Workspace, open_workspace
 
 MAIL = b"From: Ada <ada@ports.example>\r\nTo: b@ports.example\r\nSubject: Cargo\r\nContent-Type: multipart/mixed; boundary=X\r\n\r\n--X\r\nContent-Type: text/plain\r\n\r\nthe vessel sails on Friday, call +44 20 7946 0018\r\n--X\r\nContent-Type: text/plain; name=a.txt\r\nContent-Disposition: attachment; filename=a.txt\r\n\r\nattached manifest of goods\r\n--X--\r\n"
 
@@ -175,7 +175,7 @@ def test_a_store_of_version_one_is_brought_up_to_date(spark, tmp_path):
     assert [h.text for h in again.search("port", "vessel").collect()] == [h.text for h in w.search("port", "vessel").collect()]
 
 
-def test_measures_by_leg_and_language(spark, tmp_path):
+def test_measures_by_leg_and_language(spark, tmp_path, capsys):
     (tmp_path / "d").mkdir()
     for name, text in (("a.txt", "the vessel left port"), ("b.txt", "корабель вийшов у море"), ("c.txt", "nothing of note")):
         (tmp_path / "d" / name).write_text(text)
@@ -189,6 +189,18 @@ def test_measures_by_leg_and_language(spark, tmp_path):
     assert set(recorded["metrics"]) == {"keyword", "vector", "fused"} and recorded["metrics"]["keyword"]["recall_at_1"] == pytest.approx(2 / 3)
     assert recorded["by_language"]["uk"]["recall_at_1"] == 1.0 and json.loads((tmp_path / "baseline.json").read_text()) == recorded
     assert conditions["ranked_by"] == "fusion" and evaluate.regressions(legs, legs).count() == 0
+    path = str(tmp_path / "store")
+    assert cli.main([path, "evaluate", "port", str(tmp_path / "j.json"), "--limit", "1", "--baseline", str(tmp_path / "baseline.json")], spark) == 0
+    told = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert told["metrics"] == recorded["metrics"] and told["regressions"] == told["differs_in"] == []
+    (tmp_path / "c.json").write_text(json.dumps({"contract": {"dimensions": 256}, "profile": {"store": "${HERE:-nowhere}"}}))
+    assert cli.main([path, "--config", str(tmp_path / "c.json"), "document-ids", "port"], spark) == 0
+    assert len(json.loads(capsys.readouterr().out.splitlines()[-1])["ids"]) == 3
+    (tmp_path / "c.json").write_text(json.dumps({"contract": {"embedder": "e5"}}))
+    assert cli.main([path, "--config", str(tmp_path / "c.json"), "document-ids", "port"], spark) == 1
+    capsys.readouterr()
+    w2, profile = open_workspace(spark, json.dumps({"profile": {"store": "${HERE}"}}), {"HERE": path})
+    assert profile.store == path and w2.casefiles().count() == 1
 
 
 def test_models_and_libraries():
