@@ -8,7 +8,7 @@ path) one document, and every row a place where that document was seen.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,6 +185,19 @@ def places_report(rows: DataFrame) -> DataFrame:
     return out.select("document_id", "locations", "first_observed_at", F.when(whole, "complete").otherwise("unknown").alias("verdict"), F.greatest(F.lit(0), F.col("locations") - F.when(whole, 1).otherwise(0)).cast("long").alias("additional_locations"))
 
 
+def location_records(rows: DataFrame, limit: int) -> DataFrame:
+    """(document_id, locations, total, truncated, whole): the first ``limit`` places of every document, earliest first.
+
+    Only those places of a document meet in a row, however many it has.
+    """
+    known = places(rows)
+    order = Window.partitionBy("document_id").orderBy("first_seen_at", "location_path")
+    first = known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= limit)
+    listed = first.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("nth", "location_path"))).alias("l")).select("document_id", F.transform("l", lambda x: x["location_path"]).alias("locations"))
+    totals = known.groupBy("document_id").agg(F.count(F.lit(1)).alias("total"), F.min("first_seen_at").alias("oldest")).join(created_at(rows), "document_id")
+    return listed.join(totals, "document_id").select("document_id", "locations", "total", (F.col("total") > limit).alias("truncated"), (F.col("oldest") <= F.col("created_at")).alias("whole"))
+
+
 def location_labels(rows: DataFrame) -> DataFrame:
     """How each sighting, in order of doc_id, finds its document: first, known, new, or unknown.
 

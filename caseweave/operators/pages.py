@@ -68,6 +68,11 @@ def every_document(documents: DataFrame, wide: list[str] | None = None) -> DataF
     return (rows if wide is None else rows.select("id", "parent_id", "containment_path", "created_at", *wide)).orderBy(*order)
 
 
+def casefile_listing(casefiles: DataFrame) -> DataFrame:
+    """Casefiles, the newest first."""
+    return casefiles.orderBy(F.desc("created_at"), "id")
+
+
 def document_ids(documents: DataFrame) -> DataFrame:
     """The ids of documents by (created_at, id); a scan of narrow columns alone."""
     return documents.select("created_at", "id").orderBy("created_at", "id").select("id")

@@ -58,6 +58,12 @@ def replace_passages(passages: DataFrame, mentions: DataFrame, document_ids: Dat
     return keep(passages).unionByName(new_passages), keep(mentions).unionByName(derive_mentions(new_mentions, new_passages).select(*mentions.columns))
 
 
+def sidecar_without(vectors: DataFrame, passages: DataFrame, document_ids: DataFrame) -> DataFrame:
+    """Rows that hang on passages by ``chunk_id``, without those of some documents' passages."""
+    kept = passages.select("chunk_id", "document_id").join(document_ids.select("document_id"), "document_id", "left_anti")
+    return vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi")
+
+
 def repair_offsets(mentions: DataFrame, passages: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mentions with offsets by where passages truly begin, counts of repaired and stale).
 

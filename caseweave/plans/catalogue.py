@@ -771,6 +771,241 @@ def corpus_terms(spark, sf_dir):
     return postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")).filter("df >= 5")
 
 
+# --- lookups, listings, readers and records ------------------------------------------------------
+
+
+@query(f"WITH {TREE} SELECT id FROM nodes")
+def document_id_scan(spark, sf_dir):
+    return pages.document_ids(tree_of(spark, sf_dir))
+
+
+@query(f"WITH {TREE} SELECT id, parent_id, containment_path, created_at, media_type FROM nodes")
+def document_listing_unbounded(spark, sf_dir):
+    return pages.every_document(tree_of(spark, sf_dir), ["media_type"])
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, ordinal, char_start, char_end FROM chunks WHERE document_id = (SELECT document_id FROM docs ORDER BY len(text) DESC, document_id LIMIT 1)")
+def document_passages(spark, sf_dir):
+    longest = ingested(spark, sf_dir, "docs").select("document_id", F.length("text").alias("n")).orderBy(F.desc("n"), "document_id").first()[0]
+    return pages.document_passages(ingested(spark, sf_dir, "chunks"), longest).select("chunk_id", "ordinal", "char_start", "char_end")
+
+
+@query(f"WITH {DOCS} SELECT document_id, doc_id, content_hash, 'whole' AS asked FROM docs WHERE document_id = (SELECT max(document_id) FROM docs) UNION ALL SELECT document_id, doc_id, content_hash, 'prefix' FROM docs WHERE document_id = (SELECT max(document_id) FROM docs)")
+def point_lookup(spark, sf_dir):
+    """The last document by its id, and by the first sixteen digits of it."""
+    docs = docs_of(spark, sf_dir).drop("text")
+    last = docs.agg(F.max("document_id")).first()[0]
+    rows = [(pages.resolve(docs, ref, "document_id"), asked) for ref, asked in ((last, "whole"), (last[:16].upper(), "prefix"))]
+    return spark.createDataFrame([(r.document_id, r.doc_id, r.content_hash, asked) for r, asked in rows], "document_id string, doc_id long, content_hash string, asked string")
+
+
+@query(f"""WITH {TREE}, o AS (SELECT unnest([0, 10, 100000000]) AS o), n AS (SELECT count(*) AS n FROM nodes WHERE parent_id IS NULL)
+SELECT CAST(o AS BIGINT) AS "offset", n AS total, o + 20 < n AS truncated, CASE WHEN o + 20 < n THEN CAST(o + 20 AS BIGINT) END AS continue_from, n > 0 AND o >= n AS beyond_the_end, CAST(greatest(0, least(20, n - o)) AS BIGINT) AS rows FROM o, n""")
+def page_continuation(spark, sf_dir):
+    """Where three pages of a listing lie in the whole."""
+    rows, order, _ = pages.select_documents(tree_of(spark, sf_dir).select("id", "parent_id", "containment_path", "created_at"))
+    got = [pages.page(rows, order, o, 20) for o in (0, 10, 100_000_000)]
+    return spark.createDataFrame([(g.offset, g.total, g.truncated, g.continue_from, g.beyond_the_end, g.rows.count()) for g in got], "offset long, total long, truncated boolean, continue_from long, beyond_the_end boolean, rows long")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS id, lower(n_name) AS slug, TIMESTAMP '2024-01-01' + to_seconds(n_regionkey) AS created_at, CAST(row_number() OVER (ORDER BY n_regionkey DESC, CAST(n_nationkey AS VARCHAR)) AS INTEGER) AS place FROM nation""")
+def casefile_listing(spark, sf_dir):
+    """Nations as casefiles, the newest first."""
+    cases = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lower("n_name").alias("slug"), (F.lit(corpus.EPOCH).cast("timestamp") + F.make_dt_interval(secs=F.col("n_regionkey"))).alias("created_at"))
+    return search.ranked(pages.casefile_listing(cases), [F.desc("created_at"), "id"], "place")
+
+
+@query(f"""WITH {SEEN},
+p AS (SELECT document_id, location_path, min(seen_at) AS t FROM seen GROUP BY ALL),
+c AS (SELECT document_id, TIMESTAMP '2024-01-01' + to_seconds(min(doc_id) - min(doc_id) % 2) AS created FROM seen GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY t, location_path) AS nth FROM p)
+SELECT document_id, string_agg(location_path, '|' ORDER BY nth) FILTER (nth <= 3) AS locations, count(*) AS total, count(*) > 3 AS truncated, min(t) <= any_value(created) AS whole FROM r JOIN c USING (document_id) GROUP BY document_id""")
+def location_records(spark, sf_dir):
+    """The first three places of every document, how many there are, and whether the record is whole."""
+    out = corpus.location_records(rows_of(spark, sf_dir), 3)
+    return out.withColumn("locations", F.array_join("locations", "|"))
+
+
+@query(f"""WITH {SEEN},
+d AS (SELECT document_id, TIMESTAMP '2024-01-01' + to_seconds(min(doc_id) % 5) AS created FROM seen WHERE doc_id % 2 = 0 GROUP BY ALL),
+p AS (SELECT document_id, location_path, min(seen_at) AS t FROM seen WHERE doc_id % 4 = 0 GROUP BY ALL),
+o AS (SELECT document_id, min(t) AS oldest FROM p GROUP BY ALL),
+s AS (SELECT DISTINCT document_id, location_path FROM seen)
+SELECT s.document_id, s.location_path, CASE WHEN created IS NULL THEN 'first' WHEN p.t IS NOT NULL THEN 'known' WHEN oldest <= created THEN 'new' ELSE 'unknown' END AS label
+FROM s LEFT JOIN d USING (document_id) LEFT JOIN o USING (document_id) LEFT JOIN p USING (document_id, location_path)""")
+def location_discovery(spark, sf_dir):
+    """How the sightings of an ingest find a store of every other document."""
+    seen = corpus.observations(rows_of(spark, sf_dir))
+    stored = seen.filter("doc_id % 2 = 0").groupBy(F.col("document_id").alias("id")).agg((F.lit(corpus.EPOCH).cast("timestamp") + F.make_dt_interval(secs=F.min("doc_id") % 5)).alias("created_at"))
+    places = seen.filter("doc_id % 4 = 0").groupBy("document_id", "location_path").agg(F.min("seen_at").alias("first_seen_at"))
+    return records.label_sightings(seen.select("document_id", "location_path").distinct(), places, stored)
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id FROM chunks WHERE doc_id % 4 <> 0")
+def sidecar_delete(spark, sf_dir):
+    """Vectors that stay when every fourth document goes."""
+    gone = ingested(spark, sf_dir, "docs").filter("doc_id % 4 = 0").select("document_id")
+    return records.sidecar_without(ingested(spark, sf_dir, "vectors"), ingested(spark, sf_dir, "chunks"), gone).select("chunk_id")
+
+
+@query(f"""WITH {CHUNKS}, {SECOND.replace(f"<= {DEPTH}", f"<= {LIMIT}")} SELECT vector_rank, chunk_id, document_id, ordinal, char_start, char_end, md5(text) AS text_md5, round(distance, 9) AS distance FROM second JOIN near USING (chunk_id) JOIN chunks USING (chunk_id)""")
+def search_vector_passages(spark, sf_dir):
+    """The nearest passages of a casefile with what they say."""
+    vectors = ingested(spark, sf_dir, "vectors")
+    near = search.vector_leg(vectors, DigestEmbedder().query(TERMS).tolist(), LIMIT, "chunk_id", where=F.col("casefile_id") == CASEFILE)
+    hits = ingested(spark, sf_dir, "chunks").join(F.broadcast(near), "chunk_id")
+    return hits.select("vector_rank", "chunk_id", "document_id", "ordinal", "char_start", "char_end", F.md5("text").alias("text_md5"), F.round("distance", 9).alias("distance"))
+
+
+@query(f"WITH {MENTIONS} SELECT m.chunk_id, n.chunk_id AS next_chunk_id, m.kind, m.normalised, m.document_offset FROM mentions m JOIN chunks n ON n.document_id = m.document_id AND n.ordinal = m.ordinal + 1 AND m.document_offset + len(m.value) > n.char_start AND m.document_offset < n.char_end")
+def mentions_in_overlap(spark, sf_dir):
+    """Identifiers that the next passage of their document overlaps."""
+    later = ingested(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("next_chunk_id"), F.col("document_id").alias("d"), F.col("ordinal").alias("o"), F.col("char_start").alias("low"), F.col("char_end").alias("high"))
+    own = ingested(spark, sf_dir, "mentions")
+    meets = (F.col("document_id") == F.col("d")) & (F.col("o") == F.col("ordinal") + 1) & (F.col("document_offset") + F.length("value") > F.col("low")) & (F.col("document_offset") < F.col("high"))
+    return own.join(later, meets).select("chunk_id", "next_chunk_id", "kind", "normalised", "document_offset")
+
+
+@query(f"WITH {MENTIONS} SELECT kind, 'pattern/' || kind AS extractor, count(*) AS mentions FROM mentions GROUP BY kind")
+def mention_kinds(spark, sf_dir):
+    return ingested(spark, sf_dir, "mentions").groupBy("kind", "extractor").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query(f"WITH {MENTIONS} SELECT DISTINCT kind, value, normalised, kind AS parsed_kind FROM mentions")
+def mention_references(spark, sf_dir):
+    """Every identifier as a caller would name it, and what the argument is taken for."""
+
+    @F.pandas_udf("kind string, value string")
+    def parsed(references: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([search.parse_mention(r) for r in references], columns=["kind", "value"])
+
+    named = ingested(spark, sf_dir, "mentions").select("kind", "value").distinct()
+    return named.withColumn("p", parsed(F.concat_ws(":", F.upper("kind"), "value"))).select("kind", "value", F.col("p.value").alias("normalised"), F.col("p.kind").alias("parsed_kind"))
+
+
+@query(f"WITH {MENTIONS}, k AS (SELECT normalised, count(DISTINCT document_id) AS n FROM mentions WHERE casefile_id = '{CASEFILE}' AND kind = 'email' GROUP BY ALL) SELECT arg_max(normalised, (n, normalised)) AS value, max(n) AS total FROM k")
+def carrier_total(spark, sf_dir):
+    """How many documents carry the address that most of a casefile's documents do."""
+    found = ingested(spark, sf_dir, "mentions")
+    mine = found.filter((F.col("casefile_id") == CASEFILE) & (F.col("kind") == "email")).groupBy("normalised").agg(F.countDistinct("document_id").alias("n"))
+    top = mine.orderBy(F.desc("n"), F.desc("normalised")).first()
+    if top is None:
+        return spark.createDataFrame([(None, None)], "value string, total long")
+    docs = ingested(spark, sf_dir, "docs").select("document_id", "casefile_id", "doc_id")
+    return spark.createDataFrame([(top[0], facets.carriers_page(found, docs, CASEFILE, f"email:{top[0]}").total)], "value string, total long")
+
+
+@query("""SELECT doc_id, doc_id % 3 <> 0 AND contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(substr(text, 40, 30)), '\\s+', ' ', 'g'))) AS relevant FROM documents""")
+def judged_relevance(spark, sf_dir):
+    """A phrase of each document in other case and spacing, asked of the right file or of another one."""
+    rows = rows_of(spark, sf_dir).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    phrase = F.regexp_replace(F.lower(F.substring("text", 40, 30)), " ", " \n ")
+    wanted = F.when(F.col("doc_id") % 3 == 0, "other.txt").otherwise(F.col("name"))
+    return rows.select("doc_id", evaluate.is_relevant(F.col("name"), F.col("text"), wanted, phrase).alias("relevant"))
+
+
+@query("""WITH m AS (SELECT lang AS leg, avg(CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END) AS b FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+u AS (SELECT leg, 'recall_at_1' AS metric, a + 0.1 AS before, a AS now FROM m UNION ALL SELECT leg, 'recall_at_5', b + 0.004, b FROM m UNION ALL SELECT leg, 'recall_at_10', a - 0.1, a FROM m UNION ALL SELECT leg, 'mrr_at_10', b + 0.006, b FROM m)
+SELECT leg, metric, round(before, 9) AS before, round(now, 9) AS now FROM u WHERE now < before - 0.005""")
+def metric_regressions(spark, sf_dir):
+    """Measurements of languages against a baseline that was better in some."""
+    share = lambda k: F.avg(F.when(F.col("doc_id") % k == 0, 1.0).otherwise(0.0))
+    m = rows_of(spark, sf_dir).filter("lang is not null").groupBy(F.col("lang").alias("leg")).agg(share(2).alias("a"), share(3).alias("b"))
+    now = m.select("leg", F.col("a").alias("recall_at_1"), F.col("b").alias("recall_at_5"), F.col("a").alias("recall_at_10"), F.col("b").alias("mrr_at_10"))
+    before = m.select("leg", (F.col("a") + 0.1).alias("recall_at_1"), (F.col("b") + 0.004).alias("recall_at_5"), (F.col("a") - 0.1).alias("recall_at_10"), (F.col("b") + 0.006).alias("mrr_at_10"))
+    return evaluate.regressions(now, before).select("leg", "metric", F.round("before", 9).alias("before"), F.round("now", 9).alias("now"))
+
+
+def _read(column, name, field=lambda r: r.text):
+    """What a reader says of a text column, given as UTF-8 under a name."""
+    from caseweave.sources import readers
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([field(readers.read(n, t.encode())) for t, n in zip(texts, names, strict=True)], dtype="object")
+
+    return run(column, name)
+
+
+@query("""SELECT conv_id, turn, 'From: ' || role || '@ports.example' || chr(10) || 'Subject: turn ' || turn || chr(10) || chr(10) || text AS text FROM (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE role IS NOT NULL AND regexp_matches(text, '\\S'))""")
+def read_mail(spark, sf_dir):
+    """Every message as a mail of one line, read back."""
+    turns = table(spark, sf_dir, "conversations").filter(F.col("role").isNotNull() & F.col("text").rlike(r"\S")).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    mail = F.concat(F.lit("From: "), "role", F.lit("@ports.example\r\nSubject:  turn   "), F.col("turn").cast("string"), F.lit("\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), "text", F.lit("\r\n"))
+    return turns.select("conv_id", "turn", _read(mail, F.lit("m.eml")).alias("text"))
+
+
+@query("SELECT conv_id, string_agg('turn ' || turn, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def read_mailbox(spark, sf_dir):
+    """Every conversation as a mailbox; its text are the subjects."""
+    one = F.concat(F.lit("From a@b\nSubject: turn "), F.col("turn").cast("string"), F.lit("\n\nsaid\n\n"))
+    boxes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("m")))), lambda r: r["m"]), "").alias("box"))
+    return boxes.select("conv_id", _read(F.col("box"), F.lit("b.mbox")).alias("text"))
+
+
+SUFFIXES = (".txt", ".csv", ".eml", ".mbox", ".msg", ".zip", ".tar.gz", ".rar", ".xlsx", ".doc", ".png", ".htm", ".md", ".pdf", ".qqq", "")
+READERS = ("plaintext", "delimited", "eml", "mbox", "msg", "zip", "tar", "rar", "spreadsheet", "legacy-office", "image", "html", "markdown", "structural", None, None)
+
+
+@query(f"SELECT page_id, CASE page_id % {len(SUFFIXES)} " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(READERS) if r) + " END AS reader FROM pages")
+def reader_routes(spark, sf_dir):
+    """Which reader takes a page under names of all formats; its content identifies none."""
+    from caseweave.sources import readers
+
+    @F.pandas_udf("string")
+    def routed(ids: pd.Series, html: pd.Series) -> pd.Series:
+        return pd.Series([readers.route(f"page-{i}{SUFFIXES[i % len(SUFFIXES)]}", (h or "").encode())[0] for i, h in zip(ids, html, strict=True)], dtype="object")
+
+    return table(spark, sf_dir, "pages").select("page_id", routed("page_id", "html").alias("reader"))
+
+
+NAMES = (("a/b.txt", None), ("/etc/x", "absolute path"), ("a/../../b", "parent traversal"), ("C:/x", "drive-relative path"), ("d/", None), ("..", "parent traversal"))
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % {len(NAMES)} " + " ".join(f"WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(NAMES) if r) + " END AS refusal FROM part")
+def entry_name_safety(spark, sf_dir):
+    from caseweave.sources import readers
+
+    @F.pandas_udf("string")
+    def why(keys: pd.Series) -> pd.Series:
+        return pd.Series([readers.unsafe(NAMES[k % len(NAMES)][0]) for k in keys], dtype="object")
+
+    return table(spark, sf_dir, "part").select("p_partkey", why("p_partkey").alias("refusal"))
+
+
+@query("""WITH g AS (SELECT page_id // 10 AS box, page_id, CASE page_id % 10 WHEN 3 THEN '../' || page_id || '.html' WHEN 7 THEN page_id || '.qqq' ELSE 'in/' || page_id || '.html' END AS name FROM pages)
+SELECT 'box-' || box || '.zip' AS path, CAST(NULL AS VARCHAR) AS parent_path, 0 AS depth, 'ingested' AS status, count(*) FILTER (page_id % 10 = 3) AS refusals FROM g GROUP BY box
+UNION ALL SELECT 'box-' || box || '.zip/' || name, 'box-' || box || '.zip', 1, CASE WHEN page_id % 10 = 7 THEN 'refused' ELSE 'ingested' END, 0 FROM g WHERE page_id % 10 <> 3""")
+def container_expansion(spark, sf_dir):
+    """Pages in archives of ten, with names that are unsafe and formats that nothing reads, through the whole of expansion."""
+    import io
+    import zipfile
+
+    from caseweave.sources import ingest
+
+    @F.pandas_udf("binary")
+    def packed(ids: pd.Series, html: pd.Series) -> pd.Series:
+        out = []
+        for own, texts in zip(ids, html, strict=True):
+            box = io.BytesIO()
+            with zipfile.ZipFile(box, "w") as z:
+                for i, h in zip(own, texts, strict=True):
+                    z.writestr({3: f"../{i}.html", 7: f"{i}.qqq"}.get(i % 10, f"in/{i}.html"), h or "<p>empty</p>")
+            out.append(box.getvalue())
+        return pd.Series(out)
+
+    rows = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 10).alias("box")).agg(F.array_sort(F.collect_list(F.struct("page_id", F.coalesce("html", F.lit("")).alias("html")))).alias("p"))
+    work = rows.select(F.concat(F.lit("box-"), F.col("box").cast("string"), F.lit(".zip")).alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(0).alias("depth"), packed("p.page_id", "p.html").alias("content"))
+    return ingest.expand(work)[0].select("path", "parent_path", "depth", "status", F.size("refusals").cast("long").alias("refusals"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(json_keys(props)) AS INTEGER) AS fields, event_type = 'click' AS clicked FROM events")
+def json_and_map_functions(spark, sf_dir):
+    """Fields of JSON texts, and a look-up in a map of flags."""
+    kinds = F.create_map(F.lit("click"), F.lit(True))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).alias("fields"), F.coalesce(kinds[F.col("event_type")], F.lit(False)).alias("clicked"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by identity, passages, ranked by BM25: the smallest whole path through the engine."""
     found = search.keyword_leg(chunks_of(spark, sf_dir), CASEFILE, SQL_TERMS, LIMIT)

@@ -184,7 +184,7 @@ class Workspace:
     # --- casefiles
 
     def casefiles(self) -> DataFrame:
-        return self.table("casefiles").orderBy(F.desc("created_at"), "id")
+        return pages.casefile_listing(self.table("casefiles"))
 
     def casefile(self, reference: str) -> Row:
         return pages.resolve(self.table("casefiles"), reference, slug="slug")
@@ -227,8 +227,8 @@ class Workspace:
     def _without(self, base: Folders, casefile: str, ids: DataFrame) -> dict[str, DataFrame]:
         """Tables of a casefile's documents without the rows of some documents."""
         out = {name: (t := self._read(base, name, casefile)).join(ids, t[column] == ids["id"], "left_anti") for name, column in schemas.OF_DOCUMENT.items()}
-        vectors = self._read(base, "chunk_vectors", casefile)
-        return out | {"chunk_vectors": vectors.join(out["chunks"].select("chunk_id"), "chunk_id", "left_semi"), "passage_statistics": corpus.passage_statistics(out["chunks"])}
+        vectors = records.sidecar_without(self._read(base, "chunk_vectors", casefile), self._read(base, "chunks", casefile), ids.toDF("document_id"))
+        return out | {"chunk_vectors": vectors, "passage_statistics": corpus.passage_statistics(out["chunks"])}
 
     def delete_document(self, casefile: str, reference: str) -> Row:
         """A document and all below it, with what derives from them."""
