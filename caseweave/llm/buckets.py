@@ -11,6 +11,8 @@ and goes in two steps, which lose no pair of it that matters:
    other rows are dealt in blocks, every two of which meet in a task, and each
    of which meets every block of the largest component.
 
+Buckets with the same members are one: the first of them is compared.
+
 A task has one or two sides (``own``): rows of side 0 are compared with rows of
 side 1, rows of side -1 with each other.
 """
@@ -198,7 +200,10 @@ def bucket_links(keyed: DataFrame, compare: Callable[[DataFrame, int, bool], Dat
     """
     spark, bucket = keyed.sparkSession, ["t", "key"]
     with scratch() as own:
-        held = cut(keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).filter("rows > 1"))
+        # near copies share many buckets with the same members: of those the first is enough
+        digest = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (3, 4)]
+        held = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), *digest).filter("rows > 1")
+        held = cut(held.groupBy("rows", "x3", "x4").agg(F.min(F.struct(*bucket, "bytes")).alias("b")).select("b.*", "rows"))
         if fetch is not None:
             fetch(keyed.join(held.select(*bucket), bucket, "left_semi").select("node").distinct())
         large = (F.col("rows") > BUCKET_ROWS) | (F.col("bytes") > BUCKET_BYTES)

@@ -43,7 +43,7 @@ from caseweave.functions.arrow import text_udf
 from caseweave.llm.buckets import bucket_links, by_task, components, near_pairs, task_numbers, union
 from caseweave.llm.simhash import keep_one_a_class, with_smallest
 from caseweave.llm.tables import named
-from caseweave.plans.durable import cut, scratch, store
+from caseweave.plans.durable import broadcast_if_small, cut, scratch, store
 
 WORDS, SIMILARITY = 5, 0.8
 BITS, BANDS, ROWS = 1024, 16, 4
@@ -61,8 +61,14 @@ GOLDEN = 0x9E3779B97F4A7C15
 SKETCH = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("elements", T.BinaryType())])
 
 
-def multipliers(n: int, seed: int = 1) -> np.ndarray:
+def multipliers(n: int, seed: int = 1, made: dict = {}) -> np.ndarray:  # noqa: B006 - a memo
     """Odd numbers without a pattern: multiples of each other would give hashes that agree too often."""
+    if (n, seed) not in made:
+        made[n, seed] = drawn_multipliers(n, seed)
+    return made[n, seed]
+
+
+def drawn_multipliers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -89,7 +95,7 @@ def column_sums(words: np.ndarray) -> np.ndarray:
     sum and a carry of the next.
     """
     if len(words) < 1000:
-        return np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16).astype(np.int64)
     out, weight = np.zeros(64 * words.shape[1], np.int64), 0
     while True:
         carries = []
@@ -116,7 +122,7 @@ def sketch_of(text: bytes | None, n: int = WORDS, bits: int = BITS) -> tuple[int
     if not tokens:
         return 0, 0, bytes(bits // 8), [], b""
     grams = zip(*(tokens[i:] for i in range(n)), strict=False) if len(tokens) >= n else [tokens]
-    h = np.unique(np.fromiter((digest(join(g)) for g in grams), np.uint64))
+    h = np.unique(np.fromiter(map(digest, map(join, grams)), np.uint64))
     total, low = np.zeros(bits, np.int64), np.empty(0, np.uint64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
@@ -126,7 +132,8 @@ def sketch_of(text: bytes | None, n: int = WORDS, bits: int = BITS) -> tuple[int
     low = low.reshape(BANDS, ROWS)
     bands = [digest(row.tobytes(), b) for b, row in enumerate(low)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(digest(h.tobytes())), len(h), np.packbits(2 * total > len(h), bitorder="little").tobytes(), [signed(b) for b in bands], np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()
+    high = (h >> np.uint64(32)).astype(np.uint32)  # in order, as h is
+    return signed(digest(h.tobytes())), len(h), np.packbits(2 * total > len(h), bitorder="little").tobytes(), [signed(b) for b in bands], high[np.r_[True, high[1:] != high[:-1]]].tobytes()
 
 
 def sketch(text: Column) -> Column:
@@ -254,8 +261,8 @@ def links(nodes: DataFrame, drawn: DataFrame, least: float) -> DataFrame:
 
         def fetch(needed: DataFrame) -> None:
             # only sets that share a bucket move, and of copies that of one row
-            rows = nodes.join(needed, "node", "left_semi").select("row")
-            sets.append(store(drawn.join(rows, "row", "left_semi").select("node", "size", "bits", "bands", "elements")))
+            rows = cut(nodes.join(needed, "node", "left_semi").select("row"))
+            sets.append(store(drawn.join(broadcast_if_small(rows, rows.count()), "row", "left_semi").select("node", "size", "bits", "bands", "elements")))
 
         def compare(tasks: DataFrame, parts: int, whole: bool) -> DataFrame:
             full = tasks.join(sets[0], "node").select("b1", "b2", "own", "node", "t", "size", "bits", "bands", "elements")
