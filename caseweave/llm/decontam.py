@@ -79,7 +79,7 @@ def parts_of(text: str) -> tuple[list[bytes], list[bytes]]:
 class Index:
     """Units in order of item, postings by term, and the words of the items.
 
-    Terms are numbered from 1; 0 is a word that no item has. The postings of
+    Terms are numbered from 1 by their largest contribution; 0 is a word that no item has. The postings of
     term t are the entries starts[t] to starts[t + 1] of units and scores, its
     block maxima those of block_starts of blocks and bounds.
     """
@@ -138,15 +138,22 @@ def index_parts(items: list[tuple[object, str | None]]) -> tuple:
     df = np.bincount(term, minlength=width)[term]
     score = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[unit] / (size.mean() if n else 1)))
     score /= np.bincount(unit, weights=score, minlength=n)[unit]
+    # terms are numbered by their largest contribution, the lightest first
+    most = np.zeros(width)
+    np.maximum.at(most, term, score)
+    by_weight = np.argsort(most, kind="stable")  # 0 stays first
+    number = np.empty(width, np.int64)
+    number[by_weight] = np.arange(width)
+    names = list(terms)
+    vocabulary = b" ".join(names[t - 1] for t in by_weight[1:].tolist())
+    most, term, words = most[by_weight], number[term], number[words].astype(np.int32)
     order = np.lexsort((unit, term))
     unit, term, score = unit[order], term[order], score[order]
     edge = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (unit[1:] // BLOCK != unit[:-1] // BLOCK)][: len(term)])
     bounds = np.maximum.reduceat(score, edge) if len(edge) else score
     every = np.arange(width + 1)
     starts, block_starts = np.searchsorted(term, every), np.searchsorted(term[edge], every)
-    most = np.zeros(width)
-    np.maximum.at(most, term[edge], bounds)
-    return (ids, b" ".join(terms), unit_item, starts, unit.astype(np.int32), score, most, block_starts, (unit[edge] // BLOCK).astype(np.int32), bounds, item_starts, words, np.array(question, np.int64))
+    return (ids, vocabulary, unit_item, starts, unit.astype(np.int32), score, most, block_starts, (unit[edge] // BLOCK).astype(np.int32), bounds, item_starts, words, np.array(question, np.int64))
 
 
 def build(items: list[tuple[object, str | None]]) -> Index:
@@ -228,14 +235,15 @@ def sums(keys: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 
 def hopeful(index: Index, window: np.ndarray, term: np.ndarray, n_windows: int, threshold: float) -> np.ndarray:
-    """Passages that may score ``threshold`` in a block, of the (passage, term) pairs in order of passage."""
+    """Passages that may score ``threshold`` in a block, of the (passage, term) pairs in order."""
+    if not len(window):
+        return window
     most = index.most[term]
-    order = np.lexsort((most, window))
-    window, term, most = window[order], term[order], most[order]
     total = np.cumsum(most)
-    begin = np.searchsorted(window, window, "left")
-    # the lightest words of a passage, as far as together they stay light
-    light = total - np.r_[0.0, total][begin] <= min(LIGHT, threshold / 2)
+    begin = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+    before = np.repeat(np.r_[0.0, total][begin], np.diff(np.r_[begin, len(window)]))
+    # the lightest words of a passage, as far as together they stay light: terms are numbered so that they come first
+    light = total - before <= min(LIGHT, threshold / 2)
     least = threshold - 1e-9 - np.bincount(window[light], weights=most[light], minlength=n_windows)
     window, term = window[~light], term[~light]
     many = index.block_starts[term + 1] - index.block_starts[term]
