@@ -20,7 +20,7 @@ from caseweave.errors import ConfigError, ValidationError
 from caseweave.functions import identifiers
 from caseweave.functions.embedding import Embedder, embed
 from caseweave.functions.enrich import Reranker
-from caseweave.functions.text import ACCENTED, PLAIN, TOKEN, raw_tokens, token_pattern, tokens
+from caseweave.functions.text import ACCENTED, PLAIN, TOKEN, fold, token_pattern, tokens
 
 # Fixed values of the ranking: BM25, reciprocal ranks, and depths.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -106,13 +106,15 @@ def batch_keyword(docs: DataFrame, queries: list[tuple[int, str]], depth: int, i
     if len(queries) > BATCH_QUERIES:
         parts = [batch_keyword(docs, queries[i : i + BATCH_QUERIES], depth, id_col) for i in range(0, len(queries), BATCH_QUERIES)]
         return reduce(DataFrame.unionByName, parts)
-    spark = docs.sparkSession
     asked = {q: fold_text(t).split() for q, t in queries}
     terms = sorted({t for ts in asked.values() for t in ts})
-    words = docs.select(F.size(raw_tokens(F.col("text"))).alias("dl"), F.array_distinct(tokens(F.col("text"))).alias("w"))
-    n, average = words.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    known = spark.createDataFrame([(t,) for t in terms], "term string")
-    df = {r.term: r["count"] for r in words.select(F.explode("w").alias("term")).join(F.broadcast(known), "term").groupBy("term").count().collect()}
+    # one pass: the row of the empty term counts documents and words, those of other terms count documents
+    words = docs.select(F.regexp_extract_all(fold(F.col("text")), F.lit(TOKEN), F.lit(0)).alias("w"))
+    held = F.array_intersect("w", F.split(F.lit(" ".join(terms)), " "))  # a constant, whatever its length
+    seen = words.select(F.coalesce(F.size("w"), F.lit(0)).alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.coalesce(held, F.array().cast("array<string>")))).alias("term"))
+    rows = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("dl")).collect()
+    df = {r.term: r.n for r in rows}
+    n, average = next(((r.n, r.dl) for r in rows if r.term == ""), (0, None))
     at = {t: i for i, t in enumerate(terms)}
     weight = np.zeros((len(terms), len(queries)))
     for j, (q, _) in enumerate(queries):
