@@ -24,6 +24,7 @@ from caseweave.sources import readers
 
 # Bounds of one expansion.
 DEPTH_MOST, ITEMS_MOST, BYTES_MOST = 8, 50_000, 20 << 30
+BOUNDLESS = (1 << 63) - 1
 
 WORK = "path string, parent_path string, depth int, content binary, named_directly boolean, reason string"
 OUTCOME = "path string, parent_path string, depth int, status string, reason string, text string, media_type string, extractor string, text_source string, content_hash string, byte_size long, is_container boolean, refusals array<string>"
@@ -108,13 +109,16 @@ def outcomes(files: DataFrame) -> DataFrame:
     return files.select("path", "parent_path", "depth", "content", "named_directly", "reason").mapInArrow(_outcomes, OUTCOME)
 
 
-def expand(files: DataFrame, depth_most: int = DEPTH_MOST, items_most: int = ITEMS_MOST, bytes_most: int = BYTES_MOST) -> tuple[DataFrame, str]:
+def expand(files: DataFrame, depth_most: int = DEPTH_MOST, items_most: int | None = ITEMS_MOST, bytes_most: int | None = BYTES_MOST) -> tuple[DataFrame, str]:
     """(outcomes of files and all that they hold, the bound that stopped it or ""), breadth first.
 
     Levels are written to the shared folder and go when the next is read; an
     expansion stops at whole items, in order of path, when a bound would be
-    passed. Entries that can't be had count for no bound.
+    passed. Entries that can't be had count for no bound. The bounds of items
+    and bytes are for what strangers packed; a caller that knows its archives
+    gives None for either, and all of them are expanded.
     """
+    items_most, bytes_most = (BOUNDLESS if most is None else most for most in (items_most, bytes_most))
     for name, kind in (("named_directly", "boolean"), ("reason", "string")):
         files = files if name in files.columns else files.withColumn(name, F.lit(None).cast(kind))
     level, done, spent_items, spent_bytes, stopped = store(files), [], 0, 0, ""
