@@ -16,6 +16,8 @@ from caseweave.errors import ConfigError
 
 #: A table of at most this many rows of fixed-width columns may be broadcast.
 BROADCAST_ROWS = 200_000
+#: A table of one column of 8-byte ids may be broadcast up to this many rows (about 50 MB).
+BROADCAST_IDS = 2_000_000
 #: Narrow rows that a partition of a cut should hold at least, where the caller bounds their number.
 PART_ROWS = 1 << 14
 
