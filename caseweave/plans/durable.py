@@ -86,18 +86,24 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return _written(out, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it again.
 
-    For wide rows: columns stay compressed, and later stages read only theirs.
+    For wide rows: columns stay compressed (by the session's codec, or the one
+    named), and later stages read only theirs.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return _written(spark.read.parquet(path), path)
 
 
+def stored_at(df: DataFrame) -> str | None:
+    """Where the files of ``df`` are, if it comes straight from :func:`cut` or :func:`store`."""
+    return vars(df).get("_cut_to")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`cut` or :func:`store` wrote, once nothing reads them."""
     spark = df.sparkSession

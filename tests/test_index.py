@@ -75,3 +75,23 @@ def test_a_task_holds_a_bounded_number_of_rows(spark, monkeypatch):
     islands = catalogue.section_islands(spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_quantity <= 45").count()
     assert islands.rdd.getNumPartitions() == -(-n // 500)  # one shuffle serves groups, windows and islands
+
+
+def test_a_corpus_is_stored_once(spark, tmp_path):
+    """Each derived table has one set of files."""
+    import re
+    from pathlib import Path
+
+    from caseweave.plans import catalogue
+    from caseweave.plans.durable import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    shared = Path(re.sub("^file:", "", spark.sparkContext._jsc.sc().getCheckpointDir().get()))
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(shared.glob("table-*"))
+    names = ["identities", "chunks", "postings", "statistics", "vectors"]
+    for name in names:
+        catalogue.ingested(spark, str(tmp_path), name)
+    mine = set(shared.glob("table-*")) - before
+    assert len(mine) == len(names)
+    assert any(list(t.glob("*.zstd.parquet")) for t in mine)
