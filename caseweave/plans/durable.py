@@ -104,15 +104,25 @@ def stored_at(df: DataFrame) -> str | None:
     return vars(df).get("_cut_to")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`cut` or :func:`store` wrote, once nothing reads them."""
-    spark = df.sparkSession
+def discard(df: DataFrame, spark: SparkSession | None = None) -> None:
+    """Delete the files of a table that :func:`cut` or :func:`store` wrote, once nothing reads them.
+
+    ``spark`` does it for a table whose own session has ended.
+    """
+    spark = spark or df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_to)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if (own := _SCRATCH.get()) is not None:
         own.tables.pop(df._cut_to, None)
 
 
+def discard_at_exit(df: DataFrame) -> None:
+    """The same when the driver ends, for a table that is read until then."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are at most ``limit``.
 

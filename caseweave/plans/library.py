@@ -3,7 +3,8 @@
 Documents, passages, postings, statistics, identifiers and vectors of a folder
 of tables are written as Parquet to the shared folder when they are first asked
 for, and read from there as long as the tables they come from stay the same (by
-path, length and time of change of their files) and the session lasts.
+path, length and time of change of their files) and the session lasts. They go
+when the driver ends, or when a later session of it first derives a table.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseweave.plans.durable import discard, store, stored_at
+from caseweave.plans.durable import discard, discard_at_exit, store, stored_at
 
 _BUILT: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 #: Passages take two thirds of the bytes of the usual codec, postings five sixths.
@@ -34,9 +35,12 @@ def kept(spark: SparkSession, folder: str, source: str, name: str, derive: Calla
     found = _BUILT.get(key)
     if found is not None and found[0] == state:
         return found[1]
+    for ended in [k for k in _BUILT if k[0] != key[0]]:  # a driver has one session at a time
+        discard(_BUILT.pop(ended)[1], spark)
     out = derive()
     if stored_at(out) is None:
         out = store(out, CODEC)
+    discard_at_exit(out)
     if found is not None:
         discard(found[1])
     _BUILT[key] = (state, out)

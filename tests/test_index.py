@@ -77,12 +77,12 @@ def test_a_task_holds_a_bounded_number_of_rows(spark, monkeypatch):
     assert islands.rdd.getNumPartitions() == -(-n // 500)  # one shuffle serves groups, windows and islands
 
 
-def test_a_corpus_is_stored_once(spark, tmp_path):
-    """Each derived table has one set of files."""
+def test_a_corpus_is_stored_once_and_goes_with_its_session(spark, tmp_path):
+    """Each derived table has one set of files; those of an earlier session of the driver go when a later one derives."""
     import re
     from pathlib import Path
 
-    from caseweave.plans import catalogue
+    from caseweave.plans import catalogue, library
     from caseweave.plans.durable import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
@@ -95,3 +95,32 @@ def test_a_corpus_is_stored_once(spark, tmp_path):
     mine = set(shared.glob("table-*")) - before
     assert len(mine) == len(names)
     assert any(list(t.glob("*.zstd.parquet")) for t in mine)
+    keys = [k for k in library._BUILT if k[1] == str(tmp_path)]
+    for k in keys:
+        library._BUILT["ended", *k[1:]] = library._BUILT.pop(k)
+    catalogue.ingested(spark, str(tmp_path), "identities")
+    assert len(set(shared.glob("table-*")) - before) == 1 and not mine & set(shared.glob("table-*"))
+
+
+def test_a_corpus_goes_when_the_driver_ends(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from pathlib import Path
+from caseweave.plans import catalogue
+catalogue.ingested(spark, "/root/testdata/sf0.001", "statistics")
+print("stored", len(list(Path("{tmp_path}/shared").glob("*/table-*"))))
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": root}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=180)
+    assert "stored 4" in out.stdout, out.stderr[-2000:]
+    for _ in range(60):  # the driver's JVM outlives its Python for a moment
+        if not list(tmp_path.glob("shared/*/table-*")):
+            break
+        __import__("time").sleep(0.5)
+    assert not list(tmp_path.glob("shared/*/table-*"))
