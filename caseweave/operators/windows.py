@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions import windows as kernel
+from caseweave.operators.corpus import passage_text
 from caseweave.plans.durable import broadcast_if_small, store
 
 
@@ -16,17 +17,21 @@ def result_windows(hits: DataFrame, passages: DataFrame, documents: DataFrame, b
     Each hit gets its neighbours by their ordinals and its document's text; the
     hits of a query (at most a page of them) are served together in rank order.
     Hits are narrow rows, stored and counted: passages and texts of documents
-    stream past them where they are few enough to broadcast.
+    stream past them where they are few enough to broadcast. Passages without
+    ``text`` are what their offsets select.
     """
     hits = store(hits.select("query_id", "position", "chunk_id"))
     named = hits.count()
-    own = ["document_id", "ordinal", "char_start", "char_end", "heading_path", F.col("text").alias("passage"), "chunk_id"]
+    texts = [F.col("text").alias("passage")] if "text" in passages.columns else []
+    own = ["document_id", "ordinal", "char_start", "char_end", "heading_path", *texts, "chunk_id"]
     found = store(passages.select(*own).join(broadcast_if_small(hits, named), "chunk_id"))
     near = found.select("query_id", "position", "document_id", F.explode(F.sequence(F.col("ordinal") - kernel.RADIUS, F.col("ordinal") + kernel.RADIUS)).alias("ordinal"))
     near = passages.select("document_id", "ordinal", "char_start", "char_end", "heading_path").join(broadcast_if_small(near, named * (2 * kernel.RADIUS + 1)), ["document_id", "ordinal"])
     near = near.groupBy("query_id", "position").agg(F.collect_list(F.struct("ordinal", "char_start", "char_end", "heading_path")).alias("near"))
-    texts = documents.select("document_id", F.col("text").alias("whole")).join(broadcast_if_small(found.select("query_id", "position", "document_id"), named), "document_id").drop("document_id")
-    full = found.join(near, ["query_id", "position"]).join(texts, ["query_id", "position"])
+    wholes = documents.select("document_id", F.col("text").alias("whole")).join(broadcast_if_small(found.select("query_id", "position", "document_id"), named), "document_id").drop("document_id")
+    full = found.join(near, ["query_id", "position"]).join(wholes, ["query_id", "position"])
+    if not texts:
+        full = full.withColumn("passage", passage_text())
 
     def serve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("position")

@@ -32,6 +32,42 @@ def test_blocks_hold_what_postings_do(spark, monkeypatch):
     assert say(found) == say(other)
 
 
+def test_a_posting_is_a_place_and_a_count(spark, monkeypatch):
+    """What ranking needs of a passage is stored once for its block, with the columns that blocks carry, and not with each posting."""
+    monkeypatch.setattr(corpus, "BLOCK", 4)
+    rows = [(f"k{i}", f"d{i // 3}", "abc"[i % 3], i, ["fox fox dog", "", "dog", None, "the fox"][i % 5]) for i in range(23)]
+    passages = store(corpus.numbered(spark.createDataFrame(rows, PASSAGES).repartition(2)))
+    blocks = store(corpus.posting_blocks(passages, ("chunk_id", "document_id")))
+    lists = F.size("passage_no") + F.size("ordinal") + F.size("dl") + F.size("chunk_id") + F.size("document_id")
+    assert blocks.filter("term <> ''").agg(F.max(lists)).first()[0] == 0 and blocks.filter("term <> ''").filter(F.size("place") == 0).count() == 0
+    own = ["casefile_id", "passage_no", "ordinal", "chunk_id", "document_id"]
+    assert sorted(map(tuple, corpus.listed(blocks).select(own).collect())) == sorted(map(tuple, passages.select(own).collect()))
+    found = corpus.opened(blocks, ["fox", "dog"]).join(passages, ["passage_no", "casefile_id", "ordinal"]).select("term", "chunk_id", "tf", "dl")
+    want = sorted((t, k, text.split().count(t), len(text.split())) for k, _, _, _, text in rows for t in ("fox", "dog") if t in (text or ""))
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def documents_of(spark, folder):
+    texts = ["  one a@b.org\n\n# Head\ntwo ", "x " * 2500, "😀 é " * 1500, "", None, "call +49 170 1234567 now", "# A\n" + "y z\n\n" * 900, "x " * 2500]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(f"{folder}/documents.parquet")
+
+
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_a_stored_corpus_has_no_texts_of_its_own(spark, tmp_path, monkeypatch, most):
+    """Passages are offsets, and their texts come from the documents, few of them or many."""
+    from caseweave.plans import catalogue
+
+    monkeypatch.setattr(corpus, "FETCH_MOST", most)
+    documents_of(spark, tmp_path)
+    chunks = catalogue.ingested(spark, str(tmp_path), "chunks")
+    assert "text" not in chunks.columns and "text" not in catalogue.ingested(spark, str(tmp_path), "postings").columns
+    columns = ["document_id", "doc_id", "casefile_id", "chunk_id", "ordinal", "char_start", "char_end", "heading_path", "text"]
+    fresh = catalogue.chunks_of(spark, str(tmp_path))
+    got = catalogue.worded(spark, str(tmp_path))(chunks).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fresh.select(columns).collect())) and got.count() > 8
+
+
 @pytest.mark.parametrize("copies", [2, 9])
 def test_texts_of_documents_are_not_shuffled(spark, copies):
     """Whether copies are few or nearly all, ids are broadcast and texts stay where they are."""
