@@ -68,6 +68,20 @@ def test_a_stored_corpus_has_no_texts_of_its_own(spark, tmp_path, monkeypatch, m
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fresh.select(columns).collect())) and got.count() > 8
 
 
+def test_identifiers_are_those_of_passages_with_their_numbers(spark, tmp_path):
+    """Documents without the signs of an identifier are not cut for them, and the others' passages keep their numbers."""
+    from caseweave.plans import catalogue
+
+    documents_of(spark, tmp_path)
+    chunks, fresh = catalogue.ingested(spark, str(tmp_path), "chunks"), catalogue.chunks_of(spark, str(tmp_path))
+    assert "text" not in chunks.columns
+    said = ["chunk_id", "kind", "value", "normalised", "char_start", "document_offset"]
+    mentions = catalogue.ingested(spark, str(tmp_path), "mentions")
+    assert sorted(map(tuple, mentions.select(said).collect())) == sorted(map(tuple, corpus.mentions(fresh, ("email", "phone")).select(said).collect())) and mentions.count() == 2
+    numbers = {r.chunk_id: r.passage_no for r in chunks.collect()}
+    assert all(r.passage_no == numbers[r.chunk_id] for r in mentions.collect())
+
+
 @pytest.mark.parametrize("copies", [2, 9])
 def test_texts_of_documents_are_not_shuffled(spark, copies):
     """Whether copies are few or nearly all, ids are broadcast and texts stay where they are."""
