@@ -82,6 +82,17 @@ def test_identifiers_are_those_of_passages_with_their_numbers(spark, tmp_path):
     assert all(r.passage_no == numbers[r.chunk_id] for r in mentions.collect())
 
 
+def test_vectors_need_no_stored_texts(spark, tmp_path):
+    from caseweave.plans import catalogue
+
+    documents_of(spark, tmp_path)
+    chunks, fresh = catalogue.ingested(spark, str(tmp_path), "chunks"), catalogue.chunks_of(spark, str(tmp_path))
+    assert "text" not in chunks.columns
+    vectors = catalogue.ingested(spark, str(tmp_path), "vectors").select("chunk_id", "embedding")
+    want = fresh.select("chunk_id", catalogue.digest_vector(F.col("text")).alias("embedding"))
+    assert sorted((r.chunk_id, tuple(r.embedding)) for r in vectors.collect()) == sorted((r.chunk_id, tuple(r.embedding)) for r in want.collect())
+
+
 @pytest.mark.parametrize("copies", [2, 9])
 def test_texts_of_documents_are_not_shuffled(spark, copies):
     """Whether copies are few or nearly all, ids are broadcast and texts stay where they are."""
