@@ -163,6 +163,22 @@ def test_a_corpus_is_stored_once_and_goes_with_its_session(spark, tmp_path):
     assert len(set(shared.glob("table-*")) - before) == 1 and not mine & set(shared.glob("table-*"))
 
 
+@pytest.mark.parametrize("name", ["search_fused_rrf"])
+def test_what_a_search_stores_is_less_than_its_input(spark, tmp_path, name):
+    """All tables of a question's corpus together, postings of every term included, have fewer bytes than the documents they come from."""
+    import os
+    from pathlib import Path
+
+    from caseweave.plans import catalogue, library
+    from caseweave.plans.durable import stored_at
+
+    os.symlink("/root/testdata/sf0.01/documents.parquet", f"{tmp_path}/documents.parquet")
+    assert catalogue.QUERIES[name](spark, str(tmp_path)).count() > 0
+    tables = {k[2]: stored_at(df) for k, (_, df) in library._BUILT.items() if k[1] == str(tmp_path)}
+    assert {"identities", "postings", "chunks", "statistics"} < set(tables)
+    assert sum(p.stat().st_size for t in tables.values() for p in Path(t.removeprefix("file:")).glob("*.parquet")) < os.path.getsize(f"{tmp_path}/documents.parquet")
+
+
 def test_a_corpus_goes_when_the_driver_ends(tmp_path):
     import os
     import subprocess
