@@ -163,7 +163,7 @@ def test_a_corpus_is_stored_once_and_goes_with_its_session(spark, tmp_path):
     assert len(set(shared.glob("table-*")) - before) == 1 and not mine & set(shared.glob("table-*"))
 
 
-@pytest.mark.parametrize("name", ["search_fused_rrf"])
+@pytest.mark.parametrize("name", ["search_fused_rrf", "search_keyword_filtered"])
 def test_what_a_search_stores_is_less_than_its_input(spark, tmp_path, name):
     """All tables of a question's corpus together, postings of every term included, have fewer bytes than the documents they come from."""
     import os
